@@ -1,26 +1,83 @@
-"""The subpackage's registered queries: each operator over its whole table."""
+"""The subpackage's registered queries: each operator over its whole table, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasmill.llm import media, simhash
+from atlasmill.llm import ann, lines, media, mixing, packing, sharding, simhash, toxicity, urls, warc
+from atlasmill.llm.shared import stored
+
+TOKENIZER = "word_bpe_49k.json"
+RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+MIX = {"source": ([f"src{i}" for i in range(20)], 0.7), "lang": (["en", "de", "fr", "es"], 0.8), "topic": (list(mixing.TOPICS), 0.9)}
+MIX_KEEP, MIX_SWEEPS = 0.8, 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_media_columns)}
+def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX, MIX_KEEP, MIX_SWEEPS)
+    return mixed.select("doc_id", "source", "lang", "mix_tokens", F.round("mix_probability", 6).alias("mix_probability"), "mix_kept")
+
+
+def op5_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return urls.judge(table(spark, sf_dir, "pages"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = stored(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048), "pieces")
+    return packing.pack(parts, capacity=2048)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = toxicity.held_out("doc_id")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_line_dedup, op3_media_columns, op4_mix_to_targets, op5_shard_by_bytes,
+        op6_url_reputation, op7_vector_best_fit, op8_toxicity, op9_inverted_multi_index, op10_warc_segments,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
