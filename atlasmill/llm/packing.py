@@ -19,19 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_ROWS = 20_000
-#: Words whose ids a task keeps, the longest word kept, and characters of a text encoded at once.
-KEPT_WORDS, KEPT_LENGTH, PIECE = 250_000, 48, 1 << 20
-#: White space for str.split that the tokenizer takes for ordinary characters.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Characters of a text encoded at once.
+PIECE = 1 << 20
+#: White space for Python that the tokenizer takes for ordinary characters; the mark that ends a piece; a letter whose
+#: lower case is two characters. Texts with one of these, or beyond Latin letters, go through the tokenizer itself.
+RARE = "\x1c\x1d\x1e\x1f\0\u0130"
+LATIN = 0x180
 
 
-class WordEncoder:
-    """Ids of a word-end BPE tokenizer without special tokens, word by word: exactly what ``encode`` gives, faster.
+class PieceEncoder:
+    """Ids of a tokenizer of lower-cased BPE with word ends: what its ``encode`` gives without special tokens, faster.
 
-    Words don't join across white space, so each distinct word is encoded once. A run of lower-case Latin letters goes
-    through the same merges as ranks of byte strings (its last byte, which ends the word, under a code of its own);
-    whatever else a word holds goes through the tokenizer itself. A text that holds a special token's string or odd
-    white space is encoded whole.
+    A text of Latin letters is cut into the tokenizer's own pieces (runs of letters, single digits, runs of signs,
+    contractions) and a mark is set behind each. With the mark as a byte, the vocabulary is one of byte strings in
+    order of their merges, which a byte-rank encoder merges in the same order: the last byte takes the mark first, as
+    no id of a merge is smaller. Any other text is encoded by the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -40,55 +42,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        said = json.loads(open(path, encoding="utf-8").read())
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
         self.special = [t["content"] for t in said["added_tokens"]]
-        self.parts = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern = said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.parts = regex.compile(pattern).findall
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.letters = frozenset([*range(97, 123), *range(0x80, 0xC0), *range(0xC2, 0xCA)])
-        end = {97 + i: i for i in range(26)} | {0x80 + i: 0x20 + i for i in range(64)}
-        self.end = [bytes([end[b]]) if b in end else b"" for b in range(256)]
-        ranks = {}
-        for token, i in self.whole.get_vocab(with_added_tokens=False).items():
-            data = bytes(byte_of[c] for c in token.removesuffix("</w>"))
-            if data and self.letters.issuperset(data):
-                if token.endswith("</w>"):
-                    data = data[:-1] + self.end[data[-1]] if data[-1] in end else b""
-                if data:
-                    ranks[data] = i
-        for b in range(256):
-            ranks.setdefault(bytes([b]), (1 << 24) + b)
-        self.merge = tiktoken.Encoding("ranks", pat_str=r"[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.words: dict[str, bytes] = {}
-
-    def _run(self, part: str) -> bytes:
-        data = part.encode()
-        if self.letters.issuperset(data) and self.end[data[-1]]:
-            return array.array("I", self.merge(data[:-1] + self.end[data[-1]])).tobytes()
-        return self._plain(part)
-
-    def _plain(self, text: str) -> bytes:
-        return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def word(self, w: str) -> bytes:
-        if len(w) > KEPT_LENGTH or max(w) >= "ɐ" or "İ" in w:
-            return self._plain(w)
-        return b"".join(map(self._run, self.parts(w.lower())))
+        ranks = {bytes(byte_of[c] for c in t.removesuffix("</w>")) + b"\0" * t.endswith("</w>"): i for t, i in self.whole.get_vocab(with_added_tokens=False).items()}
+        self.ranked = tiktoken.Encoding("pieces", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        kind = lambda c: 0 if regex.match(r"\s", c) else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3
+        self.kinds = np.array([kind(chr(i)) for i in range(LATIN)], np.uint8)
+
+    def _marked(self, text: str) -> str:
+        """The pieces of a lower-case Latin text, each with its mark."""
+        if "'" in text:
+            return "".join([p + "\0" for p in self.parts(text)])
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kind = self.kinds[points]
+        ends = (kind == 2) | (kind != np.append(kind[1:], 0))
+        ends[-1] = True
+        solid = kind != 0
+        at = np.cumsum(solid.astype(np.int64) + (ends & solid))
+        out = np.zeros(int(at[-1]), np.uint32)
+        out[(at - 1 - ends)[solid]] = points[solid]
+        return out.tobytes().decode("utf-32-le")
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if any(c in text for c in ODD_SPACE) or any(s in text for s in self.special):
-            return self._plain(text)
-        out, words = [], self.words
-        for w in text.split():
-            try:
-                out.append(words[w])
-            except KeyError:
-                if len(words) >= KEPT_WORDS:
-                    words.clear()
-                out.append(ids := self.word(w))
-                if len(w) <= KEPT_LENGTH:
-                    words[w] = ids
+        if any(c in text for c in RARE) or any(s in text for s in self.special) or (not text.isascii() and ord(max(text)) >= LATIN):
+            return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        out, at = [], 0
+        while at < len(text):
+            end = min(at + PIECE, len(text))
+            while end < len(text) and not text[end].isspace():  # pieces don't go beyond white space
+                end += 1
+            if marked := self._marked(text[at:end].lower()):
+                out.append(array.array("I", self.ranked(marked)).tobytes())
+            at = end
         return b"".join(out)
 
 
@@ -102,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, width = WordEncoder(tokenizer_path), 4 * capacity
+        encoder, width = PieceEncoder(tokenizer_path), 4 * capacity
         end = array.array("I", [end_id]).tobytes()
         for b in it:
             which, rows = [], []
