@@ -25,7 +25,14 @@ def topic(text: Column) -> Column:
     """A text's topic by the share of telling characters: braces and semicolons, bars, exclamations, signs; else by length."""
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
-    share = lambda chars: n - F.length(F.translate(t, chars, ""))
+
+
+    def share(chars: str) -> Column:
+        rest = t
+        for c in chars:  # a search for each is faster than translate()
+            rest = F.replace(rest, F.lit(c), F.lit(""))
+        return n - F.length(rest)
+
     return (
         F.when(share("{}();=") * 25 > n, "code").when(share("|") * 40 > n, "table").when(share("!") * 40 > n, "shout")
         .when(share("#$%&*") * 25 > n, "noise").when(n < 500, "note").otherwise("prose")
