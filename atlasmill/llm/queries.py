@@ -80,4 +80,61 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _mix_sql() -> str:
+    """Truncated raking written out, a table of cells for each step, and the same draw by the id's md5."""
+    def share(chars: str) -> str:
+        rest = "coalesce(text, '')"
+        for c in chars:
+            rest = f"replace({rest}, '{c}', '')"
+        return f"(n - length({rest}))"
+
+    listed = lambda c, values: f"CASE WHEN {c} IN ({', '.join(repr(v) for v in values)}) THEN {c} ELSE '*' END"
+    topic = f"CASE WHEN {share('{}();=')} * 25 > n THEN 'code' WHEN {share('|')} * 40 > n THEN 'table' WHEN {share('!')} * 40 > n THEN 'shout' WHEN {share('#$%&*')} * 25 > n THEN 'noise' WHEN n < 500 THEN 'note' ELSE 'prose' END"
+    tables = [
+        "d AS MATERIALIZED (SELECT doc_id, source, lang, " + f"{listed('source', MIX['source'][0])} AS k0, {listed('lang', MIX['lang'][0])} AS k1, {topic} AS k2, "
+        "CASE WHEN n = 0 THEN 0 ELSE n - length(replace(text, ' ', '')) + 1 END::BIGINT AS mix_tokens FROM (SELECT *, length(coalesce(text, '')) AS n FROM documents))",
+        f"c0 AS MATERIALIZED (SELECT k0, k1, k2, sum(mix_tokens)::DOUBLE AS n, {MIX_KEEP}::DOUBLE AS p FROM d GROUP BY ALL)",
+    ]
+    for i, (_, power) in enumerate(MIX.values()):
+        tables.append(f"t{i} AS MATERIALIZED (SELECT k{i}, pow(n / sum(n) OVER (), {power}) / sum(pow(n / total, {power})) OVER () AS share FROM (SELECT k{i}, sum(n) AS n, (SELECT sum(n) FROM c0) AS total FROM c0 GROUP BY k{i}))")
+    at = 0
+    for _ in range(MIX_SWEEPS):
+        for i in range(len(MIX)):
+            tables.append(f"c{at + 1} AS MATERIALIZED (SELECT c.* EXCLUDE (p, m), CASE WHEN m > 0 THEN least(1.0, p * {MIX_KEEP} * (SELECT sum(n) FROM c0) * share / m) ELSE p END AS p FROM (SELECT *, sum(n * p) OVER (PARTITION BY k{i}) AS m FROM c{at}) c JOIN t{i} USING (k{i}))")
+            at += 1
+    return "WITH " + ",\n".join(tables) + f"""
+SELECT doc_id, source, lang, mix_tokens, round(p, 6) AS mix_probability, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT / 4294967296.0 < p AS mix_kept FROM d JOIN c{at} USING (k0, k1, k2)"""
+
+
+def _url_sql() -> str:
+    """The rules as conditions, and the shrunken rates level by level."""
+    rules = sorted(RULES, key=lambda r: (-len(r), r))
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}')"
+    case = lambda f: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{f(r)}'" for r in rules) + " END"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    moments = lambda level, mean: (
+        f"SELECT CASE WHEN g = 0 OR n <= nn / n THEN {urls.STRONGEST} WHEN (ss - g * vv / n) / (n - nn / n) > 0 THEN least({urls.STRONGEST}, greatest({urls.WEAKEST}, vv / n / ((ss - g * vv / n) / (n - nn / n)) - 1)) ELSE {urls.STRONGEST} END AS z "
+        f"FROM (SELECT sum(n) n, count(n) g, sum(n * n) nn, sum(n * (k / n - m) * (k / n - m)) ss, sum(n * m * (1 - m)) vv FROM {level})"
+    )
+    return f"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+p AS (SELECT page_id, host, path, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM u),
+w AS (SELECT *, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS two, array_to_string(list_slice(string_split(name, '.'), -3, -1), '.') AS three, list_extract(string_split(name, '.'), -1) AS one FROM p),
+q AS (SELECT page_id, host, path, CASE WHEN deep THEN three ELSE two END AS domain, CASE WHEN deep THEN two ELSE one END AS suffix FROM (SELECT *, regexp_full_match(two, '(?:{'|'.join(urls.SECOND_LEVEL)})[.][a-z][a-z]') AS deep FROM w)),
+h AS MATERIALIZED (SELECT suffix, domain, host, count(quality)::DOUBLE n, sum(quality)::DOUBLE k FROM q JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY ALL),
+g AS (SELECT (coalesce(sum(k), 0) + 1) AS a0, coalesce(sum(n) - sum(k), 0) + 1 AS b0 FROM h),
+s1 AS (SELECT suffix, sum(n) n, sum(k) k, (SELECT a0 / (a0 + b0) FROM g) AS m FROM h GROUP BY suffix),
+s2 AS MATERIALIZED (SELECT suffix, m * z + k AS a, (1 - m) * z + n - k AS b FROM s1, ({moments('s1', 'm')})),
+d1 AS (SELECT suffix, domain, n, k, a / (a + b) AS m FROM (SELECT suffix, domain, sum(n) n, sum(k) k FROM h GROUP BY ALL) JOIN s2 USING (suffix)),
+d2 AS MATERIALIZED (SELECT suffix, domain, m * z + k AS a, (1 - m) * z + n - k AS b FROM d1, ({moments('d1', 'm')})),
+h1 AS (SELECT suffix, domain, host, n, k, a / (a + b) AS m FROM h JOIN d2 USING (suffix, domain)),
+h2 AS MATERIALIZED (SELECT suffix, domain, host, m * z + k AS a, (1 - m) * z + n - k AS b FROM h1, ({moments('h1', 'm')})),
+v AS (SELECT page_id, host, path, coalesce(h2.a, d2.a, s2.a, a0) AS a, coalesce(h2.b, d2.b, s2.b, b0) AS b FROM q LEFT JOIN h2 USING (suffix, domain, host) LEFT JOIN d2 USING (suffix, domain) LEFT JOIN s2 USING (suffix), g)
+SELECT page_id, host, path, {case(lambda r: r)} AS rule, coalesce({case(RULES.get)}, CASE WHEN a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM v"""
+
+
+#: The other operators' results are not to be had from SQL in reasonable time; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op4_mix_to_targets": _mix_sql(), "op6_url_reputation": _url_sql()}
