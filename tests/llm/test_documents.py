@@ -142,7 +142,7 @@ def test_few_bins_for_vectors():
     lengths = rng.integers(1, 2048, 3000).astype(float)
     sizes = np.stack([lengths, np.ones(3000), lengths**2], axis=1)
     bins, places = packing.vector_best_fit(sizes, np.array([2048.0, 2048.0, 2048.0**2]))
-    assert len(set(bins.tolist())) <= 1.02 * lengths.sum() / 2048 and (np.bincount(bins, weights=lengths) <= 2048).all()
+    assert len(set(bins.tolist())) <= 1.01 * max(lengths.sum() / 2048, (lengths > 1024).sum()) and (np.bincount(bins, weights=lengths) <= 2048).all()
     assert set(zip(bins.tolist(), places.tolist())) == {(b, p) for b in set(bins.tolist()) for p in range((bins == b).sum())}
 
 
@@ -169,9 +169,9 @@ def test_shards(spark):
 
 def test_a_heavy_group_stays_whole(spark):
     rows = [(i, "hot" * 50) for i in range(300)] + [(1000 + i, "t" * i) for i in range(300)]
-    got = sharding.shard(docs(spark, rows), shards=4, items=1000).groupBy("shard").agg(F.sum("size").alias("s"), F.count_if("text_crc32 = 0").alias("z")).collect()
+    got = sharding.shard(docs(spark, rows), shards=4, items=1000).groupBy("shard").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("z")).collect()
     sizes = sorted(r.s for r in got)
-    assert sizes[-1] == 300 * 166 and sizes[-2] - sizes[0] <= 2
+    assert sizes[-1] == 300 * 166 and sizes[-2] - sizes[0] <= 0.002 * sizes[0]
 
 
 def test_differencing():
