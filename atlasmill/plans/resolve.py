@@ -7,6 +7,7 @@ query's digest (lookup) and by the address's number (regrouping).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,14 +23,18 @@ from atlasmill.operators import city_allowed, dense_ids, first_occurrence, place
 
 @dataclass(frozen=True)
 class Settings:
-    """bounds: lon, lat, lon, lat. strict drops candidates without a centre and takes the mean centre where no part has a polygon."""
+    """bounds: lon, lat, lon, lat. strict drops candidates without a centre and takes the mean centre where no part has a polygon.
+
+    accept: which candidates count at all, as a condition on a candidate's struct; None: all.
+    """
 
     city: str = R.CITY
-    bounds: tuple[float, float, float, float] = (113.7, 22.4, 114.7, 22.9)
+    bounds: tuple[float, float, float, float] = (113.75, 22.40, 114.65, 22.88)
     threshold: int = 40
     first_id: int = 10124
     official: bool = True
     strict: bool = False
+    accept: Callable[[Column], Column] | None = None
 
 
 def sub_queries(inputs: DataFrame) -> DataFrame:
@@ -64,7 +69,8 @@ def ranked(candidates: Column, address: Column, settings: Settings) -> Column:
         order = lambda s: F.struct((-s["total"]).alias("a"), (F.size(c["polygons"]) == 0).alias("b"), c["idx"].alias("i"), guard.alias("admissible"), s.alias("score"), c.alias("candidate"))
         return T.bind(score_struct(c, address), order)
 
-    return F.array_sort(F.transform(candidates, one))
+    accepted = candidates if settings.accept is None else F.filter(candidates, lambda c: F.coalesce(settings.accept(c), F.lit(False)))
+    return F.array_sort(F.transform(accepted, one))
 
 
 def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFrame:

@@ -43,6 +43,14 @@ def write_lines(df: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
     return df
 
 
+def rewrite_lines(df: DataFrame, path: str) -> None:
+    """write_lines() to a path that df itself reads: by way of a second folder beside it."""
+    held = f"{path.rstrip('/')}.new"
+    write_lines(df.select("value"), held)
+    rows = df.sparkSession.read.text(held, lineSep="\r\n").select(F.monotonically_increasing_id().alias("o"), "value")
+    write_lines(rows.orderBy("o").select("value"), path)
+
+
 def map_rows(results: DataFrame) -> DataFrame:
     """value: a JSON object for each result that has a centre, with what the map shows."""
     ring = F.transform("polygon", lambda p: F.array(p["x"], p["y"]))

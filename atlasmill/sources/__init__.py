@@ -42,13 +42,13 @@ def response_cache(spark: SparkSession, path: str) -> DataFrame:
 def tab_rows(spark: SparkSession, path: str, names: list[str], header: bool = False) -> DataFrame:
     """Columns by position of a file of tabs without quoting, blank lines left out; a row with fewer columns raises.
 
-    seq is the line's place; further columns than named are kept together in the last, as they stand.
+    seq is the line's place; further columns than named are left out.
     """
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
     if header:
         lines = lines.where(F.col("seq") != 0)
-    parts = F.split("value", "\t", len(names))
-    whole = F.when(F.size(F.split("value", "\t", -1)) < len(names), F.raise_error(F.concat(F.lit("too few columns: "), "value")).cast("array<string>")).otherwise(parts)
+    parts = F.split("value", "\t", -1)
+    whole = F.when(F.size(parts) < len(names), F.raise_error(F.concat(F.lit("too few columns: "), "value")).cast("array<string>")).otherwise(parts)
     return lines.select("seq", whole.alias("p")).select("seq", *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
 
 
