@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +132,10 @@ def resolve(inputs: DataFrame, responses: DataFrame, settings: Settings = Settin
     A part without a response or an admissible candidate is left out; if others of its address are found, the result
     is of low confidence. A candidate without a centre passes the bounds and stands at (0, 0), unless strict. Ids rise
     by one with each result that has a centre, in input order.
+
+    The results are persisted before they are numbered, since their count by bucket and their rows are both needed, and
+    sinks read them again; a lost executor's part is computed anew. ``spark.catalog.clearCache()`` lets them go.
     """
-    results = regrouped(chosen(sub_queries(inputs), responses, settings), settings)
+    results = regrouped(chosen(sub_queries(inputs), responses, settings), settings).persist(StorageLevel.MEMORY_AND_DISK)
     ok = F.col("center_lon").isNotNull() & F.col("center_lat").isNotNull()
     return dense_ids(results, ok, "seq", settings.first_id)
