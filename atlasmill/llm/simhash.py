@@ -145,13 +145,11 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     rows = routed(prints.select("fp", "rep", F.col("fp").alias("v"), F.lit(half).alias("left")), p, 0, ["fp", "rep"])
     rows = rows.withColumn("route", F.shiftrightunsigned("v", 64 - p))
     more = 8
-    # at most rows / (8 * ROUTE_ROWS) routes, and never over 2 ** p
-    hot = [r[0] for r in rows.groupBy("route").count().where(F.col("count") > 8 * ROUTE_ROWS).select("route").collect()] if n > ROUTE_ROWS else []
+    hot = stored(rows.groupBy("route").count().where(F.col("count") > 8 * ROUTE_ROWS).select("route"), "hot-routes")
     rows = rows.withColumn("done", F.lit(p))
-    if hot:
-        is_hot = F.col("route").isin(hot)
-        further = routed(rows.where(is_hot), more, p, ["fp", "rep", "route"]).withColumn("route", F.shiftrightunsigned("v", 64 - p - more)).withColumn("done", F.lit(p + more))
-        rows = rows.where(~is_hot).unionByName(further)
+    if not hot.isEmpty():
+        further = routed(rows.join(hot, "route", "left_semi"), more, p, ["fp", "rep", "route"]).withColumn("route", F.shiftrightunsigned("v", 64 - p - more)).withColumn("done", F.lit(p + more))
+        rows = rows.join(hot, "route", "left_anti").select(further.columns).unionByName(further)
 
     def tie(table: pa.Table) -> pa.Table:
         v, rep, fp = (table.column(c).to_numpy() for c in ("v", "rep", "fp"))
