@@ -5,10 +5,11 @@ shingle). Each distinct line is signed once: exploded rows of its shingles, hash
 hash under different exclusive-ors, which generated code computes without a further shuffle, because the lines are
 dealt out by their hash already. Lines that share a band's minima meet in a bucket.
 
-A bucket's lines are not compared each with each. Its most central line (the one that meets most others, over all
-bands) is compared with all others, and exact Jaccard similarity verifies each pair; of the lines that are in another
-component then, the most central is compared with the rest of those, and so on for ``rounds`` rounds or until no bucket
-has two such lines. Union-find over the verified pairs gives the components.
+A bucket's most central line (the one that meets most others, over all bands) is compared with all its others by exact
+Jaccard similarity. How much each of those shares with it bounds how much any two of them can share; pairs that the bound
+rules out can't be near, and pairs in one component are settled. All other pairs of a bucket are compared too, in rounds
+of more and more lines each against the rest, until none is left. Union-find over the verified pairs gives the
+components, those of all near pairs that share a bucket.
 
 Lines are told apart by 64 bits of hash; two lines that clash there (a second hash shows it) both stay as they are.
 """
@@ -24,6 +25,8 @@ from atlasmill.llm.shared import parallelism, stored
 
 #: Shingles of a line exploded at once, so that no array grows with a line, and shingles hashed in one row.
 PIECE, STEP = 4096, 4
+#: Rounds of comparisons in buckets; the k-th compares 4^k lines of each with all others, so these reach any size.
+MAX_ROUNDS = 30
 
 
 def _constant(k: int) -> int:
@@ -60,8 +63,8 @@ def _signed(lines: DataFrame, shingle: int, n: int) -> DataFrame:
     return hashed.groupBy("h1").agg(*[F.min(least(k)).alias(f"s{k}") for k in range(n)])
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """Those of pairs (a, b) whose lines (h1, line) are at least that similar.
+def _compared(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, common, only_a, only_b) of pairs (a, b): how many shingles their lines (h1, line) share or have alone.
 
     Counted shingle by shingle in rows, which generated code does several times faster than functions of arrays. The
     last join deals pairs out by b, of which there are few to each line, and no further shuffle is needed.
@@ -72,12 +75,15 @@ def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, jaccard: float)
     sides = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("line")), F.struct(F.lit(2).alias("side"), F.col("y").alias("line")))).alias("s")).select("a", "b", "s.side", "s.line")
     each = _positions(sides, "line", shingle, 1).select("a", "b", "side", _hash_at(F.col("i"), shingle).alias("h"))
     held = each.groupBy("a", "b", "h").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
-    counts = held.groupBy("a", "b").agg(F.count_if(F.col("lo") < F.col("hi")).alias("common"), F.count(F.lit(1)).alias("all"))
-    return counts.where(F.col("common") >= jaccard * F.col("all")).select("a", "b")
+    return held.groupBy("a", "b").agg(F.count_if(F.col("lo") < F.col("hi")).alias("common"), F.count_if(F.col("hi") == 1).alias("only_a"), F.count_if(F.col("lo") == 2).alias("only_b"))
 
 
-def near_lines(at: DataFrame, shingle: int, jaccard: float, bands: int, rows: int, rounds: int) -> DataFrame:
-    """(node, component) of each line h1 of at that is near a lesser one."""
+def _near(common: Column, union: Column, jaccard: float) -> Column:
+    return common >= jaccard * union
+
+
+def near_lines(at: DataFrame, shingle: int, jaccard: float, bands: int, rows: int) -> DataFrame:
+    """(node, component) of each line h1 of at that is near a lesser one; raises if MAX_ROUNDS leave pairs uncompared."""
     whole = at.groupBy("h1").agg(F.max("line").alias("line"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
     lines = whole.where("lo = hi").select("h1", "line")
     keys = F.array(*[F.xxhash64(F.lit(band), *[f"s{k}" for k in range(band * rows, (band + 1) * rows)]) for band in range(bands)])
@@ -86,26 +92,37 @@ def near_lines(at: DataFrame, shingle: int, jaccard: float, bands: int, rows: in
     of_line = met.groupBy("h1").agg(F.collect_list("key").alias("keys"), F.sum("n").alias("met"))
     cands = stored(of_line.join(lines, "h1"), "line-candidates")
     texts = cands.select("h1", "line")
-    # (key, h1, met, part) of the lines that no pivot of their bucket has drawn into its component
-    rest = cands.select(F.explode("keys").alias("key"), "h1", "met").withColumn("part", F.col("h1"))
-    edges = parts = None
-    for _ in range(rounds):
-        pivot = F.max(F.struct("met", "h1", "part")).over(bucket)
-        rest = stored(rest.withColumn("pivot", pivot), "line-rest")
-        pairs = rest.where("h1 <> pivot.h1").select(F.col("pivot.h1").alias("a"), F.col("h1").alias("b")).distinct()
-        if pairs.isEmpty():
-            break
-        found = stored(_verified(pairs, texts, shingle, jaccard), "line-links")
-        edges = found if edges is None else edges.unionByName(found)
-        parts = components(edges, "a", "b")
-        named = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-        again = rest.select("key", "h1", "met", F.col("pivot.h1").alias("p")).join(named("h1"), "h1", "left").join(named("p"), "p", "left")
-        part = F.coalesce("h1_part", "h1")
-        rest = again.where(part != F.coalesce("p_part", "p")).select("key", "h1", "met", part.alias("part"))
-    return parts if parts is not None else components(cands.select(F.col("h1").alias("a"), F.col("h1").alias("b")), "a", "b")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 8, jaccard: float = 0.8, bands: int = 8, rows: int = 3, rounds: int = 3) -> DataFrame:
+    pivoted = stored(cands.select(F.explode("keys").alias("key"), "h1", "met").withColumn("pivot", F.max(F.struct("met", "h1")).over(bucket)["h1"]), "line-rest")
+    done = stored(_compared(pivoted.where("h1 <> pivot").select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct(), texts, shingle), "line-links")
+    near = lambda found: found.where(_near(F.col("common"), F.col("common") + F.col("only_a") + F.col("only_b"), jaccard)).select("a", "b")
+    edges = near(done)
+    parts = components(edges, "a", "b")
+    shares = done.select(F.col("a").alias("pivot"), F.col("b").alias("h1"), "common", "only_b")
+    # (key, h1, met, common, own, part) of the lines still to be compared with others of their bucket: what they share with its pivot, and don't
+    rest = pivoted.where("h1 <> pivot").join(shares, ["pivot", "h1"]).select("key", "h1", "met", "common", F.col("only_b").alias("own"))
+    done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for k in range(MAX_ROUNDS):
+        named = rest.drop("part").join(parts.select(F.col("node").alias("h1"), F.col("component").alias("part")), "h1", "left").withColumn("part", F.coalesce("part", "h1"))
+        apart = named.withColumns({"least": F.min("part").over(bucket), "most": F.max("part").over(bucket)}).where("least < most")
+        rest = stored(apart.withColumn("no", F.row_number().over(bucket.orderBy(F.desc("met"), "h1"))).drop("least", "most"), "line-rest")
+        if rest.isEmpty():
+            return parts
+        a, b = rest.where(F.col("no") <= 4**k).alias("a"), rest.alias("b")
+        c = lambda f, name: f(f"a.{name}", f"b.{name}")
+        most = c(F.least, "common") + c(F.least, "own")  # shingles in both at most
+        bound = _near(most, F.col("a.common") + F.col("a.own") + F.col("b.common") + F.col("b.own") - most, jaccard)
+        met_now = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr("a.no < b.no and a.part <> b.part") & bound)
+        pairs = met_now.select(c(F.least, "h1").alias("a"), c(F.greatest, "h1").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        found = stored(_compared(pairs, texts, shingle), "line-links")
+        done = done.unionByName(found.select("a", "b"))
+        if not near(found).isEmpty():
+            edges = edges.unionByName(near(found))
+            parts = components(edges, "a", "b")
+        rest = rest.where(F.col("no") > 4**k).drop("no")
+    raise RuntimeError(f"lines of a bucket are left to compare after {MAX_ROUNDS} rounds")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 8, jaccard: float = 0.8, bands: int = 8, rows: int = 3) -> DataFrame:
     """docs with text_col less every line that is near an earlier one, and columns n_lines and n_removed.
 
     Of each component of near or equal lines one stays: that of the least (id, position), nulls first. Blank lines stay.
@@ -113,7 +130,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives an empty result. Columns of docs that are named like those added are replaced, all others kept.
     """
     at = _occurrences(docs, id_col, text_col)
-    parts = near_lines(at, shingle, jaccard, bands, rows, rounds)
+    parts = near_lines(at, shingle, jaccard, bands, rows)
     counts = at.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo = hi")
     grouped = counts.join(parts, F.col("h1") == F.col("node"), "left").select("h1", "n", F.coalesce("component", "h1").alias("part"))
     # those of several lines, or of one that comes again: few of all, so only their places are looked up

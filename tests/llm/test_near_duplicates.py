@@ -169,3 +169,18 @@ def test_line_recall(spark):
         rows += [(2 * i, f"{a}", "", "", 0), (2 * i + 1, f"{a[:at]}#{a[at + 1:at + 9]}#{a[at + 10:]}", "", "", 0)]
     got = lines.deduplicate(spark.createDataFrame(rows, LINES)).where("n_removed = 1").count()
     assert got >= 294
+
+
+def test_line_dedup_of_many_unlike_groups_in_each_bucket(spark):
+    """Lines of one long prefix meet in crowded buckets; all near pairs of sixty unlike groups are found there."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    random_text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    prefix, rows = random_text(600), []
+    for i in range(60):
+        tail = random_text(90)
+        rows += [(2 * i, prefix + tail), (2 * i + 1, prefix + "".join("#" if j % 15 == 8 else x for j, x in enumerate(tail)))]
+    want = plain_lines(rows)
+    assert sum(t != "" for t in want.values()) == 60
+    got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], LINES)).collect()}
+    assert got == want
