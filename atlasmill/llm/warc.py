@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from atlasmill.llm.shared import new_dir
 
@@ -61,43 +62,41 @@ def _record(kind: str, record: str, block: bytes, **headers: str | int) -> bytes
     return packed.compress("\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n") + packed.flush()
 
 
-def records(key: str, payload: bytes, segment_bytes: int) -> Iterator[bytes]:
+def record_key(page: str, text: int, copy: int) -> str:
+    """What names the record of the copy-th equal row of a page's text-th text; both are 1 where a page has one row."""
+    return f"page:{page}" if (text, copy) == (1, 1) else f"copy:{text}.{copy}:{page}"
+
+
+def records(key: str, payload: bytes, segment_bytes: int, text: int = 1, copy: int = 1) -> Iterator[bytes]:
     """The response record of a payload and, where its block is over segment_bytes, its continuations."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + frame(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-    origin = f"<urn:page:{key}>"
+    name = f"urn:{record_key(key, text, copy)}"
+    origin = f"<{name}>"
     about = {"WARC_Target_URI": f"urn:page:{key}", "WARC_Payload_Digest": f"sha1:{digest(payload)}"}
     yield _record("response", origin, parts[0], **about, Content_Type="application/http; msgtype=response", **({"WARC_Segment_Number": 1} if len(parts) > 1 else {}))
     for i, part in enumerate(parts[1:], 2):
-        yield _record("continuation", f"<urn:page:{key}:{i}>", part, WARC_Segment_Origin_ID=origin, WARC_Segment_Number=i, **({"WARC_Segment_Total_Length": len(block)} if i == len(parts) else {}))
+        yield _record("continuation", f"<{name}:{i}>", part, WARC_Segment_Origin_ID=origin, WARC_Segment_Number=i, **({"WARC_Segment_Total_Length": len(block)} if i == len(parts) else {}))
 
 
-def revisit(key: str, payload_digest: str, n_bytes: int, refers_to: str) -> bytes:
+def revisit(key: str, payload_digest: str, n_bytes: int, refers_to: str, text: int = 1, copy: int = 1, refers_text: int = 1) -> bytes:
     """The revisit record of a payload that record refers_to holds; like a server's answer, its block has headers only."""
     block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % n_bytes
-    return _record("revisit", f"<urn:page:{key}>", block, WARC_Target_URI=f"urn:page:{key}", WARC_Payload_Digest=f"sha1:{payload_digest}", WARC_Refers_To=f"<urn:page:{refers_to}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", Content_Type="application/http; msgtype=response")
-
-
-def with_digests(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, digest, n_bytes) of each page; JVM functions have no base32, so their SHA-1 comes from Arrow batches."""
-
-    def batches(it):
-        for b in it:
-            data = [(t.as_py() or "").encode() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest, data), pa.string()), pa.array(map(len, data), pa.int64())], ["id", "digest", "n_bytes"])
-
-    picked = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
-    return picked.mapInArrow(batches, f"id {picked.schema['id'].dataType.simpleString()}, digest string, n_bytes long")
+    return _record("revisit", f"<urn:{record_key(key, text, copy)}>", block, WARC_Target_URI=f"urn:page:{key}", WARC_Payload_Digest=f"sha1:{payload_digest}", WARC_Refers_To=f"<urn:{record_key(refers_to, refers_text, 1)}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", Content_Type="application/http; msgtype=response")
 
 
 def write_warcs(pages: DataFrame, path: str, id_col: str, html_col: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, roll_bytes: int = ROLL_BYTES) -> None:
-    """Archives of pages below path, with a manifest. Payloads of at least min_bytes are written once, by the least id."""
+    """Archives of pages below path, with a manifest. Payloads of at least min_bytes are written once, by the least id's first row."""
     spark = pages.sparkSession
-    sums = with_digests(pages, id_col, html_col)
-    first = sums.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"))
-    later = sums.join(first, "digest").where("id <> first").select("id", F.col("first").cast("string").alias("refers_to"), "digest", "n_bytes")
-    html = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
-    rows = html.join(later, "id", "left").select(F.col("id").cast("string"), F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "refers_to", "digest", "n_bytes")
+    html = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).where("id is not null").withColumn("sha1", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
+    n_bytes = F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("n_bytes")
+    # each text of each page once, numbered within its page; equal rows share it and are numbered as they are written
+    texts = html.select("id", "sha1", n_bytes).distinct().withColumn("text", F.row_number().over(Window.partitionBy("id").orderBy("sha1")))
+    first = texts.where(F.col("n_bytes") >= min_bytes).groupBy("sha1").agg(F.min(F.struct("id", "text")).alias("first"))
+    told = texts.join(first, "sha1", "left").select("id", "sha1", "n_bytes", "text", "first")
+    numbered = html.withColumn("copy", F.row_number().over(Window.partitionBy("id", "sha1").orderBy("sha1"))).join(told, ["id", "sha1"])
+    again = F.col("first").isNotNull() & ((F.col("id") != F.col("first.id")) | (F.col("copy") > 1))
+    rows = numbered.select(F.col("id").cast("string"), F.when(~again, F.col("html")).alias("html"), F.when(again, F.col("first.id").cast("string")).alias("refers_to"), F.col("first.text").alias("refers_text"), "sha1", "n_bytes", "text", "copy")
     where, name = fs.FileSystem.from_uri(path)
     where.create_dir(name, recursive=True)
 
@@ -111,10 +110,10 @@ def write_warcs(pages: DataFrame, path: str, id_col: str, html_col: str, min_byt
                     sink = where.open_output_stream(f"{base}/{label}", compression=None)
                     done.append(label)
                 if row["refers_to"] is None:
-                    for r in records(row["id"], (row["html"] or "").encode(), segment_bytes):
+                    for r in records(row["id"], (row["html"] or "").encode(), segment_bytes, row["text"], row["copy"]):
                         sink.write(r)
                 else:
-                    sink.write(revisit(row["id"], row["digest"], row["n_bytes"], row["refers_to"]))
+                    sink.write(revisit(row["id"], base64.b32encode(bytes.fromhex(row["sha1"])).decode(), row["n_bytes"], row["refers_to"], row["text"], row["copy"], row["refers_text"]))
                 if sink.tell() >= roll_bytes:
                     sink.close()
                     sink = None
@@ -122,7 +121,7 @@ def write_warcs(pages: DataFrame, path: str, id_col: str, html_col: str, min_byt
             sink.close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["archive"])
 
-    rows.where("id is not null").mapInArrow(batches, "archive string").write.parquet(f"{path}/manifest")
+    rows.mapInArrow(batches, "archive string").write.parquet(f"{path}/manifest")
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -212,14 +211,15 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     page, (id_col, payload_bytes, payload_digest, record_type, refers_to), computed from what was read.
 
     A null html is an empty payload; payloads of at least min_bytes (0: empty ones too) that are equal are one response,
-    of the least id, and revisits of it. Ids are unique; a row with a null id has no record. A record that can't be put
+    of the least id, and revisits of it. Every row of a
+    repeated id has a record of its own; a row with a null id has none. A record that can't be put
     together again raises. An empty table gives an empty result. Other columns are not read.
     """
     path = path or new_dir(pages.sparkSession, "warc")
     write_warcs(pages, path, id_col, html_col, min_bytes, segment_bytes)
     read = reassemble(read_segments(pages.sparkSession, path))
     kind = pages.schema[id_col].dataType.simpleString()
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).cast(kind)
+    page = lambda c: F.regexp_extract(c, r"(?s)^<urn:(?:page|copy:\d+\.\d+):(.*)>$", 1).cast(kind)
     checked = read.select("id", "type", "digest", "target", F.octet_length("payload").cast("long").alias("n"), F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat("id", F.lit(": "), "error"))).alias("ok")).where("ok")
     responses = checked.where("type = 'response'")
     revisits = checked.where("type = 'revisit'")

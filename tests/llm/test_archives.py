@@ -131,3 +131,15 @@ def test_records_stand_alone_as_gzip_members(spark, tmp_path):
     found = [h for f in (tmp_path / "w").glob("*.warc.gz") for h, _ in warc.parse(where.open_input_stream(str(f), compression=None))]
     assert sum(h["WARC-Type"] == "continuation" for h in found) == 50 and sum("WARC-Segment-Total-Length" in h for h in found) == 1
     assert F is not None
+
+
+def test_warc_of_repeated_rows(spark):
+    """Rows that repeat a page, short and long, alone and with other texts, come out once each."""
+    long = "long " * 8_000
+    rows = [(1, "short"), (1, "short"), (2, "short"), (3, long), (3, long), (4, long), (4, long), (5, "one"), (5, "another")]
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(pages(spark, rows)).collect()]
+    n = len(long)
+    want = [(1, 5, "response", None), (1, 5, "revisit", 1), (2, 5, "revisit", 1), (3, n, "response", None), (3, n, "revisit", 3), (4, n, "revisit", 3), (4, n, "revisit", 3), (5, 3, "response", None), (5, 7, "response", None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    whole = [(r.page_id, r.payload_bytes, r.record_type) for r in warc.archive_pages(pages(spark, rows), min_bytes=1 << 20).collect()]
+    assert sorted(whole) == sorted((i, len(h), "response") for i, h in rows)
