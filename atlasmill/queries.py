@@ -404,6 +404,31 @@ def k01_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.result_lines(results).select(F.regexp_extract("value", "第([0-9]+)号", 1).cast("long").alias("seq"), F.size(parts).alias("columns"), parts[1].alias("name"))
 
 
+_LOW, _HIGH = lonlat_sql("x0", "y0"), lonlat_sql("x1", "y1")
+
+
+@query(f"""
+WITH k AS (SELECT p_partkey k, p_partkey % 6 r, p_size % 15 + 2 AS n FROM part WHERE p_partkey % 6 <> 5),
+b AS (SELECT *, (12675000 + k % 1000)::DOUBLE x0, (2569000 + k % 700)::DOUBLE y0, (12675000 + k % 1000 + CASE WHEN r < 2 THEN 30 ELSE 10 END)::DOUBLE x1, (2569000 + k % 700 + 10)::DOUBLE y1, 10123 + sum(CASE WHEN r = 3 THEN 0 ELSE 1 END) OVER (ORDER BY k) AS id FROM k),
+c AS (SELECT *, CASE WHEN r = 4 THEN x0 ELSE (x0 + x1) / 2 END AS x, CASE WHEN r = 4 THEN y0 ELSE (y0 + y1) / 2 END AS y FROM b WHERE r <> 3),
+d AS (SELECT *, {_LOW[0]} AS lon0, {_LOW[1]} AS lat0, {_HIGH[0]} AS lon1, {_HIGH[1]} AS lat1 FROM c)
+SELECT id::BIGINT AS region_id, 5 AS columns, CASE r WHEN 0 THEN '第' || k || '号花园1、2栋' WHEN 1 THEN '第' || k || '号花园AB座' WHEN 2 THEN '第' || k || '号花园1-' || n || '栋' ELSE '甲' END AS name,
+  round({_CENTER[0]}, 6) AS lon, round({_CENTER[1]}, 6) AS lat,
+  CASE WHEN r = 4 THEN '' ELSE printf('%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f,%.6f %.6f', lon0, lat0, lon1, lat0, lon1, lat1, lon0, lat1, lon0, lat0) END AS ring,
+  CASE WHEN r = 4 THEN '超市' ELSE '内部楼栋' END AS place_type FROM d
+""")
+def k01_all_result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with all its columns, the centre and the ring read from their JSON."""
+    parts = F.split("value", "\t", -1)
+    lines = K.result_lines(resolve(part_addresses(spark, sf_dir), part_responses(spark, sf_dir))).select(parts.alias("p"))
+    center = F.from_json(F.get("p", F.lit(2)), "lon double, lat double")
+    ring = F.transform(X.parsed_ring(F.get("p", F.lit(3))), lambda q: F.format_string("%.6f %.6f", q["x"], q["y"]))
+    return lines.select(
+        F.get("p", F.lit(0)).cast("long").alias("region_id"), F.size("p").alias("columns"), F.get("p", F.lit(1)).alias("name"),
+        F.round(center["lon"], 6).alias("lon"), F.round(center["lat"], 6).alias("lat"), F.array_join(ring, ",").alias("ring"), F.get("p", F.lit(4)).alias("place_type"),
+    )
+
+
 @query("""
 SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '香蜜楼花园|号街道' WHEN p_partkey % 3 = 1 THEN '号街道' ELSE '' END AS runs,
   CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 50 || '栋|B单元|二单元' WHEN p_partkey % 3 = 1 THEN '' ELSE 'C座' END AS units, p_partkey % 3 = 0 AS ordered, p_partkey % 3 = 0 AND p_partkey % 50 >= 10 AS bounded FROM part

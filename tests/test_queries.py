@@ -40,3 +40,10 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_result_lines_of_every_located_kind(spark):
+    got = own.k01_all_result_lines(spark, str(DATA))
+    parts = spark.read.parquet(f"{DATA}/part.parquet")
+    assert got.count() == parts.where("p_partkey % 6 not in (3, 5)").count()
+    assert got.where("ring = ''").count() == parts.where("p_partkey % 6 = 4").count() > 0
