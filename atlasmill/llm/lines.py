@@ -1,15 +1,20 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame functions alone.
 
-A line counts without surrounding spaces. Its shingles are runs of ``shingle`` characters (a shorter line is one
-shingle). Each distinct line is signed once: exploded rows of its shingles, hashed, and ``bands * rows`` minima of that
-hash under different exclusive-ors, which generated code computes without a further shuffle, because the lines are
-dealt out by their hash already. Lines that share a band's minima meet in a bucket.
-
-A bucket's most central line (the one that meets most others, over all bands) is compared with all its others by exact
-Jaccard similarity. How much each of those shares with it bounds how much any two of them can share; pairs that the bound
-rules out can't be near, and pairs in one component are settled. All other pairs of a bucket are compared too, in rounds
-of more and more lines each against the rest, until none is left. Union-find over the verified pairs gives the
-components, those of all near pairs that share a bucket.
+A line counts without surrounding spaces. Lines are near where the sets of their runs of ``shingle`` characters (a shorter
+line is one run) have a Jaccard similarity of ``jaccard``.
+
+Signatures. The minima are taken over runs of WINDOW bytes, longer than a shingle: scattered edits that leave 0.8 of the
+shingles leave over half of these, and lines that aren't near share hardly any, so one minimum is about as selective as
+three of single shingles and a band needs only one. Generated code computes the ``bands`` minima of one hash under
+different exclusive-ors from exploded rows. Lines of at most SHORT bytes have few such runs: they get SHORT_BANDS bands of
+SHORT_ROWS minima over runs of SHORT_WINDOW bytes as well. Lines that share a band meet in a bucket.
+
+Comparison. Each line that met another gets a bitmap of its shingles' hashes. Bits in which two bitmaps differ come of
+shingles that only one of the lines has, so a pair with more of them than near lines can have is out without a look at
+the lines, and no near pair is lost. What is left is verified by exact Jaccard similarity: first a bucket's most central
+line (the one that meets most others, over all bands) with all others; then, in rounds of 16, 256 and so on lines of a
+bucket against the rest, all pairs across components, until no bucket has lines of two components left to compare.
+Union-find over the verified pairs gives the components of all near pairs that share a bucket.
 
 Lines are told apart by 64 bits of hash; two lines that clash there (a second hash shows it) both stay as they are.
 """
@@ -18,15 +23,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from atlasmill.llm.graph import components
 from atlasmill.llm.shared import parallelism, stored
 
-#: Shingles of a line exploded at once, so that no array grows with a line, and shingles hashed in one row.
+#: Runs of a line exploded at once, so that no row grows with a line, and runs hashed in one row.
 PIECE, STEP = 4096, 4
-#: Rounds of comparisons in buckets; the k-th compares 4^k lines of each with all others, so these reach any size.
-MAX_ROUNDS = 30
+#: Bytes of a run for signatures; the same, the number of bands and the minima in each for lines of at most SHORT bytes.
+WINDOW, SHORT, SHORT_WINDOW, SHORT_BANDS, SHORT_ROWS = 20, 48, 8, 6, 2
+#: Words of 64 bits in a bitmap.
+WORDS = 16
+#: Rounds of comparisons in buckets; the k-th compares about 16^k lines of each with all others, so these reach any size.
+MAX_ROUNDS = 12
 
 
 def _constant(k: int) -> int:
@@ -36,113 +44,168 @@ def _constant(k: int) -> int:
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, no, line, h1, h2) of every line that isn't blank."""
-    at = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
-    return at.withColumn("line", F.trim("line")).where("line <> ''").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    """(at: id, hash of the text and number of the line; line) of every line that isn't blank."""
+    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
+    return split.withColumn("line", F.trim("line")).where("line <> ''").select(F.struct("id", "th", "no").alias("at"), "line")
 
 
-def _positions(df: DataFrame, line: str, shingle: int, step: int) -> DataFrame:
-    """df with _b, the line in four bytes a character, last, where its last shingle starts, and a row for each step-th start i."""
-    keep = [c for c in df.columns if c != line]
-    chars = df.select(*keep, F.encode(line, "UTF-32").alias("_b"), F.greatest(F.char_length(line) - shingle, F.lit(0)).alias("last"))
-    pieces = chars.select(*keep, "_b", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PIECE))).alias("c"))
-    return pieces.select(*keep, "_b", "last", F.explode(F.sequence("c", F.least(F.col("c") + (PIECE - step), "last"), F.lit(step))).alias("i"))
+def _hashed(data: DataFrame, unit: int, width: int) -> DataFrame:
+    """(h1, x0 .. x(STEP-1)) of data (h1, b, last): hashes of the runs of width units of b that start at units 0 to last.
 
+    A row has STEP runs (beyond the end the last again), so that an aggregate is updated once for them all.
+    """
+    pieces = data.select("h1", "b", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PIECE))).alias("c"))
+    starts = pieces.select("h1", "b", "last", F.explode(F.sequence("c", F.least(F.col("c") + (PIECE - STEP), "last"), F.lit(STEP))).alias("i"))
+    return starts.select("h1", *[F.xxhash64(F.substring("b", unit * F.least(F.col("i") + j, "last") + 1, F.lit(unit * width))).alias(f"x{j}") for j in range(STEP)])
 
-def _hash_at(i: Column, shingle: int) -> Column:
-    return F.xxhash64(F.substring("_b", 4 * i + 1, F.lit(4 * shingle)))
 
+def _signed(lines: DataFrame, width: int, n: int) -> DataFrame:
+    """(h1, s0 .. s(n-1)): minima of lines (h1, line) over runs of width bytes."""
+    runs = _hashed(lines.select("h1", F.encode("line", "UTF-8").alias("b"), F.greatest(F.octet_length("line") - width, F.lit(0)).alias("last")), 1, width)
+    least = lambda k: F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(_constant(k))) for j in range(STEP)])
+    return runs.groupBy("h1").agg(*[F.min(least(k)).alias(f"s{k}") for k in range(n)])
 
-def _signed(lines: DataFrame, shingle: int, n: int) -> DataFrame:
-    """(h1, s0 .. s(n-1)) of lines (h1, line), without a shuffle where those are dealt out by h1.
 
-    A row has STEP shingles (beyond the end the last again), so that a minimum in the group is set once for them all.
-    """
-    hashed = _positions(lines, "line", shingle, STEP).select("h1", *[_hash_at(F.least(F.col("i") + j, "last"), shingle).alias(f"x{j}") for j in range(STEP)])
-    least = lambda k: F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(_constant(k))) for j in range(STEP)])
-    return hashed.groupBy("h1").agg(*[F.min(least(k)).alias(f"s{k}") for k in range(n)])
+def _banded(signed: DataFrame, kind: int, bands: int, rows: int) -> DataFrame:
+    """(h1, key): a row for each band."""
+    keys = [F.xxhash64(F.lit(kind), F.lit(band), *[f"s{k}" for k in range(band * rows, (band + 1) * rows)]) for band in range(bands)]
+    return signed.select("h1", F.explode(F.array(*keys)).alias("key"))
 
 
-def _compared(pairs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, common, only_a, only_b) of pairs (a, b): how many shingles their lines (h1, line) share or have alone.
+def _positions(line: Column, shingle: int) -> Column:
+    """Where a line's last shingle starts."""
+    return F.greatest(F.char_length(line) - shingle, F.lit(0))
 
-    Counted shingle by shingle in rows, which generated code does several times faster than functions of arrays. The
-    last join deals pairs out by b, of which there are few to each line, and no further shuffle is needed.
-    """
-    n = 4 * parallelism(pairs.sparkSession)  # more tasks than their bytes ask for: a line becomes a row for each shingle
-    named = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").repartition(n, "b")
-    both = named.join(lines.select(F.col("h1").alias("b"), F.col("line").alias("y")).repartition(n, "b"), "b")
-    sides = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("line")), F.struct(F.lit(2).alias("side"), F.col("y").alias("line")))).alias("s")).select("a", "b", "s.side", "s.line")
-    each = _positions(sides, "line", shingle, 1).select("a", "b", "side", _hash_at(F.col("i"), shingle).alias("h"))
-    held = each.groupBy("a", "b", "h").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
-    return held.groupBy("a", "b").agg(F.count_if(F.col("lo") < F.col("hi")).alias("common"), F.count_if(F.col("hi") == 1).alias("only_a"), F.count_if(F.col("lo") == 2).alias("only_b"))
-
-
-def _near(common: Column, union: Column, jaccard: float) -> Column:
-    return common >= jaccard * union
-
-
-def near_lines(at: DataFrame, shingle: int, jaccard: float, bands: int, rows: int) -> DataFrame:
-    """(node, component) of each line h1 of at that is near a lesser one; raises if MAX_ROUNDS leave pairs uncompared."""
-    whole = at.groupBy("h1").agg(F.max("line").alias("line"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
-    lines = whole.where("lo = hi").select("h1", "line")
-    keys = F.array(*[F.xxhash64(F.lit(band), *[f"s{k}" for k in range(band * rows, (band + 1) * rows)]) for band in range(bands)])
-    bucket = Window.partitionBy("key")
-    met = _signed(lines, shingle, bands * rows).select("h1", F.explode(keys).alias("key")).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
-    of_line = met.groupBy("h1").agg(F.collect_list("key").alias("keys"), F.sum("n").alias("met"))
-    cands = stored(of_line.join(lines, "h1"), "line-candidates")
-    texts = cands.select("h1", "line")
-    pivoted = stored(cands.select(F.explode("keys").alias("key"), "h1", "met").withColumn("pivot", F.max(F.struct("met", "h1")).over(bucket)["h1"]), "line-rest")
-    done = stored(_compared(pivoted.where("h1 <> pivot").select(F.col("pivot").alias("a"), F.col("h1").alias("b")).distinct(), texts, shingle), "line-links")
-    near = lambda found: found.where(_near(F.col("common"), F.col("common") + F.col("only_a") + F.col("only_b"), jaccard)).select("a", "b")
-    edges = near(done)
+
+def _bitmaps(lines: DataFrame, shingle: int) -> DataFrame:
+    """(h1, n, w0 .. w(WORDS-1)): a bitmap of the hashes of the shingles of lines (h1, line), and at least their number."""
+    runs = _hashed(lines.select("h1", F.encode("line", "UTF-32").alias("b"), _positions(F.col("line"), shingle).alias("last")), 4, shingle)
+    bits = runs.select("h1", *[F.expr(f"shiftleft(1L, cast(x{j} & 63 as int))").alias(f"m{j}") for j in range(STEP)], *[F.expr(f"cast(shiftright(x{j}, 6) & {WORDS - 1} as int)").alias(f"k{j}") for j in range(STEP)])
+
+    def word(k: int) -> Column:
+        out = F.when(F.col("k0") == k, F.col("m0")).otherwise(F.lit(0).cast("long"))
+        for j in range(1, STEP):
+            out = out.bitwiseOR(F.when(F.col(f"k{j}") == k, F.col(f"m{j}")).otherwise(F.lit(0).cast("long")))
+        return out
+
+    maps = bits.groupBy("h1").agg(*[F.bit_or(word(k)).alias(f"w{k}") for k in range(WORDS)])
+    return maps.join(lines.select("h1", (_positions(F.col("line"), shingle) + 1).alias("n")), "h1")
+
+
+def _possible(x: str, y: str, jaccard: float) -> Column:
+    """Whether bitmaps leave it open that two lines are near."""
+    apart = sum((F.bit_count(F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
+    return apart <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - jaccard) / (1 + jaccard)) + 1e-6
+
+
+def _shingles(line: str, shingle: int) -> Column:
+    """The hashes of a line's distinct shingles. The outer lambda's variable holds the encoded line, encoded once."""
+    runs = lambda b: F.transform(F.sequence(F.lit(0), _positions(F.col(line), shingle)), lambda i: F.xxhash64(F.substring(b, 4 * i + 1, F.lit(4 * shingle))))
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), runs), 0))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """Those of pairs (a, b) of lines (h1, line) whose Jaccard similarity is at least jaccard."""
+    n = 4 * parallelism(pairs.sparkSession)  # more tasks than their bytes ask for: the work is in the sets
+    left = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").repartition(n, "b")
+    both = left.join(lines.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
+    sets = both.select("a", "b", _shingles("x", shingle).alias("x"), _shingles("y", shingle).alias("y"))
+    counted = sets.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return counted.where(F.col("both") >= jaccard * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
+
+
+def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows (key, h1, ...) with part, the component of h1, in buckets that have lines of several components."""
+    named = rows.drop("part").join(parts.select(F.col("node").alias("h1"), F.col("component").alias("part")), "h1", "left").withColumn("part", F.coalesce("part", "h1"))
+    split = named.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
+    return named.join(split, "key")
+
+
+def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> DataFrame:
+    """(node, component) of each line h1 of lines (h1, line) that is near a lesser one; raises if MAX_ROUNDS leave pairs uncompared."""
+    n = parallelism(lines.sparkSession)
+    keys = _banded(_signed(lines, WINDOW, bands), 0, bands, 1)
+    short = _banded(_signed(lines.where(F.octet_length("line") <= SHORT), SHORT_WINDOW, SHORT_BANDS * SHORT_ROWS), 1, SHORT_BANDS, SHORT_ROWS)
+    dealt = keys.unionByName(short).repartition(n, "key")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stored(dealt.join(sizes.hint("shuffle_hash"), "key"), "line-buckets")
+    central = met.groupBy("h1").agg(F.sum("size").alias("met"))
+    texts = stored(lines.join(central.select("h1"), "h1"), "line-candidates")
+    maps = stored(_bitmaps(texts, shingle), "line-bitmaps")
+    named = met.join(central, "h1")
+    pivots = named.groupBy("key").agg(F.max(F.struct("met", "h1")).alias("pivot")).select("key", "pivot.h1")
+    pairs = met.alias("b").join(pivots.alias("a"), "key").where("a.h1 <> b.h1").select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct()
+    open_ = pairs.join(maps.alias("y"), F.col("b") == F.col("y.h1")).join(maps.alias("x"), F.col("a") == F.col("x.h1")).where(_possible("x", "y", jaccard)).select("a", "b")
+    done = stored(open_, "line-pairs")
+    edges = stored(_verified(done, texts, shingle, jaccard), "line-links")
     parts = components(edges, "a", "b")
-    shares = done.select(F.col("a").alias("pivot"), F.col("b").alias("h1"), "common", "only_b")
-    # (key, h1, met, common, own, part) of the lines still to be compared with others of their bucket: what they share with its pivot, and don't
-    rest = pivoted.where("h1 <> pivot").join(shares, ["pivot", "h1"]).select("key", "h1", "met", "common", F.col("only_b").alias("own"))
-    done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for k in range(MAX_ROUNDS):
-        named = rest.drop("part").join(parts.select(F.col("node").alias("h1"), F.col("component").alias("part")), "h1", "left").withColumn("part", F.coalesce("part", "h1"))
-        apart = named.withColumns({"least": F.min("part").over(bucket), "most": F.max("part").over(bucket)}).where("least < most")
-        rest = stored(apart.withColumn("no", F.row_number().over(bucket.orderBy(F.desc("met"), "h1"))).drop("least", "most"), "line-rest")
+    # a bucket's lines by a number of their own in [0, 1): about as many as wanted are below that share of the bucket's size
+    rest = met.withColumn("rank", (F.pmod(F.xxhash64("key", "h1"), F.lit(1 << 40)) / float(1 << 40)) * F.col("size")).select("key", "h1", "rank")
+    for k in range(1, MAX_ROUNDS):
+        rest = stored(_apart(rest, parts), "line-rest")
         if rest.isEmpty():
             return parts
-        a, b = rest.where(F.col("no") <= 4**k).alias("a"), rest.alias("b")
-        c = lambda f, name: f(f"a.{name}", f"b.{name}")
-        most = c(F.least, "common") + c(F.least, "own")  # shingles in both at most
-        bound = _near(most, F.col("a.common") + F.col("a.own") + F.col("b.common") + F.col("b.own") - most, jaccard)
-        met_now = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr("a.no < b.no and a.part <> b.part") & bound)
-        pairs = met_now.select(c(F.least, "h1").alias("a"), c(F.greatest, "h1").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        found = stored(_compared(pairs, texts, shingle), "line-links")
-        done = done.unionByName(found.select("a", "b"))
-        if not near(found).isEmpty():
-            edges = edges.unionByName(near(found))
+        wide = rest.join(maps, "h1")
+        a, b = wide.where(F.col("rank") < 16**k).alias("a"), wide.alias("b")
+        in_order = F.expr("a.key = b.key and a.part <> b.part and struct(a.rank, a.h1) < struct(b.rank, b.h1)")
+        found = a.join(b, in_order & _possible("a", "b", jaccard)).select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
+        known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = stored(found.join(known, ["a", "b"], "left_anti"), "line-pairs")
+        more = stored(_verified(fresh, texts, shingle, jaccard), "line-links")
+        done = done.unionByName(fresh)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
             parts = components(edges, "a", "b")
-        rest = rest.where(F.col("no") > 4**k).drop("no")
+        rest = rest.where(F.col("rank") >= 16**k)
     raise RuntimeError(f"lines of a bucket are left to compare after {MAX_ROUNDS} rounds")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 8, jaccard: float = 0.8, bands: int = 8, rows: int = 3) -> DataFrame:
+def _copies(rows: DataFrame) -> DataFrame:
+    """rows (_id, _th, ...) with _copy, true in all but one of those that agree in both."""
+    numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "line-copies")
+    first = numbered.groupBy(F.col("_id").alias("_first_id"), F.col("_th").alias("_first_th")).agg(F.min("_row").alias("_first"))
+    at = F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_th") == F.col("_first_th"))
+    return numbered.join(first, at).withColumn("_copy", F.col("_row") > F.col("_first")).drop("_row", "_first", "_first_id", "_first_th")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 8, jaccard: float = 0.8, bands: int = 8) -> DataFrame:
     """docs with text_col less every line that is near an earlier one, and columns n_lines and n_removed.
 
-    Of each component of near or equal lines one stays: that of the least (id, position), nulls first. Blank lines stay.
-    A null text stays null, with 0 lines; an empty one has one. Rows that repeat both id and text lose the same lines.
-    An empty table gives an empty result. Columns of docs that are named like those added are replaced, all others kept.
+    Of each component of near or equal lines one stays: that of the least (id, hash of the text, position), nulls first; of
+    rows that repeat both id and text one keeps it. Blank lines stay. A null text stays null, with 0 lines; an empty one
+    has one. An empty table gives an empty result. Columns of docs that are named like those added are replaced, all
+    others kept. A line's shingles are held at once while it is compared, a line of n characters takes some 20 n bytes.
     """
     at = _occurrences(docs, id_col, text_col)
-    parts = near_lines(at, shingle, jaccard, bands, rows)
-    counts = at.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo = hi")
-    grouped = counts.join(parts, F.col("h1") == F.col("node"), "left").select("h1", "n", F.coalesce("component", "h1").alias("part"))
-    # those of several lines, or of one that comes again: few of all, so only their places are looked up
-    again = grouped.where((F.col("n") > 1) | (F.col("part") != F.col("h1"))).select("h1", "part")
-    heads = again.select(F.col("part").alias("h1"), "part")
-    repeated = stored(again.unionByName(heads).distinct(), "line-repeated")
-    place = at.select("h1", F.struct("id", "th", "no").alias("at")).join(repeated, "h1")
-    kept = place.groupBy("part").agg(F.min("at").alias("kept"))
-    gone = place.join(kept, "part").where("at <> kept").groupBy(F.col("at.id").alias("_id"), F.col("at.th").alias("_th")).agg(F.collect_set("at.no").alias("_gone"))
-    marked = docs.withColumn("_th", F.xxhash64(text_col)).alias("d").join(gone.hint("shuffle_hash").alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g._id")) & (F.col("d._th") == F.col("g._th")), "left")
-    parts_of = F.split(F.col(f"d.{text_col}"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts_of) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts_of, i)), "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return marked.select(*columns, F.when(F.col(f"d.{text_col}").isNull(), 0).otherwise(F.size(parts_of)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit(1), "line")
+    whole = at.select("*", h1.alias("h1"), h2.alias("h2")).groupBy("h1").agg(F.max("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
+    lines = stored(whole.where("lo = hi").drop("lo", "hi"), "lines")
+    parts = near_lines(lines.select("h1", "line"), shingle, jaccard, bands)
+    members = parts.select(F.col("node").alias("h1"), F.col("component").alias("part"))
+    members = members.unionByName(members.select(F.col("part").alias("h1"), "part").distinct())
+    again = lines.select("h1", "n", "first").join(members, "h1", "left").where("n > 1 or part is not null").withColumn("part", F.coalesce("part", "h1"))
+    kept = again.groupBy("part").agg(F.min("first").alias("kept"))
+    repeated = stored(again.join(kept, "part").select("h1", "kept"), "line-repeated")
+    place = at.select("at", h1.alias("h1")).join(repeated, "h1")
+    stays = F.col("at") == F.col("kept")
+    by_row = place.groupBy(F.col("at.id").alias("_gone_id"), F.col("at.th").alias("_gone_th")).agg(
+        F.collect_set(F.when(~stays, F.col("at.no"))).alias("_gone"), F.count_if(stays).alias("_n"), F.size(F.collect_set(F.when(stays, F.col("at.no")))).alias("_n_once")
+    )
+    # rows that repeat id and text show in a kept line that comes more than once
+    gone = stored(by_row.select("_gone_id", "_gone_th", "_gone", (F.col("_n") > F.col("_n_once")).alias("_twice")).where(F.col("_twice") | (F.size("_gone") > 0)), "line-gone")
+    named = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in named], F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"))
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th")), "left").withColumn("_copy", F.lit(False))
+    if not gone.where("_twice").isEmpty():
+        twice = F.coalesce("_twice", F.lit(False))
+        rows = rows.where(~twice).unionByName(_copies(rows.where(twice).drop("_copy")).select(rows.columns))
+    parts_of = F.split(F.col(f"`{text_col}`"), "\n", -1)
+    places = F.sequence(F.lit(0), F.size(parts_of) - 1)
+    less = F.array_except(places, F.col("_gone"))
+    blank = F.filter(places, lambda i: F.trim(F.get(parts_of, i)) == "")
+    left = F.when(F.col("_copy"), blank).otherwise(less)
+    touched = F.col("_copy") | (F.size("_gone") > 0)
+    text = F.when(touched, F.array_join(F.transform(left, lambda i: F.get(parts_of, i)), "\n")).otherwise(F.col(f"`{text_col}`"))
+    n_lines = F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(parts_of))
+    removed = F.when(touched, n_lines - F.size(left)).otherwise(0)
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in named], n_lines.alias("n_lines"), removed.alias("n_removed"))
