@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasmill.llm.shared import stored
+from atlasmill.llm.shared import discard, stored
 
 
 def _smaller(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """
     e = stored(_smaller(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
     for _ in range(max_rounds):
-        e = stored(_small_star(_large_star(e)), "edges")
+        last, e = e, stored(_small_star(_large_star(e)), "edges")
+        discard(last)
         twice = e.groupBy("u").count().where("count > 1").select("u")
         if twice.unionByName(e.join(e.select(F.col("u").alias("v")), "v", "left_semi").select("u")).isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.graph import components
-from atlasmill.llm.shared import parallelism, stored
+from atlasmill.llm.shared import discard, parallelism, stored
 
 #: Runs of a line exploded at once, so that no row grows with a line, and runs hashed in one row.
 PIECE, STEP = 4096, 4
@@ -141,9 +141,13 @@ def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> Da
     parts = components(edges, "a", "b")
     # a bucket's lines by a number of their own in [0, 1): about as many as wanted are below that share of the bucket's size
     rest = met.withColumn("rank", (F.pmod(F.xxhash64("key", "h1"), F.lit(1 << 40)) / float(1 << 40)) * F.col("size")).select("key", "h1", "rank")
+    held = [met]
     for k in range(1, MAX_ROUNDS):
         rest = stored(_apart(rest, parts), "line-rest")
+        discard(*held)
+        held = [rest]
         if rest.isEmpty():
+            discard(rest, texts, maps)
             return parts
         wide = rest.join(maps, "h1")
         a, b = wide.where(F.col("rank") < 64**k).alias("a"), wide.alias("b")

@@ -28,7 +28,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() made and nothing reads any more, and lets Spark drop the shuffles of finished jobs."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t.stored_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()  # Spark cleans up after plans that nothing refers to
 
 
 def parallelism(spark: SparkSession) -> int:
