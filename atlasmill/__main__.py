@@ -55,9 +55,10 @@ def run_buffer(spark: SparkSession, source: str, metres: float, target: str | No
 
 
 def run_enrich(spark: SparkSession, results: str, inputs: str, labels: str, target: str, write: bool) -> None:
-    rows = Z.tab_rows(spark, results, ["code", "name", "center", "ring", "place_type"])
-    out = E.enriched(rows, Z.addresses(spark, inputs, header="地址"), Z.labels(spark, labels))
-    E.N.unlabelled(out, Z.labels(spark, labels)).select("address").show(20, truncate=False)
+    rows = Z.tab_rows(spark, results, ["code", "name", "center", "ring", "place_type"], exact=True)
+    listed, known = Z.addresses(spark, inputs, header="地址"), Z.labels(spark, labels)
+    out = E.enriched(rows, listed, known)
+    E.N.unlabelled(out, known).select("address").show(20, truncate=False)
     K.write_lines(K.lines(out, [X.F.col(c) for c in E.COLUMNS]), target, dry_run=not write)
 
 
@@ -68,7 +69,7 @@ def main(args: list[str] | None = None) -> None:
     one.add_argument("--config")
     two = kinds.add_parser("buffer")
     two.add_argument("source", nargs="?", default="output")
-    two.add_argument("metres", nargs="?", type=float, default=20.0)
+    two.add_argument("metres", nargs="?", type=float, default=1000.0)
     two.add_argument("target", nargs="?")
     three = kinds.add_parser("enrich")
     for name in ("results", "inputs", "labels", "target"):

@@ -207,8 +207,3 @@ def buffered(ring: Column, metres: float) -> Column:
 def circle(x: Column, y: Column, metres: float, sides: int = R.CIRCLE_SIDES) -> Column:
     angle = lambda i: 2 * math.pi * i / sides
     return F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), lambda i: point(x + metres * F.cos(angle(i)) / _metres_lon(y), y + metres * F.sin(angle(i)) / R.METRES_PER_DEGREE))
-
-
-def merge_center(rings: Column, centers: Column) -> Column:
-    """Centroid of the hull over all rings, else the mean of the centres, else null."""
-    return F.coalesce(bind(convex_hull(F.flatten(rings)), lambda h: F.when(h.isNotNull(), centroid(h))), mean_point(centers))

@@ -11,7 +11,7 @@ ALIAS = "[（(][^（()）]*[)）]"
 CJK_RUN = "[\\u4e00-\\u9fa5]{2,}"
 UNIT_TOKEN = "[0-9A-Za-z]{1,4}(栋|座|楼|幢|号楼|单元)"
 NUMERAL_UNIT = "[一二三四五六七八九十]{1,3}单元?"
-UNIT_CHARACTERS = "栋座楼幢号单元"
+UNIT_CHARACTERS = "栋座楼幢号楼单元"
 RESIDENTIAL_INPUT = "栋|座|单元|楼|花园|苑|村|公寓|家园|小区|府|阁|居|庭|台|轩|庄"
 RESIDENTIAL_TAG = "住宅|楼栋|居住|小区"
 COMMERCIAL_TAG = "餐饮|美食|小吃|快餐|蛋糕|购物|超市|便利店|公司|企业|酒店|宾馆|生活服务|美容|健身|药店|金融"
@@ -45,6 +45,5 @@ CIRCLE_SIDES = 36
 STATUS_SUCCESS, STATUS_LOW, STATUS_FAILED = "成功", "低置信度", "失败"
 UNKNOWN_TYPE = "未知"
 NO_RESULT = "所有查询均无有效结果"
-ALL_OUTSIDE = "所有候选均为市外/越界结果"
 EMPTY_MERGE = "合并多边形为空"
 # ------------------------------------------------------------------------------------------------------------------

@@ -18,6 +18,21 @@ def control_trim(x) -> Column:
     return F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
+def abbreviated(x: Column, n: int = 20) -> Column:
+    """The first n characters, with … behind them where there are more."""
+    return F.when(F.char_length(x) > n, F.concat(F.left(x, F.lit(n)), F.lit("…"))).otherwise(x)
+
+
+def url_encoded(x: Column) -> Column:
+    """Percent-encoded UTF-8 as in forms: a space is +."""
+    return F.url_encode(x)
+
+
+def query_digest(x: Column) -> Column:
+    """MD5 of the UTF-8 text, as lower-case hex."""
+    return F.md5(F.encode(x, "UTF-8"))
+
+
 def or_empty(x) -> Column:
     return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
 

@@ -22,13 +22,14 @@ def first_occurrence(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def before(df: DataFrame, value: Column, order: str, name: str) -> DataFrame:
     """df with the sum of value over all rows before each, by a whole-number order, bucket by bucket.
 
-    The buckets' totals are summed in one small window, so no task takes all rows.
+    The buckets' totals are summed in one small window, so no task takes all rows. Rows without an order number come first.
     """
     held = df.withColumn("_v", value.cast("long")).withColumn("_b", F.shiftright(F.col(order).cast("long"), BUCKET_BITS))
     totals = held.groupBy("_b").agg(F.sum("_v").alias("_t"))
     starts = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     within = F.coalesce(F.sum("_v").over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return held.withColumn("_w", within).join(starts, "_b").withColumn(name, F.col("_s") + F.col("_w")).drop("_v", "_b", "_s", "_w")
+    starts = starts.withColumnRenamed("_b", "_at")
+    return held.withColumn("_w", within).join(starts, F.col("_b").eqNullSafe(F.col("_at"))).withColumn(name, F.col("_s") + F.col("_w")).drop("_v", "_b", "_s", "_w", "_at")
 
 
 def dense_ids(df: DataFrame, ok: Column, order: str, start: int, name: str = "region_id") -> DataFrame:
@@ -37,11 +38,19 @@ def dense_ids(df: DataFrame, ok: Column, order: str, start: int, name: str = "re
 
 
 def streaks(df: DataFrame, empty: Column, order: str, threshold: int) -> DataFrame:
-    """df with streak: empties in a row so far, 0 at others; it starts again after reaching the threshold."""
-    marked = before(df.withColumn("_e", empty), F.when(empty, 0).otherwise(1), order, "_island")
-    marked = marked.withColumn("_island", F.col("_island") + F.when(F.col("_e"), 0).otherwise(1))
-    run = F.count_if(F.col("_e")).over(Window.partitionBy("_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("streak", F.when(F.col("_e"), (run - 1) % threshold + 1).otherwise(0)).drop("_e", "_island")
+    """df with streak: empties in a row so far, 0 at others; it starts again after reaching the threshold.
+
+    A run's length is the distance to the last row that isn't empty. That is looked for in the row's own bucket, and the
+    buckets' last ones are carried on in one small window, so a run of any length stays in its buckets.
+    """
+    held = before(df.withColumn("_e", empty), F.lit(1), order, "_pos").withColumn("_b", F.shiftright(F.col(order).cast("long"), BUCKET_BITS))
+    full = F.when(~F.col("_e"), F.col("_pos"))
+    lasts = held.groupBy("_b").agg(F.max(full).alias("_l"))
+    carried = lasts.select(F.col("_b").alias("_at"), F.max("_l").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
+    here = F.max(full).over(Window.partitionBy("_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.col("_pos") - F.coalesce("_h", "_c", F.lit(-1))
+    joined = held.withColumn("_h", here).join(carried, F.col("_b").eqNullSafe(F.col("_at")))
+    return joined.withColumn("streak", F.when(F.col("_e"), (run - 1) % threshold + 1).otherwise(0)).drop("_e", "_pos", "_b", "_h", "_at", "_c")
 
 
 def best_admissible(df: DataFrame, keys: list[str], order: list[Column], admissible: Column) -> DataFrame:
@@ -90,6 +99,11 @@ def histogram(df: DataFrame, column: str, blank: str = "(空)") -> DataFrame:
     return df.groupBy(value.alias(column)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_keys(df: DataFrame, key: str) -> DataFrame:
+    """One row: n, how many different values key has; null is none."""
+    return df.agg(F.countDistinct(key).alias("n"))
+
+
 def keyword_filter(df: DataFrame, keyword: str, columns: list[str]) -> DataFrame:
     """Rows that hold the keyword in a column, upper and lower case alike."""
     found = F.lit(False)

@@ -46,10 +46,26 @@ def misaligned(left: DataFrame, right: DataFrame, column: str, order: str) -> Da
 
 
 def matched_ids(results: DataFrame, regions: DataFrame, key: str, check: str) -> DataFrame:
-    """results with their region by key; check must hold the same in both, else the row raises."""
-    other = regions.withColumnRenamed(check, "_check")
-    same = F.when(F.col(check).eqNullSafe(F.col("_check")), True).otherwise(F.raise_error(F.concat(F.lit("differs: "), F.col(key).cast("string"))).cast("boolean"))
-    return results.join(other, key).where(same).drop("_check")
+    """results with their region by key; a row without one, and one that doesn't hold the same check, raises."""
+    other = regions.withColumnRenamed(check, "_check").withColumn("_found", F.lit(True))
+    same = F.when(F.col("_found") & F.col(check).eqNullSafe(F.col("_check")), True).otherwise(F.raise_error(F.concat(F.lit("differs: "), F.col(key).cast("string"))).cast("boolean"))
+    return results.join(other, key, "left").where(same).drop("_check", "_found")
+
+
+def aligned(left: DataFrame, right: DataFrame, column: str, order: str) -> DataFrame:
+    """left, where both tables hold equal values at every place; the first of the places where they don't raises."""
+    rows = placed(left, order)
+    other = placed(right, order).select("pos", F.col(column).alias("_right"), F.lit(True).alias("_there"))
+    same = F.when(F.col("_there") & F.col(column).eqNullSafe(F.col("_right")), True).otherwise(F.raise_error(F.concat(F.lit("tables differ at row "), F.col("pos").cast("string"))).cast("boolean"))
+    return rows.join(other, "pos", "left").where(same).select(left.columns)
+
+
+def updated_by_place(base: DataFrame, changes: DataFrame, columns: list[str], order: str = "seq") -> DataFrame:
+    """base with the columns of the row of changes at the same place; as many rows of either, else ValueError."""
+    same_count(base, changes)
+    new = placed(changes, order).select("pos", *[F.col(c).alias(f"_new_{c}") for c in columns])
+    rows = placed(base, order).join(new, "pos")
+    return rows.withColumns({c: F.col(f"_new_{c}") for c in columns}).select(*base.columns, *[c for c in columns if c not in base.columns])
 
 
 def appended(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:

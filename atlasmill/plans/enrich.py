@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from atlasmill.functions import formats as X
 from atlasmill.functions import geometry as G
+from atlasmill.functions import text as T
 from atlasmill.operators import enrich as N
 from atlasmill.plans.resolve import Settings, chosen, regrouped
 
@@ -27,6 +28,11 @@ def enriched(results: DataFrame, inputs: DataFrame, labels: DataFrame) -> DataFr
     return N.with_labels(rows, labels).select("seq", *COLUMNS)
 
 
+def coded_regions(regions: DataFrame, rows: DataFrame) -> DataFrame:
+    """regions (seq, ...) with the code and label of the row of rows (seq, code, label, ...) at the same place."""
+    return N.updated_by_place(regions, rows, ["code", "label"])
+
+
 def recoded(rows: DataFrame, labels: DataFrame, preferred: Column | None = None) -> DataFrame:
     """rows with the code and label of their address; an address without one raises, of several the preferred one counts."""
     named = labels.select("seq", "address", F.col("code").alias("_code"), F.col("label").alias("_label"), "district")
@@ -37,8 +43,8 @@ def recoded(rows: DataFrame, labels: DataFrame, preferred: Column | None = None)
 def additions(answers: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(seq, code, name, center, ring, address, label) of answers (seq, address, query, raw, code, label): each a stored response
     to a query that stands for an address, of which a failed one raises."""
-    subs = answers.select("seq", "address", F.lit(0).alias("sub_pos"), F.lit(1).alias("n_sub"), F.col("query").alias("sub"), F.md5(F.encode("query", "UTF-8")).alias("query_md5"))
-    responses = answers.select(F.md5(F.encode("query", "UTF-8")).alias("query_md5"), "raw").distinct()
+    subs = answers.select("seq", "address", F.lit(0).alias("sub_pos"), F.lit(1).alias("n_sub"), F.col("query").alias("sub"), T.query_digest(F.col("query")).alias("query_md5"))
+    responses = answers.select(T.query_digest(F.col("query")).alias("query_md5"), "raw").distinct()
     found = regrouped(chosen(subs, responses, replace(settings)), settings).join(answers.select("seq", "code", "label"), "seq")
     point = X.point_json(G.point(F.col("center_lon"), F.col("center_lat")))
     center = F.when(F.col("center_lon").isNotNull(), point).otherwise(F.raise_error(F.concat(F.lit("no result: "), "input_address")))

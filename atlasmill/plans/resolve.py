@@ -19,7 +19,7 @@ from atlasmill.functions import responses as P
 from atlasmill.functions import rules as R
 from atlasmill.functions import score as S
 from atlasmill.functions import text as T
-from atlasmill.operators import city_allowed, dense_ids, first_occurrence, place_type, region_name, status, within_bounds
+from atlasmill.operators import city_allowed, dense_ids, first_occurrence, place_type, region_name, status, streaks, within_bounds
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def sub_queries(inputs: DataFrame) -> DataFrame:
     first = first_occurrence(inputs.withColumn("address", T.control_trim(F.col("address"))).where("address <> ''"), ["address"], "seq")
     parts = first.withColumn("subs", T.expanded(F.col("address")))
     each = parts.select("seq", "address", F.size("subs").alias("n_sub"), F.posexplode("subs").alias("sub_pos", "sub"))
-    return each.withColumn("query_md5", F.md5(F.encode("sub", "UTF-8")))
+    return each.withColumn("query_md5", T.query_digest(F.col("sub")))
 
 
 def score_struct(c: Column, address: Column) -> Column:
@@ -74,9 +74,20 @@ def ranked(candidates: Column, address: Column, settings: Settings) -> Column:
     return F.array_sort(F.transform(accepted, one))
 
 
+def latest_responses(responses: DataFrame) -> DataFrame:
+    """(query_md5, raw), one row for each query: the last by stored_at where there is such a column.
+
+    Of rows that don't differ in that, one with content and without an error code goes first, then the larger text.
+    """
+    at = F.col("stored_at").cast("long") if "stored_at" in responses.columns else F.lit(0).cast("long")
+    answers = F.col("raw").contains('"content"') & (F.coalesce(F.get_json_object("raw", "$.result.error"), F.lit("0")) == "0")
+    best = F.max(F.struct(at.alias("at"), F.coalesce(answers, F.lit(False)).alias("ok"), F.col("raw").alias("raw")))
+    return responses.groupBy("query_md5").agg(best.alias("best")).select("query_md5", "best.raw")
+
+
 def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFrame:
     """subs with answered, n_candidates, best (a candidate or null), total, detail and note of their response."""
-    found = subs.join(responses.select("query_md5", "raw"), "query_md5", "left").withColumn("outcome", P.envelope(F.col("raw")))
+    found = subs.join(latest_responses(responses), "query_md5", "left").withColumn("outcome", P.envelope(F.col("raw")))
     found = found.withColumn("ranked", ranked(F.col("outcome.candidates"), F.col("sub"), settings))
     found = found.withColumn("skipped", F.get(F.filter(F.transform("ranked", lambda r, i: F.when(r["admissible"], i)), lambda i: i.isNotNull()), 0))
     found = found.withColumn("pick", F.get("ranked", F.col("skipped")))
@@ -89,6 +100,22 @@ def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFra
     )
 
 
+def candidate_lines(subs: DataFrame, responses: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(seq, sub_pos, rank, idx, name, total, detail): every scored candidate, best first, for review."""
+    found = subs.join(latest_responses(responses), "query_md5").withColumn("outcome", P.envelope(F.col("raw")))
+    each = found.select("seq", "sub_pos", F.posexplode(ranked(F.col("outcome.candidates"), F.col("sub"), settings)).alias("rank", "r"))
+    return each.select("seq", "sub_pos", "rank", "r.candidate.idx", "r.candidate.name", "r.score.total", "r.score.detail")
+
+
+def empty_streaks(outcomes: DataFrame, threshold: int) -> DataFrame:
+    """outcomes of chosen() with streak: queries in a row, by address and part, that were answered without any candidate.
+
+    A query without a response doesn't count and is left out; a streak that reaches the threshold starts again.
+    """
+    asked = outcomes.where("answered").withColumn("_order", F.col("seq") * 4096 + F.col("sub_pos"))
+    return streaks(asked, F.col("n_candidates") == 0, "_order", threshold).drop("_order")
+
+
 def regrouped(outcomes: DataFrame, settings: Settings) -> DataFrame:
     """One result for each address from its parts' outcomes, in their order; see resolve()."""
     part = F.struct("sub_pos", "sub", "best", "detail", "low", "note")

@@ -5,13 +5,16 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasmill.functions import formats as X
 from atlasmill.functions import geometry as G
+from atlasmill.functions import responses as P
 from atlasmill.functions import rules as R
 from atlasmill.functions import text as T
+from atlasmill.plans.resolve import latest_responses
+from atlasmill.sources import file_lines
 
 
 def has_center() -> Column:
@@ -47,8 +50,8 @@ def rewrite_lines(df: DataFrame, path: str) -> None:
     """write_lines() to a path that df itself reads: by way of a second folder beside it."""
     held = f"{path.rstrip('/')}.new"
     write_lines(df.select("value"), held)
-    rows = df.sparkSession.read.text(held, lineSep="\r\n").select(F.monotonically_increasing_id().alias("o"), "value")
-    write_lines(rows.orderBy("o").select("value"), path)
+    rows = file_lines(df.sparkSession, held, lineSep="\r\n")  # part files are named in the order of their rows
+    write_lines(rows.orderBy("seq").select("value"), path)
 
 
 def map_rows(results: DataFrame) -> DataFrame:
@@ -84,8 +87,17 @@ def substituted(page: str, edits: list[tuple[str, str]]) -> str:
 
 
 def store_responses(responses: DataFrame, path: str) -> None:
-    """Appends (query_md5, query, raw) of answered queries as parquet."""
-    responses.where(F.col("raw").isNotNull() & (F.col("raw") != "")).write.mode("append").parquet(path)
+    """Appends (query_md5, query, raw) of answered queries as parquet, with stored_at; such as report an error are left out.
+
+    A query that is stored again is replaced: stored_responses() and resolve() take its latest row.
+    """
+    answered = responses.where(F.col("raw").isNotNull() & (F.col("raw") != "") & ~P.envelope(F.col("raw"))["auth_error"])
+    answered.withColumn("stored_at", F.unix_micros(F.current_timestamp())).write.mode("append").parquet(path)
+
+
+def stored_responses(spark: SparkSession, path: str) -> DataFrame:
+    """(query_md5, raw) of a store, one row for each query."""
+    return latest_responses(spark.read.parquet(path))
 
 
 def buffered_lines(rows: DataFrame, metres: float) -> DataFrame:

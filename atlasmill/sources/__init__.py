@@ -6,16 +6,29 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from atlasmill.functions import text as T
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, value): lines in file order; a file's lines never part, and files follow each other by name.
+    """(seq, value): lines numbered from 0 without gaps; a file's lines follow each other in order, and files by path."""
+    return file_lines(spark, path).select("seq", "value")
 
-    seq is dense within a split and rises from split to split, which is all that order needs; no task takes all lines.
+
+def file_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(seq, line_no, value): numbered_lines() with a line's place in its own file.
+
+    Spark reads splits of files in an order of its own, by size. Rows are counted by split, a window over the splits
+    (a row for each, whatever they hold) sums the counts by path and offset, and each line adds its place in the split.
     """
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), "value")
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = spark.read.options(**options).text(path).select(*split, F.monotonically_increasing_id().alias("_at"), "value")
+    counts = rows.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_file", "_start", "_first", earlier(Window.partitionBy()).alias("_before"), earlier(Window.partitionBy("_file")).alias("_in_file"))
+    place = F.col("_at") - F.col("_first")
+    return rows.join(starts, ["_file", "_start"]).select((F.col("_before") + place).alias("seq"), (F.col("_in_file") + place).alias("line_no"), "value")
 
 
 def addresses(spark: SparkSession, path: str, header: str | None = None, fallback: str | None = None) -> DataFrame:
@@ -34,21 +47,22 @@ def address_rows(lines: DataFrame, header: str | None = None) -> DataFrame:
 
 
 def response_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(query_md5, raw) of a folder of files <md5 of the query>.json."""
+    """(query_md5, raw) of a folder of files <md5 of the query>.json, or of one such file."""
     files = spark.read.text(path, wholetext=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("query_md5"), F.col("value").alias("raw"))
 
 
-def tab_rows(spark: SparkSession, path: str, names: list[str], header: bool = False) -> DataFrame:
-    """Columns by position of a file of tabs without quoting, blank lines left out; a row with fewer columns raises.
+def tab_rows(spark: SparkSession, path: str, names: list[str], header: bool = False, exact: bool = False) -> DataFrame:
+    """Columns by position of files of tabs without quoting, blank lines left out; a row with fewer columns raises.
 
-    seq is the line's place; further columns than named are left out.
+    seq is the line's place; further columns than named are left out, or raise too if exact. header: each file's first
+    line goes. A line of tabs and spaces alone is blank.
     """
-    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    lines = file_lines(spark, path).where(T.control_trim(F.col("value")) != "")
     if header:
-        lines = lines.where(F.col("seq") != 0)
+        lines = lines.where(F.col("line_no") != 0)
     parts = F.split("value", "\t", -1)
-    whole = F.when(F.size(parts) < len(names), F.raise_error(F.concat(F.lit("too few columns: "), "value")).cast("array<string>")).otherwise(parts)
+    whole = F.when((F.size(parts) != len(names)) if exact else (F.size(parts) < len(names)), F.raise_error(F.concat(F.lit("not the columns expected: " if exact else "too few columns: "), "value")).cast("array<string>")).otherwise(parts)
     return lines.select("seq", whole.alias("p")).select("seq", *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
 
 
@@ -76,7 +90,10 @@ def properties(path: str | None, defaults: dict[str, str | int | bool]) -> dict[
         if isinstance(defaults[key], bool):
             found[key] = value.lower() == "true"
         elif isinstance(defaults[key], int):
-            found[key] = int(value) if value.lstrip("-").isdigit() else defaults[key]
+            try:
+                found[key] = int(value)
+            except ValueError:
+                found[key] = defaults[key]
         else:
             found[key] = value
     return found
