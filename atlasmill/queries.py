@@ -373,7 +373,7 @@ def u01_repeatable_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, md5(c_name) AS key, round(c_acctbal, 2) AS value FROM customer""")
 def t25_digests_and_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T25, F01."""
-    return table(spark, sf_dir, "customer").select("c_custkey", F.md5(F.encode("c_name", "UTF-8")).alias("key"), F.round(X.decimal_text(F.col("c_acctbal")).cast("double"), 2).alias("value"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.query_digest(F.col("c_name")).alias("key"), F.round(X.decimal_text(F.col("c_acctbal")).cast("double"), 2).alias("value"))
 
 
 @query("""
@@ -381,8 +381,8 @@ SELECT o_orderkey % 1000 AS bucket, string_agg(o_orderkey::VARCHAR, chr(9) || ''
 """)
 def a04_ordered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts regrouped in order and joined as text."""
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy((F.col("o_orderkey") % 1000).alias("bucket")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
-    return rows.select("bucket", F.array_join(F.col("keys").cast("array<string>"), "\t").alias("line"))
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select((F.col("o_orderkey") % 1000).alias("bucket"), F.col("o_orderkey").cast("string").alias("line"), F.col("o_orderkey").alias("seq"))
+    return N.label_lists(rows, key="bucket", label="line", separator="\t")
 
 
 @query("""
