@@ -49,7 +49,7 @@ def op5_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    return urls.judge(table(spark, sf_dir, "pages"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge(table(spark, sf_dir, "pages"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict", *[F.round(c, 6).alias(c) for c in ("posterior_mean", "posterior_bound")])
 
 
 def op7_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +133,19 @@ d2 AS MATERIALIZED (SELECT suffix, domain, m * z + k AS a, (1 - m) * z + n - k A
 h1 AS (SELECT suffix, domain, host, n, k, a / (a + b) AS m FROM h JOIN d2 USING (suffix, domain)),
 h2 AS MATERIALIZED (SELECT suffix, domain, host, m * z + k AS a, (1 - m) * z + n - k AS b FROM h1, ({moments('h1', 'm')})),
 v AS (SELECT page_id, host, path, coalesce(h2.a, d2.a, s2.a, a0) AS a, coalesce(h2.b, d2.b, s2.b, b0) AS b FROM q LEFT JOIN h2 USING (suffix, domain, host) LEFT JOIN d2 USING (suffix, domain) LEFT JOIN s2 USING (suffix), g)
-SELECT page_id, host, path, {case(lambda r: r)} AS rule, coalesce({case(RULES.get)}, CASE WHEN a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM v"""
+SELECT page_id, host, path, {case(lambda r: r)} AS rule, coalesce({case(RULES.get)}, CASE WHEN mean + deviations < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS posterior_mean, round(mean + deviations, 6) AS posterior_bound
+FROM (SELECT *, a / (a + b) AS mean, 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS deviations FROM v)"""
+
+
+def _warc_sql() -> str:
+    """Twenty bits of the digest at a time are five hex digits and four letters of base32."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER w AS copy, first_value(page_id) OVER w AS first FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id)),
+d AS (SELECT *, sha1(html) AS h FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string([{letter} FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN copy = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN copy > 1 THEN first END AS refers_to FROM d"""
 
 
 #: The other operators' results are not to be had from SQL in reasonable time; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_mix_to_targets": _mix_sql(), "op6_url_reputation": _url_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_mix_to_targets": _mix_sql(), "op6_url_reputation": _url_sql(), "op10_warc_segments": _warc_sql()}

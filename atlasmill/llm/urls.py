@@ -83,7 +83,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], id_col:
     outcomes: (id_col, good 0 or 1) of some pages. verdict is the longest fitting rule's, else block where the
     posterior rate of good outcomes, mean plus z deviations, is below threshold, else allow. A null url and one without
     :// have empty host and path, fit no rule, and share one reputation. Repeated ids and rows each come out; an outcome
-    counts for every page of its id. Without outcomes nothing is blocked but by rules.
+    counts for every page of its id. Without outcomes nothing is blocked but by rules. An empty table gives an empty
+    result. Other columns are not read, so names may clash.
     """
     host, path = host_path(F.col(url_col))
     parsed = pages.select(id_col, F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
@@ -100,5 +101,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], id_col:
     known = named.select("host", a.alias("a"), b.alias("b"))
     n, mean = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
     known = known.select("host", mean.alias("posterior_mean"), (mean + z * F.sqrt(F.col("a") * F.col("b") / (n * n * (n + 1)))).alias("posterior_bound"))
+    known = stored(known, "host-reputation")  # read from a table, its join can be split where a host has very many pages
     verdict = F.coalesce("_by_rule", F.when(F.col("posterior_bound") < threshold, "block").otherwise("allow"))
     return parsed.join(known, "host").select(id_col, "host", "path", "rule", verdict.alias("verdict"), "posterior_mean", "posterior_bound")

@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from atlasmill.llm.shared import new_dir
+from atlasmill.llm.shared import new_dir, stored
 
 #: Bytes at which an archive is closed, bytes of a record's block in one segment, bytes of a chunk of transfer framing.
 ROLL_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 32 << 20, 16 << 10, 4 << 10
 READ_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
+#: Equal rows of a page whose records are written in one run.
+COPIES = 10_000
 EPOCH = "1970-01-01T00:00:00Z"
 SEGMENTS = "record_id string, type string, id string, segment int, total long, digest string, target string, block binary"
 
@@ -62,41 +63,53 @@ def _record(kind: str, record: str, block: bytes, **headers: str | int) -> bytes
     return packed.compress("\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n") + packed.flush()
 
 
-def record_key(page: str, text: int, copy: int) -> str:
-    """What names the record of the copy-th equal row of a page's text-th text; both are 1 where a page has one row."""
-    return f"page:{page}" if (text, copy) == (1, 1) else f"copy:{text}.{copy}:{page}"
+def record_name(page: str, sha1: str, copy: int) -> str:
+    """What names the record of the copy-th of a page's equal rows; sha1: the payload's digest in hex."""
+    return f"urn:page:{copy}:{sha1}:{page}"
 
 
-def records(key: str, payload: bytes, segment_bytes: int, text: int = 1, copy: int = 1) -> Iterator[bytes]:
+def records(page: str, payload: bytes, segment_bytes: int, copy: int = 1) -> Iterator[bytes]:
     """The response record of a payload and, where its block is over segment_bytes, its continuations."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + frame(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-    name = f"urn:{record_key(key, text, copy)}"
+    sha1 = hashlib.sha1(payload)
+    name = record_name(page, sha1.hexdigest(), copy)
     origin = f"<{name}>"
-    about = {"WARC_Target_URI": f"urn:page:{key}", "WARC_Payload_Digest": f"sha1:{digest(payload)}"}
+    about = {"WARC_Target_URI": f"urn:page:{page}", "WARC_Payload_Digest": f"sha1:{base64.b32encode(sha1.digest()).decode()}"}
     yield _record("response", origin, parts[0], **about, Content_Type="application/http; msgtype=response", **({"WARC_Segment_Number": 1} if len(parts) > 1 else {}))
     for i, part in enumerate(parts[1:], 2):
         yield _record("continuation", f"<{name}:{i}>", part, WARC_Segment_Origin_ID=origin, WARC_Segment_Number=i, **({"WARC_Segment_Total_Length": len(block)} if i == len(parts) else {}))
 
 
-def revisit(key: str, payload_digest: str, n_bytes: int, refers_to: str, text: int = 1, copy: int = 1, refers_text: int = 1) -> bytes:
-    """The revisit record of a payload that record refers_to holds; like a server's answer, its block has headers only."""
+def revisit(page: str, sha1: str, n_bytes: int, refers_to: str, copy: int = 1) -> bytes:
+    """The revisit record of a payload that page refers_to's first record holds; like a server's answer, its block has headers only."""
     block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % n_bytes
-    return _record("revisit", f"<urn:{record_key(key, text, copy)}>", block, WARC_Target_URI=f"urn:page:{key}", WARC_Payload_Digest=f"sha1:{payload_digest}", WARC_Refers_To=f"<urn:{record_key(refers_to, refers_text, 1)}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", Content_Type="application/http; msgtype=response")
+    payload_digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+    return _record("revisit", f"<{record_name(page, sha1, copy)}>", block, WARC_Target_URI=f"urn:page:{page}", WARC_Payload_Digest=f"sha1:{payload_digest}", WARC_Refers_To=f"<{record_name(refers_to, sha1, 1)}>", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", Content_Type="application/http; msgtype=response")
 
 
 def write_warcs(pages: DataFrame, path: str, id_col: str, html_col: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, roll_bytes: int = ROLL_BYTES) -> None:
-    """Archives of pages below path, with a manifest. Payloads of at least min_bytes are written once, by the least id's first row."""
-    spark = pages.sparkSession
-    html = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).where("id is not null").withColumn("sha1", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    n_bytes = F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("n_bytes")
-    # each text of each page once, numbered within its page; equal rows share it and are numbered as they are written
-    texts = html.select("id", "sha1", n_bytes).distinct().withColumn("text", F.row_number().over(Window.partitionBy("id").orderBy("sha1")))
-    first = texts.where(F.col("n_bytes") >= min_bytes).groupBy("sha1").agg(F.min(F.struct("id", "text")).alias("first"))
-    told = texts.join(first, "sha1", "left").select("id", "sha1", "n_bytes", "text", "first")
-    numbered = html.withColumn("copy", F.row_number().over(Window.partitionBy("id", "sha1").orderBy("sha1"))).join(told, ["id", "sha1"])
-    again = F.col("first").isNotNull() & ((F.col("id") != F.col("first.id")) | (F.col("copy") > 1))
-    rows = numbered.select(F.col("id").cast("string"), F.when(~again, F.col("html")).alias("html"), F.when(again, F.col("first.id").cast("string")).alias("refers_to"), F.col("first.text").alias("refers_text"), "sha1", "n_bytes", "text", "copy")
+    """Archives of pages below path, with a manifest. Payloads of at least min_bytes are written once, as one row of the least id's.
+
+    Rows are counted by page and payload without their texts; revisits are written from those counts, in runs of at most
+    COPIES, so that copies, however many, are neither shuffled with their texts nor meet in one task. A page is named p
+    and its id, or n where that is null; null ids come after all others.
+    """
+    page = F.coalesce(F.concat(F.lit("p"), F.col(id_col).cast("string")), F.lit("n")).alias("page")
+    text = F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
+    html = pages.select(F.col(id_col).alias("id"), page, text).withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
+    counted = stored(html.groupBy("page", "id", "sha1", F.octet_length("html").cast("long").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n")), "warc-pages")
+    first = counted.where(F.col("n_bytes") >= min_bytes).groupBy("sha1").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "page")).alias("first")).select("sha1", F.col("first.page").alias("first"))
+    told = counted.join(first, "sha1", "left").drop("id")
+    own = told.where("first is null or first = page").select("page", "sha1", F.when(F.col("first").isNull(), F.col("n")).otherwise(1).alias("n"))
+    # of equal rows of a page one text is kept before the shuffle
+    whole = html.groupBy("page", "sha1").agg(F.max("html").alias("html")).join(own, ["page", "sha1"])
+    least = F.when(F.col("first") == F.col("page"), 2).otherwise(1).cast("long")
+    later = told.where("first is not null").withColumn("least", least).where("least <= n")
+    runs = later.select("*", F.explode(F.sequence("least", "n", F.lit(COPIES).cast("long"))).alias("from"))
+    last = F.least(F.col("from") + (COPIES - 1), F.col("n"))
+    rows = whole.select("page", "sha1", "html", F.lit(None).cast("string").alias("refers_to"), F.octet_length("html").cast("long").alias("n_bytes"), F.lit(1).cast("long").alias("from"), F.col("n").alias("to"))
+    rows = rows.unionByName(runs.select("page", "sha1", F.lit(None).cast("string").alias("html"), F.col("first").alias("refers_to"), "n_bytes", "from", last.alias("to")))
     where, name = fs.FileSystem.from_uri(path)
     where.create_dir(name, recursive=True)
 
@@ -105,18 +118,19 @@ def write_warcs(pages: DataFrame, path: str, id_col: str, html_col: str, min_byt
         done, sink = [], None
         for b in it:
             for row in b.to_pylist():
-                if sink is None:
-                    label = f"{uuid.uuid4().hex}.warc.gz"
-                    sink = where.open_output_stream(f"{base}/{label}", compression=None)
-                    done.append(label)
-                if row["refers_to"] is None:
-                    for r in records(row["id"], (row["html"] or "").encode(), segment_bytes, row["text"], row["copy"]):
-                        sink.write(r)
-                else:
-                    sink.write(revisit(row["id"], base64.b32encode(bytes.fromhex(row["sha1"])).decode(), row["n_bytes"], row["refers_to"], row["text"], row["copy"], row["refers_text"]))
-                if sink.tell() >= roll_bytes:
-                    sink.close()
-                    sink = None
+                for copy in range(row["from"], row["to"] + 1):
+                    if sink is None:
+                        label = f"{uuid.uuid4().hex}.warc.gz"
+                        sink = where.open_output_stream(f"{base}/{label}", compression=None)
+                        done.append(label)
+                    if row["refers_to"] is None:
+                        for r in records(row["page"], row["html"].encode(), segment_bytes, copy):
+                            sink.write(r)
+                    else:
+                        sink.write(revisit(row["page"], row["sha1"], row["n_bytes"], row["refers_to"], copy))
+                    if sink.tell() >= roll_bytes:
+                        sink.close()
+                        sink = None
         if sink is not None:
             sink.close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["archive"])
@@ -211,18 +225,20 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     page, (id_col, payload_bytes, payload_digest, record_type, refers_to), computed from what was read.
 
     A null html is an empty payload; payloads of at least min_bytes (0: empty ones too) that are equal are one response,
-    of the least id, and revisits of it. Every row of a
-    repeated id has a record of its own; a row with a null id has none. A record that can't be put
-    together again raises. An empty table gives an empty result. Other columns are not read.
+    of the least id, and revisits of it. Every row has a record of its own, rows that repeat an id or are equal too. Null
+    ids come after all others: a row without an id is a response where no row with one has its payload, and what refers
+    to such a response has a null refers_to. A record that can't be put together again raises. An empty table gives an
+    empty result. Other columns are not read.
     """
     path = path or new_dir(pages.sparkSession, "warc")
     write_warcs(pages, path, id_col, html_col, min_bytes, segment_bytes)
     read = reassemble(read_segments(pages.sparkSession, path))
     kind = pages.schema[id_col].dataType.simpleString()
-    page = lambda c: F.regexp_extract(c, r"(?s)^<urn:(?:page|copy:\d+\.\d+):(.*)>$", 1).cast(kind)
-    checked = read.select("id", "type", "digest", "target", F.octet_length("payload").cast("long").alias("n"), F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat("id", F.lit(": "), "error"))).alias("ok")).where("ok")
+    name = r"(?s)^<urn:page:\d+:[0-9a-f]*:p(.*)>$"
+    page = lambda c: F.when(F.col(c).rlike(name), F.regexp_extract(c, name, 1)).cast(kind)
+    checked = read.select("id", "type", "digest", "target", F.octet_length("payload").cast("long").alias("n"), F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat("id", F.lit(": "), "error"))).alias("ok"))
+    checked = stored(checked.where("ok").drop("ok"), "warc-records")  # archives are read once
     responses = checked.where("type = 'response'")
-    revisits = checked.where("type = 'revisit'")
     sizes = responses.select(F.col("id").alias("target"), F.col("n").alias("full"), F.col("digest").alias("stored"))
-    again = revisits.join(sizes, "target", "left").select(page("id").alias(id_col), F.col("full").alias("payload_bytes"), F.col("stored").alias("payload_digest"), F.lit("revisit").alias("record_type"), page("target").alias("refers_to"))
+    again = checked.where("type = 'revisit'").join(sizes.hint("merge"), "target", "left").select(page("id").alias(id_col), F.col("full").alias("payload_bytes"), F.col("stored").alias("payload_digest"), F.lit("revisit").alias("record_type"), page("target").alias("refers_to"))
     return responses.select(page("id").alias(id_col), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast(kind).alias("refers_to")).unionByName(again)

@@ -105,7 +105,9 @@ def test_small_payloads_can_stay_responses(spark):
     got = warc.archive_pages(pages(spark, [(1, ""), (2, ""), (3, "abc"), (4, "abc")]), min_bytes=1).collect()
     assert sorted((r.page_id, r.record_type) for r in got) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
     assert warc.archive_pages(pages(spark, [(1, "a")]).limit(0)).count() == 0
-    assert warc.archive_pages(pages(spark, [(None, "a"), (1, "b")])).count() == 1
+    got = warc.archive_pages(pages(spark, [(None, "a"), (1, "b"), (None, "b"), (None, "a"), (None, None)])).collect()
+    want = [(1, 1, "response", None), (None, 1, "revisit", 1), (None, 1, "response", None), (None, 1, "revisit", None), (None, 0, "response", None)]
+    assert sorted(repr((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in got) == sorted(map(repr, want))
 
 
 def test_framing():
@@ -133,8 +135,10 @@ def test_records_stand_alone_as_gzip_members(spark, tmp_path):
     assert F is not None
 
 
-def test_warc_of_repeated_rows(spark):
+@pytest.mark.parametrize("copies", [10_000, 1])
+def test_warc_of_repeated_rows(spark, monkeypatch, copies):
     """Rows that repeat a page, short and long, alone and with other texts, come out once each."""
+    monkeypatch.setattr(warc, "COPIES", copies)
     long = "long " * 8_000
     rows = [(1, "short"), (1, "short"), (2, "short"), (3, long), (3, long), (4, long), (4, long), (5, "one"), (5, "another")]
     got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(pages(spark, rows)).collect()]
