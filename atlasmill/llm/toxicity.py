@@ -1,8 +1,8 @@
 """Toxicity by a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
 A document's features are the hashed character n-grams that it holds, each once. Counts by label give every feature a
-log-count ratio; logistic regression is fitted over the features of strongest evidence, each scaled by its ratio. The
-fit sees at most ``max_rows`` labelled rows of each label, those of least hash, so that it costs the same at any size;
+log-count ratio; logistic regression is fitted over the features of strongest evidence, each scaled by its ratio: the
+choice is part of the model, as all features fit the sample better and held-out texts worse. The fit sees at most ``max_rows`` labelled rows of each label, those of least hash, so that it costs the same at any size;
 every whole text is scored, where it lies, by one table of weights.
 """
 
@@ -100,8 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(total.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["f", "n0", "n1"])
 
-    # at most 2 ** BITS rows; those seen in few texts stay behind
-    found = texts.mapInArrow(counts, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
+    # at most 2 ** BITS rows
+    found = texts.mapInArrow(counts, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     rows0, rows1 = (texts.where(F.col("_y") == y).count() for y in (0, 1))
     if not rows0 or not rows1:
         return flat
@@ -136,7 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every whole text; a null text is empty. Repeated rows and null ids each get their row."""
+    """(id_col, score) of every whole text; a null text is empty. Repeated rows and null ids each get their row.
+
+    An empty table gives an empty result. Other columns are not read, so names may clash.
+    """
     wide, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias  # 2 ** BITS floats
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +151,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text scores at least threshold, all columns kept, without a shuffle."""
+    """docs without the rows whose text scores at least threshold, all columns kept, without a shuffle.
+
+    A null text is empty. Ids play no part: repeated rows go or stay together. An empty table stays one.
+    """
     wide, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias
     at = docs.columns.index(text_col)
 
