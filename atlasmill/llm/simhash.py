@@ -67,15 +67,16 @@ def fingerprint(text: str | None, shingle_words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
-    """(id_col, fp): the fingerprint's 64 bits as a signed long. A null text counts as empty."""
+    """(id_col, fp, th): the fingerprint's 64 bits as a signed long, and the text's hash. A null text counts as empty."""
 
     def batches(it):
         for b in it:
             fp = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], [id_col, "fp", "th"])
 
-    picked = docs.select(id_col, F.col(text_col).cast("string").alias("_text"))
-    return picked.mapInArrow(batches, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, fp long")
+    text = F.col(text_col).cast("string")
+    picked = docs.select(id_col, text.alias("_text"), F.xxhash64(text).alias("_hash"))
+    return picked.mapInArrow(batches, f"`{id_col}` {picked.schema[id_col].dataType.simpleString()}, fp long, th long")
 
 
 def _flips(bits: list[int], left: int) -> list[tuple[int, int]]:
@@ -144,12 +145,18 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
 
     rows = routed(prints.select("fp", "rep", F.col("fp").alias("v"), F.lit(half).alias("left")), p, 0, ["fp", "rep"])
     rows = rows.withColumn("route", F.shiftrightunsigned("v", 64 - p))
-    more = 8
-    hot = stored(rows.groupBy("route").count().where(F.col("count") > 8 * ROUTE_ROWS).select("route"), "hot-routes")
-    rows = rows.withColumn("done", F.lit(p))
-    if not hot.isEmpty():
-        further = routed(rows.join(hot, "route", "left_semi"), more, p, ["fp", "rep", "route"]).withColumn("route", F.shiftrightunsigned("v", 64 - p - more)).withColumn("done", F.lit(p + more))
-        rows = rows.join(hot, "route", "left_anti").select(further.columns).unionByName(further)
+    rows, dealt, done, more = rows.withColumn("done", F.lit(p)), [], p, 8
+    # a route of too many rows is dealt out by further bits, as often as it takes or as there are bits
+    while done + more <= 64:
+        hot = stored(rows.groupBy("route").count().where(F.col("count") > 8 * ROUTE_ROWS).select("route"), "hot-routes")
+        if hot.isEmpty():
+            break
+        dealt.append(rows.join(hot, "route", "left_anti"))
+        further = routed(rows.join(hot, "route", "left_semi"), more, done, ["fp", "rep"])
+        done += more
+        rows = further.withColumns({"route": F.shiftrightunsigned("v", 64 - done), "done": F.lit(done)})
+    for less in dealt:
+        rows = rows.unionByName(less.select(rows.columns))
 
     def tie(table: pa.Table) -> pa.Table:
         v, rep, fp = (table.column(c).to_numpy() for c in ("v", "rep", "fp"))
@@ -165,8 +172,7 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
         return pa.table({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
     n_parts = max(parallelism(prints.sparkSession), 1)
-    dealt = rows.repartition(n_parts, "done", "route")
-    return dealt.groupBy("done", "route").applyInArrow(tie, "a long, b long").distinct()
+    return rows.repartition(n_parts, "done", "route").groupBy("done", "route").applyInArrow(tie, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
@@ -177,10 +183,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id gets its fingerprint and a null component. An empty table gives an empty result. Other columns are not read.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    prints = stored(fps.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "prints")
-    parts = components(links(prints, radius), "a", "b")
-    named = prints.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+    return _linked(fps, id_col, radius).drop("th")
+
+
+def _linked(fps: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """fps (id_col, fp, ...) with component_id. Prints are what is linked, so an id of several texts has a print of each."""
+    prints = stored(fps.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("long").alias("least")), "prints")
+    parts = components(links(prints.select("fp", F.col("fp").alias("rep")), radius), "a", "b")
+    named = prints.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "part").select("fp", "component_id")
+    return fps.join(named, "fp", "left").withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id"))).select(*fps.columns, "component_id")
 
 
 def hex_digits(fp):
@@ -188,8 +201,11 @@ def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """Rows of docs without those that a document of a smaller id is near to; a row with a null id stays."""
-    found = near_duplicates(docs, id_col, text_col, **params)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
+    """Rows of docs without those that a document of a smaller id is near to; a row with a null id stays.
+
+    Rows of one id stay or go by their own texts.
+    """
+    fps = stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    gone = _linked(fps, id_col, radius).where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    return docs.join(gone, (docs[id_col] == F.col("_gone_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_gone_th")), "left_anti")

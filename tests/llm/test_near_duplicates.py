@@ -60,7 +60,7 @@ def test_components_equal_brute_force(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(plain_components(pairs, prints).values())
 
 
-@pytest.mark.parametrize("rows", [16_000, 20])
+@pytest.mark.parametrize("rows", [16_000, 20, 2])
 def test_links_equal_brute_force_on_dense_fingerprints(spark, monkeypatch, rows):
     """Also with routes that are dealt out by further bits, and sorts that go on by further bits."""
     monkeypatch.setattr(simhash, "ROUTE_ROWS", rows)
@@ -98,6 +98,15 @@ def test_repeats_null_ids_and_no_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_an_id_of_several_texts_links_each_of_them(spark):
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six"]
+    docs = spark.createDataFrame([(5, texts[0], "", "", 0), (5, texts[1], "", "", 0), (3, texts[1], "", "", 0), (9, texts[0], "", "", 0)], DOCS)
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    prints = [(p - (1 << 64) if p >= 1 << 63 else p) for p in (plain_fingerprint(t, 4) for t in texts)]
+    assert got == {(5, prints[0]): 5, (5, prints[1]): 3, (3, prints[1]): 3, (9, prints[0]): 5}
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_first(docs).collect()) == [(3, texts[1]), (5, texts[0])]
+
+
 def test_graph_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 3), (302, 301), (301, 302)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
