@@ -8,6 +8,8 @@ drawn from its id's hash is below its cell's probability.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,8 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], keep: float
     """Inclusion probabilities of cells (values by dimension -> tokens): sweeps of proportional fitting to targets.
 
     targets: by dimension, each value's share of keep times all tokens. A probability never passes 1, so a value
-    without enough tokens ends below its target, and what is left goes to no other.
+    without enough tokens ends below its target, and what is left goes to no other: a warning names the values that end
+    over a hundredth of their target away from it, with their share of it, whether for that or for too few sweeps.
     """
     want, p = keep * sum(cells.values()), dict.fromkeys(cells, keep)
     for _ in range(sweeps):
@@ -59,6 +62,14 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], keep: float
             for c, n in cells.items():
                 now[c[d]] += n * p[c]
             p = {c: min(1.0, x * want * shares[c[d]] / now[c[d]]) if now[c[d]] else x for c, x in p.items()}
+    away = []
+    for d, shares in enumerate(targets):
+        now = dict.fromkeys(shares, 0.0)
+        for c, n in cells.items():
+            now[c[d]] += n * p[c]
+        away += [f"{v} {now[v] / (want * share):.3f}" for v, share in sorted(shares.items()) if want * share > 0 and abs(now[v] / (want * share) - 1) > 0.01]
+    if away:
+        warnings.warn(f"after {sweeps} sweeps not at their targets: {', '.join(away)}", stacklevel=2)
     return p
 
 

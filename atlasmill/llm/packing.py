@@ -86,7 +86,8 @@ class PieceEncoder:
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32 and, with keep_ids, ids) of each piece of a document's ids, which end_id ends.
 
-    ids: little-endian unsigned 32-bit numbers. A null text is empty and has one piece, end_id alone.
+    ids: little-endian unsigned 32-bit numbers. A null text is empty and has one piece, end_id alone. Null and repeated ids
+    are rows like others. An empty table gives an empty result. Other columns are not read, so names may clash.
     """
 
     names = ["piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
@@ -158,6 +159,8 @@ def pack(parts: DataFrame, id_col: str = "doc_id", capacity: int = 2048, max_doc
 
     A sequence holds at most capacity tokens, max_docs pieces and max_attention, the sum of the pieces' squared
     lengths; None sets no limit beyond what capacity implies. A piece that is over a capacity by itself raises.
+    Equal pieces and pieces of null ids are packed like any other; ties go by the ids' checksum and the piece's number.
+    An empty table gives an empty result. Further columns are left out.
     """
     capacities = np.array([capacity, max_docs or capacity, max_attention or float(capacity) ** 2], float)
     groups = max(1, round(parts.count() / group_rows))

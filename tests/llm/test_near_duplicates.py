@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,7 +127,12 @@ def plain_lines(texts, q=8, jaccard=0.8):
             if x.strip(" "):
                 found.setdefault(x.strip(" "), (d, i))
     sets = {x: {x[i : i + q] for i in range(max(1, len(x) - q + 1))} for x in found}
-    near = [(found[a], found[b]) for a, b in itertools.combinations(found, 2) if len(sets[a] & sets[b]) >= jaccard * len(sets[a] | sets[b])]
+    holds = {}
+    for x, grams in sets.items():
+        for g in grams:
+            holds.setdefault(g, []).append(x)
+    common = Counter(p for xs in holds.values() for p in itertools.combinations(xs, 2))
+    near = [(found[a], found[b]) for (a, b), n in common.items() if n >= jaccard * (len(sets[a]) + len(sets[b]) - n)]
     part = plain_components(near, found.values())
     return {(d): None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if not x.strip(" ") or part[found[x.strip(" ")]] == (d, i)) for d, t in texts}
 

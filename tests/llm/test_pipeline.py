@@ -1,5 +1,8 @@
 """Each stage of the pipeline against a plain version, and all of them together."""
 
+import hashlib
+import importlib.util
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -35,6 +38,47 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
     assert after.join(labels.where("toxic = 1"), "doc_id").count() == 0
 
 
+def test_lines_are_those_that_brute_force_keeps(stages):
+    at = Path(__file__).parent / "test_near_duplicates.py"
+    spec = importlib.util.spec_from_file_location("plain_near", at)
+    plain = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(plain)
+    _, before, after = stages[1]
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    want = plain.plain_lines(rows)
+    had = dict(rows)
+    want = {d: t for d, t in want.items() if t == had[d] or (t or "").strip(" ") != ""}
+    assert {r.doc_id: r.text for r in after.collect()} == want
+
+
+def test_the_mix_is_raking_and_a_draw(stages):
+    """Tokens, topics, cells, probabilities and the draw, all in plain Python."""
+    from atlasmill.llm import mixing
+    from atlasmill.llm.queries import MIX, MIX_KEEP, MIX_SWEEPS
+
+    def topic(t):
+        n, share = len(t), lambda chars: sum(t.count(c) for c in chars)
+        rules = (("code", "{}();=", 25), ("table", "|", 40), ("shout", "!", 40), ("noise", "#$%&*", 25))
+        return next((name for name, chars, k in rules if share(chars) * k > n), "note" if n < 500 else "prose")
+
+    _, before, after = stages[3]
+    rows, cells = {}, Counter()
+    for r in before.collect():
+        t = r.text or ""
+        cell = tuple(v if v in MIX[d][0] else "*" for d, v in (("source", r.source), ("lang", r.lang), ("topic", topic(t))))
+        rows[r.doc_id] = cell
+        cells[cell] += t.count(" ") + 1 if t else 0
+    targets = []
+    for i, (_, power) in enumerate(MIX.values()):
+        found = Counter()
+        for c, n in cells.items():
+            found[c[i]] += n
+        targets.append(mixing.tempered(found, power))
+    p = mixing.rake(cells, targets, MIX_KEEP, MIX_SWEEPS)
+    want = {d for d, c in rows.items() if int(hashlib.md5(str(d).encode()).hexdigest()[:8], 16) / 2**32 < p[c]}
+    assert {r.doc_id for r in after.collect()} == want and 0 < len(want) < len(rows)
+
+
 def test_lines_repeat_no_more(stages):
     _, before, after = stages[1]
     lines = after.select(F.explode(F.split("text", "\n")).alias("x")).where("trim(x) <> ''").groupBy(F.trim("x")).count()
