@@ -12,7 +12,7 @@ SHORT_ROWS minima over runs of SHORT_WINDOW bytes as well. Lines that share a ba
 Comparison. Each line that met another gets a bitmap of its shingles' hashes. Bits in which two bitmaps differ come of
 shingles that only one of the lines has, so a pair with more of them than near lines can have is out without a look at
 the lines, and no near pair is lost. What is left is verified by exact Jaccard similarity: first a bucket's most central
-line (the one that meets most others, over all bands) with all others; then, in rounds of 64, 4,096 and so on lines of a
+line (the one that meets most others, over all bands) with all others; then, in rounds of 8, 64, 512 and so on lines of a
 bucket against the rest, all pairs across components, until no bucket has lines of two components left to compare.
 Union-find over the verified pairs gives the components of all near pairs that share a bucket.
 
@@ -33,8 +33,8 @@ PIECE, STEP = 4096, 4
 WINDOW, SHORT, SHORT_WINDOW, SHORT_BANDS, SHORT_ROWS = 20, 48, 8, 6, 2
 #: Words of 64 bits in a bitmap.
 WORDS = 32
-#: Rounds of comparisons in buckets; the k-th compares about 64^k lines of each with all others, so these reach any size.
-MAX_ROUNDS = 10
+#: Rounds of comparisons in buckets; the k-th compares about 8^k lines of each with all others, so these reach any size.
+MAX_ROUNDS = 16
 
 
 def _constant(k: int) -> int:
@@ -150,7 +150,7 @@ def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> Da
             discard(rest, texts, maps)
             return parts
         wide = rest.join(maps, "h1")
-        a, b = wide.where(F.col("rank") < 64**k).alias("a"), wide.alias("b")
+        a, b = wide.where(F.col("rank") < 8**k).alias("a"), wide.alias("b")
         in_order = F.expr("a.key = b.key and a.part <> b.part and struct(a.rank, a.h1) < struct(b.rank, b.h1)")
         found = a.join(b, in_order & _possible("a", "b", jaccard)).select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
         known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -160,7 +160,7 @@ def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> Da
         if not more.isEmpty():
             edges = edges.unionByName(more)
             parts = components(edges, "a", "b")
-        rest = rest.where(F.col("rank") >= 64**k)
+        rest = rest.where(F.col("rank") >= 8**k)
     raise RuntimeError(f"lines of a bucket are left to compare after {MAX_ROUNDS} rounds")
 
 
