@@ -2,7 +2,7 @@
 
 A document's features are the hashed character n-grams that it holds, each once. Counts by label give every feature a
 log-count ratio; logistic regression is fitted over the features of strongest evidence, each scaled by its ratio: the
-choice is part of the model, as all features fit the sample better and held-out texts worse. The fit sees at most ``max_rows`` labelled rows of each label, those of least hash, so that it costs the same at any size;
+choice is a parameter of the model (README has figures of a fit over all features). The fit sees at most ``max_rows`` labelled rows of each label, those of least hash, so that it costs the same at any size;
 every whole text is scored, where it lies, by one table of weights.
 """
 
