@@ -39,5 +39,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         discard(last)
         twice = e.groupBy("u").count().where("count > 1").select("u")
         if twice.unionByName(e.join(e.select(F.col("u").alias("v")), "v", "left_semi").select("u")).isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            stars.stored_path = e.stored_path
+            return stars
     raise RuntimeError(f"edges are not stars after {max_rounds} rounds")

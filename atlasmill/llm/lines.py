@@ -9,12 +9,14 @@ three of single shingles and a band needs only one. Generated code computes the
 different exclusive-ors from exploded rows. Lines of at most SHORT bytes have few such runs: they get SHORT_BANDS bands of
 SHORT_ROWS minima over runs of SHORT_WINDOW bytes as well. Lines that share a band meet in a bucket.
 
-Comparison. Each line that met another gets a bitmap of its shingles' hashes. Bits in which two bitmaps differ come of
-shingles that only one of the lines has, so a pair with more of them than near lines can have is out without a look at
-the lines, and no near pair is lost. What is left is verified by exact Jaccard similarity: first a bucket's most central
-line (the one that meets most others, over all bands) with all others; then, in rounds of 8, 64, 512 and so on lines of a
-bucket against the rest, all pairs across components, until no bucket has lines of two components left to compare.
-Union-find over the verified pairs gives the components of all near pairs that share a bucket.
+Comparison. Each line that met another gets a bitmap of its shingles' hashes, of 4 to 8 bits for each shingle. Bits in
+which two bitmaps differ come of shingles that only one of the lines has, so a pair with more of them than near lines can
+have is out without a look at the lines, and no near pair is lost. The same holds for bitmaps folded to FOLD words, which
+are looked at first, and for a line with more bits than the other's shingles allow. A pair is compared in one bucket only,
+that of the least key that both lines have. What is left is verified by exact Jaccard similarity: first a bucket's most
+central line (the one that meets most others, over all bands) with all others; then, in rounds of 8, 128, 2,048 and so on
+lines of a bucket against the rest, all pairs across components, until no bucket has lines of two components left to
+compare. Union-find over the verified pairs gives the components of all near pairs that share a bucket.
 
 Lines are told apart by 64 bits of hash; two lines that clash there (a second hash shows it) both stay as they are.
 """
@@ -31,10 +33,10 @@ from atlasmill.llm.shared import discard, parallelism, stored
 PIECE, STEP = 4096, 4
 #: Bytes of a run for signatures; the same, the number of bands and the minima in each for lines of at most SHORT bytes.
 WINDOW, SHORT, SHORT_WINDOW, SHORT_BANDS, SHORT_ROWS = 20, 48, 8, 6, 2
-#: Words of 64 bits in a bitmap.
-WORDS = 32
-#: Rounds of comparisons in buckets; the k-th compares about 8^k lines of each with all others, so these reach any size.
-MAX_ROUNDS = 16
+#: Words of 64 bits in a folded bitmap, and shingles for each word of a whole one (at most; at least half as many).
+FOLD, LOAD = 8, 16
+#: Rounds of comparisons in buckets; the k-th compares about 8 * 16^(k-1) lines of each with all others, so these reach any size.
+MAX_ROUNDS = 12
 
 
 def _constant(k: int) -> int:
@@ -78,24 +80,39 @@ def _positions(line: Column, shingle: int) -> Column:
 
 
 def _bitmaps(lines: DataFrame, shingle: int) -> DataFrame:
-    """(h1, n, w0 .. w(WORDS-1)): a bitmap of the hashes of the shingles of lines (h1, line), and at least their number."""
-    runs = _hashed(lines.select("h1", F.encode("line", "UTF-32").alias("b"), _positions(F.col("line"), shingle).alias("last")), 4, shingle)
-    bits = runs.select("h1", *[F.expr(f"shiftleft(1L, cast(x{j} & 63 as int))").alias(f"m{j}") for j in range(STEP)], *[F.expr(f"cast(shiftright(x{j}, 6) & {WORDS - 1} as int)").alias(f"k{j}") for j in range(STEP)])
+    """(h1, n, c, w0 .. w(FOLD-1), bits) of lines (h1, line).
 
-    def word(k: int) -> Column:
-        out = F.when(F.col("k0") == k, F.col("m0")).otherwise(F.lit(0).cast("long"))
-        for j in range(1, STEP):
-            out = out.bitwiseOR(F.when(F.col(f"k{j}") == k, F.col(f"m{j}")).otherwise(F.lit(0).cast("long")))
-        return out
-
-    maps = bits.groupBy("h1").agg(*[F.bit_or(word(k)).alias(f"w{k}") for k in range(WORDS)])
-    return maps.join(lines.select("h1", (_positions(F.col("line"), shingle) + 1).alias("n")), "h1")
-
-
-def _possible(x: str, y: str, jaccard: float) -> Column:
-    """Whether bitmaps leave it open that two lines are near."""
-    apart = sum((F.bit_count(F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
-    return apart <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - jaccard) / (1 + jaccard)) + 1e-6
+    bits is a bitmap of the hashes of the shingles as an array of words, their number a power of two; c the number of its
+    bits that are set, w0 and so on the same bitmap folded, n at least the number of distinct shingles.
+    """
+    placed = lines.repartition(parallelism(lines.sparkSession), "h1")  # both groupings below keep to it
+    n = _positions(F.col("line"), shingle) + 1
+    words = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(FOLD * LOAD)) / LOAD))).cast("int")
+    sized = placed.select("h1", n.alias("n"), words.alias("words"), F.encode("line", "UTF-32").alias("b"))
+    pieces = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))).alias("p"))
+    starts = pieces.select("*", F.explode(F.sequence("p", F.least(F.col("p") + (PIECE - STEP), F.col("n") - 1), F.lit(STEP))).alias("i"))
+    hashes = [F.xxhash64(F.substring("b", 4 * F.least(F.col("i") + j, F.col("n") - 1) + 1, F.lit(4 * shingle))) for j in range(STEP)]
+    runs = starts.select("h1", "n", "words", "i", *[x.alias(f"x{j}") for j, x in enumerate(hashes)])
+    bit = lambda j: F.struct(F.expr(f"cast(shiftright(x{j}, 6) & (words - 1) as int)").alias("word"), F.expr(f"shiftleft(1L, cast(x{j} & 63 as int))").alias("bits"))
+    blank = F.struct(F.expr(f"cast(i / {STEP} as int) % words").alias("word"), F.lit(0).cast("long").alias("bits"))  # so that no word is missing
+    set_ = runs.select("h1", "n", "words", F.explode(F.array(*map(bit, range(STEP)), blank)).alias("x")).groupBy("h1", "n", "words", "x.word").agg(F.bit_or("x.bits").alias("bits"))
+    folded = [F.coalesce(F.bit_or(F.when(F.col("word") % FOLD == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(FOLD)]
+    maps = set_.groupBy("h1", "n", "words").agg(F.sum(F.bit_count("bits")).alias("c"), *folded, F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+    # lines of few shingles have no blank for each word, but their words are the folded ones
+    whole = F.when(F.size("bits") == F.col("words"), F.col("bits.bits")).otherwise(F.array(*[f"w{k}" for k in range(FOLD)]))
+    return maps.select("h1", "n", "c", *[f"w{k}" for k in range(FOLD)], whole.alias("bits"))
+
+
+def _possible(a: str, b: str, jaccard: float) -> Column:
+    """Whether bitmaps leave it open that two lines are near; looks at the cheapest signs first."""
+    most = (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((1 - jaccard) / (1 + jaccard)) + 1e-6
+    sizes = (F.col(f"{a}.n") + 1e-6 >= F.col(f"{b}.c") * jaccard) & (F.col(f"{b}.n") + 1e-6 >= F.col(f"{a}.c") * jaccard)
+    folded = sum((F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))) for k in range(1, FOLD)), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
+    x, y = F.col(f"{a}.bits"), F.col(f"{b}.bits")
+    differ = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    half = lambda z: F.zip_with(F.slice(z, 1, (F.size(z) / 2).cast("int")), F.slice(z, (F.size(z) / 2 + 1).cast("int"), (F.size(z) / 2).cast("int")), lambda u, v: u.bitwiseOR(v))
+    whole = F.when(F.size(x) == F.size(y), differ(x, y) <= most).when(F.size(x) == 2 * F.size(y), differ(half(x), y) <= most).when(2 * F.size(x) == F.size(y), differ(x, half(y)) <= most).otherwise(True)
+    return sizes & (folded <= most) & whole
 
 
 def _shingles(line: str, shingle: int) -> Column:
@@ -129,38 +146,40 @@ def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> Da
     dealt = keys.unionByName(short).repartition(n, "key")
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = stored(dealt.join(sizes.hint("shuffle_hash"), "key"), "line-buckets")
-    central = met.groupBy("h1").agg(F.sum("size").alias("met"))
-    texts = stored(lines.join(central.select("h1"), "h1"), "line-candidates")
-    maps = stored(_bitmaps(texts, shingle), "line-bitmaps")
-    named = met.join(central, "h1")
-    pivots = named.groupBy("key").agg(F.max(F.struct("met", "h1")).alias("pivot")).select("key", "pivot.h1")
-    pairs = met.alias("b").join(pivots.alias("a"), "key").where("a.h1 <> b.h1").select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")).distinct()
-    open_ = pairs.join(maps.alias("y"), F.col("b") == F.col("y.h1")).join(maps.alias("x"), F.col("a") == F.col("x.h1")).where(_possible("x", "y", jaccard)).select("a", "b")
-    done = stored(open_, "line-pairs")
-    edges = stored(_verified(done, texts, shingle, jaccard), "line-links")
-    parts = components(edges, "a", "b")
-    # a bucket's lines by a number of their own in [0, 1): about as many as wanted are below that share of the bucket's size
-    rest = met.withColumn("rank", (F.pmod(F.xxhash64("key", "h1"), F.lit(1 << 40)) / float(1 << 40)) * F.col("size")).select("key", "h1", "rank")
-    held = [met]
-    for k in range(1, MAX_ROUNDS):
-        rest = stored(_apart(rest, parts), "line-rest")
-        discard(*held)
-        held = [rest]
-        if rest.isEmpty():
-            discard(rest, texts, maps)
-            return parts
+    central = met.groupBy("h1").agg(F.sum("size").alias("met"), F.collect_list("key").alias("keys"))
+    texts = stored(lines.join(central.select("h1", "keys"), "h1"), "line-candidates")
+    maps = stored(_bitmaps(texts.select("h1", "line"), shingle).join(texts.select("h1", "keys"), "h1"), "line-bitmaps")
+    named = met.join(central.select("h1", "met"), "h1")
+    pivots = named.groupBy("key").agg(F.max(F.struct("met", "h1")).alias("pivot")).select("key", F.col("pivot.h1").alias("pivot"))
+    # a bucket's lines by a number of their own in [0, size), the most central one before them: about as many as wanted are below it
+    rank = F.when(F.col("h1") == F.col("pivot"), -1.0).otherwise((F.pmod(F.xxhash64("key", "h1"), F.lit(1 << 40)) / float(1 << 40)) * F.col("size"))
+    rest = stored(met.join(pivots, "key").select("key", "h1", rank.alias("rank"), F.col("h1").alias("part")), "line-rest")
+    discard(met)
+    parts, held = None, rest
+    for k in range(MAX_ROUNDS):
+        if k:
+            rest = stored(_apart(rest, parts), "line-rest")
+            discard(held)
+            held = rest
+            if rest.isEmpty():
+                discard(rest, texts, maps)
+                return parts
+        limit = 8 * 16 ** (k - 1) if k else 0
         wide = rest.join(maps, "h1")
-        a, b = wide.where(F.col("rank") < 8**k).alias("a"), wide.alias("b")
-        in_order = F.expr("a.key = b.key and a.part <> b.part and struct(a.rank, a.h1) < struct(b.rank, b.h1)")
-        found = a.join(b, in_order & _possible("a", "b", jaccard)).select(F.least("a.h1", "b.h1").alias("a"), F.greatest("a.h1", "b.h1").alias("b")).distinct()
-        known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = stored(found.join(known, ["a", "b"], "left_anti"), "line-pairs")
-        more = stored(_verified(fresh, texts, shingle, jaccard), "line-links")
-        done = done.unionByName(fresh)
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
+        in_order = F.expr("a.key = b.key and a.part <> b.part and (a.rank < b.rank or a.rank = b.rank and a.h1 < b.h1)")
+        once = F.expr("array_min(array_intersect(a.keys, b.keys)) = a.key")
+        open_ = wide.where(F.col("rank") < limit).alias("a").join(wide.alias("b"), in_order & once & _possible("a", "b", jaccard)).select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b"))
+        pairs = stored(open_, "line-pairs")
+        links = stored(_verified(pairs, texts.select("h1", "line"), shingle, jaccard), "line-links")
+        discard(pairs)
+        if parts is None or not links.isEmpty():
+            # what is known of components stands for the links it came of
+            last, edges = parts, links if parts is None else links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
             parts = components(edges, "a", "b")
-        rest = rest.where(F.col("rank") >= 8**k)
+            if last is not None:
+                discard(last)
+        discard(links)
+        rest = rest.where(F.col("rank") >= limit)
     raise RuntimeError(f"lines of a bucket are left to compare after {MAX_ROUNDS} rounds")
 
 
