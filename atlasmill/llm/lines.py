@@ -9,7 +9,7 @@ three of single shingles and a band needs only one. Generated code computes the
 different exclusive-ors from exploded rows. Lines of at most SHORT bytes have few such runs: they get SHORT_BANDS bands of
 SHORT_ROWS minima over runs of SHORT_WINDOW bytes as well. Lines that share a band meet in a bucket.
 
-Comparison. Each line that met another gets a bitmap of its shingles' hashes, of 4 to 8 bits for each shingle. Bits in
+Comparison. Each line that met another gets a bitmap of its shingles' hashes, of 3 or more bits for each shingle. Bits in
 which two bitmaps differ come of shingles that only one of the lines has, so a pair with more of them than near lines can
 have is out without a look at the lines, and no near pair is lost. The same holds for bitmaps folded to FOLD words, which
 are looked at first, and for a line with more bits than the other's shingles allow. A pair is compared in one bucket only,
@@ -23,6 +23,8 @@ Lines are told apart by 64 bits of hash; two lines that clash there (a second ha
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,11 @@ from atlasmill.llm.graph import components
 from atlasmill.llm.shared import discard, parallelism, stored
 
 #: Runs of a line exploded at once, so that no row grows with a line, and runs hashed in one row.
-PIECE, STEP = 4096, 4
+PIECE, STEP = 4096, 8
 #: Bytes of a run for signatures; the same, the number of bands and the minima in each for lines of at most SHORT bytes.
 WINDOW, SHORT, SHORT_WINDOW, SHORT_BANDS, SHORT_ROWS = 20, 48, 8, 6, 2
-#: Words of 64 bits in a folded bitmap, and shingles for each word of a whole one (at most; at least half as many).
-FOLD, LOAD = 8, 16
+#: Words of 64 bits in a folded bitmap; shingles for each word of a whole one, at most; bitmaps of a fixed number of words.
+FOLD, LOAD, WORDS = 8, 20, (8, 32)
 #: Rounds of comparisons in buckets; the k-th compares about 8 * 16^(k-1) lines of each with all others, so these reach any size.
 MAX_ROUNDS = 12
 
@@ -47,7 +49,8 @@ def _constant(k: int) -> int:
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(at: id, hash of the text and number of the line; line) of every line that isn't blank."""
-    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.split(text_col, "\n", -1).alias("parts"))
+    split = whole.select("id", "th", F.posexplode("parts").alias("no", "line"))  # the hash once a text, which no line's row carries
     return split.withColumn("line", F.trim("line")).where("line <> ''").select(F.struct("id", "th", "no").alias("at"), "line")
 
 
@@ -83,24 +86,49 @@ def _bitmaps(lines: DataFrame, shingle: int) -> DataFrame:
     """(h1, n, c, w0 .. w(FOLD-1), bits) of lines (h1, line).
 
     bits is a bitmap of the hashes of the shingles as an array of words, their number a power of two; c the number of its
-    bits that are set, w0 and so on the same bitmap folded, n at least the number of distinct shingles.
+    bits that are set, w0 and so on the same bitmap folded, n at least the number of distinct shingles. Up to the last of
+    WORDS words have a column each; bits is empty where the folded bitmap is the whole one.
     """
-    placed = lines.repartition(parallelism(lines.sparkSession), "h1")  # both groupings below keep to it
     n = _positions(F.col("line"), shingle) + 1
-    words = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(FOLD * LOAD)) / LOAD))).cast("int")
-    sized = placed.select("h1", n.alias("n"), words.alias("words"), F.encode("line", "UTF-32").alias("b"))
-    pieces = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))).alias("p"))
+    sized = lines.select("h1", n.alias("n"), F.encode("line", "UTF-32").alias("b"))
+    of_words, least = [], 0
+    for words in WORDS:
+        of_words.append(_few_words(sized.where((F.col("n") > least) & (F.col("n") <= LOAD * words)), shingle, words))
+        least = LOAD * words
+    return reduce(DataFrame.unionByName, of_words, _many_words(sized.where(F.col("n") > least), shingle))
+
+
+def _few_words(sized: DataFrame, shingle: int, words: int) -> DataFrame:
+    """Bitmaps of a fixed number of words, a multiple of FOLD: an aggregate column for each."""
+    runs = _hashed(sized.select(F.struct("h1", "n").alias("h1"), "b", (F.col("n") - 1).alias("last")), 4, shingle)
+    at = [F.expr(f"cast(shiftright(x{j}, 6) & {words - 1} as int)").alias(f"at{j}") for j in range(STEP)]
+    bit = [F.expr(f"shiftleft(1L, cast(x{j} & 63 as int))").alias(f"bit{j}") for j in range(STEP)]
+    placed = runs.select("h1.h1", "h1.n", *at, *bit)
+    none = F.lit(0).cast("long")
+    word = lambda k: reduce(Column.bitwiseOR, [F.when(F.col(f"at{j}") == k, F.col(f"bit{j}")).otherwise(none) for j in range(STEP)])
+    maps = placed.groupBy("h1", "n").agg(*[F.bit_or(word(k)).alias(f"v{k}") for k in range(words)])
+    every = [F.col(f"v{k}") for k in range(words)]
+    folded = [reduce(Column.bitwiseOR, every[k::FOLD]).alias(f"w{k}") for k in range(FOLD)]
+    bits = F.array(*every) if words > FOLD else F.array().cast("array<bigint>")
+    return maps.select("h1", "n", sum(F.bit_count(v) for v in every).cast("long").alias("c"), *folded, bits.alias("bits"))
+
+
+def _many_words(sized: DataFrame, shingle: int) -> DataFrame:
+    """Bitmaps whose words, half as many as LOAD asks for or more, are rows until they are complete."""
+    placed = sized.repartition(parallelism(sized.sparkSession), "h1")  # both groupings below keep to it
+    words = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / LOAD))).cast("int")
+    pieces = placed.select("*", words.alias("words"), F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))).alias("p"))
     starts = pieces.select("*", F.explode(F.sequence("p", F.least(F.col("p") + (PIECE - STEP), F.col("n") - 1), F.lit(STEP))).alias("i"))
     hashes = [F.xxhash64(F.substring("b", 4 * F.least(F.col("i") + j, F.col("n") - 1) + 1, F.lit(4 * shingle))) for j in range(STEP)]
-    runs = starts.select("h1", "n", "words", "i", *[x.alias(f"x{j}") for j, x in enumerate(hashes)])
-    bit = lambda j: F.struct(F.expr(f"cast(shiftright(x{j}, 6) & (words - 1) as int)").alias("word"), F.expr(f"shiftleft(1L, cast(x{j} & 63 as int))").alias("bits"))
-    blank = F.struct(F.expr(f"cast(i / {STEP} as int) % words").alias("word"), F.lit(0).cast("long").alias("bits"))  # so that no word is missing
-    set_ = runs.select("h1", "n", "words", F.explode(F.array(*map(bit, range(STEP)), blank)).alias("x")).groupBy("h1", "n", "words", "x.word").agg(F.bit_or("x.bits").alias("bits"))
+    runs = starts.select("h1", "n", "words", *[x.alias(f"x{j}") for j, x in enumerate(hashes)])
+    each = runs.select("h1", "n", "words", F.explode(F.array(*[f"x{j}" for j in range(STEP)])).alias("x"))
+    placed = each.select("h1", "n", "words", F.expr("cast(shiftright(x, 6) & (words - 1) as int)").alias("word"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bits"))
+    set_ = placed.groupBy("h1", "n", "words", "word").agg(F.bit_or("bits").alias("bits"))
     folded = [F.coalesce(F.bit_or(F.when(F.col("word") % FOLD == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(FOLD)]
-    maps = set_.groupBy("h1", "n", "words").agg(F.sum(F.bit_count("bits")).alias("c"), *folded, F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("bits"))
-    # lines of few shingles have no blank for each word, but their words are the folded ones
-    whole = F.when(F.size("bits") == F.col("words"), F.col("bits.bits")).otherwise(F.array(*[f"w{k}" for k in range(FOLD)]))
-    return maps.select("h1", "n", "c", *[f"w{k}" for k in range(FOLD)], whole.alias("bits"))
+    maps = set_.groupBy("h1", "n", "words").agg(F.sum(F.bit_count("bits")).alias("c"), *folded, F.collect_list(F.struct("word", "bits")).alias("set"))
+    blank = F.transform(F.array_except(F.sequence(F.lit(0), F.col("words") - 1), F.col("set.word")), lambda k: F.struct(k.alias("word"), F.lit(0).cast("long").alias("bits")))
+    whole = F.array_sort(F.when(F.size("set") < F.col("words"), F.concat("set", blank)).otherwise(F.col("set")))
+    return maps.select("h1", "n", "c", *[f"w{k}" for k in range(FOLD)], whole["bits"].alias("bits"))
 
 
 def _possible(a: str, b: str, jaccard: float) -> Column:
@@ -116,19 +144,25 @@ def _possible(a: str, b: str, jaccard: float) -> Column:
 
 
 def _shingles(line: str, shingle: int) -> Column:
-    """The hashes of a line's distinct shingles. The outer lambda's variable holds the encoded line, encoded once."""
+    """The hashes of a line's shingles, repeats included. The outer lambda's variable holds the encoded line, encoded once."""
     runs = lambda b: F.transform(F.sequence(F.lit(0), _positions(F.col(line), shingle)), lambda i: F.xxhash64(F.substring(b, 4 * i + 1, F.lit(4 * shingle))))
-    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), runs), 0))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), runs), 0)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """Those of pairs (a, b) of lines (h1, line) whose Jaccard similarity is at least jaccard."""
-    n = 4 * parallelism(pairs.sparkSession)  # more tasks than their bytes ask for: the work is in the sets
-    left = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").repartition(n, "b")
+    """pairs (a, b, n, c) of lines (h1, line) with near, whether their Jaccard similarity is at least jaccard.
+
+    n is at least and c at most the sum of both lines' numbers of distinct shingles, which are only counted where these
+    leave it open. Not filtered here: a filter would be pushed below the columns that it needs, and build them again.
+    """
+    tasks = 4 * parallelism(pairs.sparkSession)  # more tasks than their bytes ask for: the work is in the sets
+    left = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").repartition(tasks, "b")
     both = left.join(lines.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    sets = both.select("a", "b", _shingles("x", shingle).alias("x"), _shingles("y", shingle).alias("y"))
-    counted = sets.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return counted.where(F.col("both") >= jaccard * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
+    runs = both.select("a", "b", "n", "c", _shingles("x", shingle).alias("x"), _shingles("y", shingle).alias("y"))
+    counted = runs.select("*", F.size(F.array_intersect("x", "y")).alias("both"))
+    of = lambda all_: F.col("both") >= jaccard * (all_ - F.col("both"))
+    exact = of(F.size(F.array_distinct("x")) + F.size(F.array_distinct("y")))
+    return counted.select("a", "b", F.when(of(F.col("n")), True).when(~of(F.col("c")), False).otherwise(exact).alias("near"))
 
 
 def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -168,9 +202,11 @@ def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> Da
         wide = rest.join(maps, "h1")
         in_order = F.expr("a.key = b.key and a.part <> b.part and (a.rank < b.rank or a.rank = b.rank and a.h1 < b.h1)")
         once = F.expr("array_min(array_intersect(a.keys, b.keys)) = a.key")
-        open_ = wide.where(F.col("rank") < limit).alias("a").join(wide.alias("b"), in_order & once & _possible("a", "b", jaccard)).select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b"))
-        pairs = stored(open_, "line-pairs")
-        links = stored(_verified(pairs, texts.select("h1", "line"), shingle, jaccard), "line-links")
+        open_ = wide.where(F.col("rank") < limit).alias("a").join(wide.alias("b"), in_order & _possible("a", "b", jaccard) & once)
+        sums = [F.expr(f"a.{x} + b.{x}").alias(x) for x in ("n", "c")]
+        pairs = stored(open_.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b"), *sums), "line-pairs")
+        checked = stored(_verified(pairs, texts.select("h1", "line"), shingle, jaccard), "line-links")
+        links = checked.where("near").select("a", "b")
         discard(pairs)
         if parts is None or not links.isEmpty():
             # what is known of components stands for the links it came of
@@ -178,7 +214,7 @@ def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> Da
             parts = components(edges, "a", "b")
             if last is not None:
                 discard(last)
-        discard(links)
+        discard(checked)
         rest = rest.where(F.col("rank") >= limit)
     raise RuntimeError(f"lines of a bucket are left to compare after {MAX_ROUNDS} rounds")
 
@@ -222,7 +258,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not gone.where("_twice").isEmpty():
         twice = F.coalesce("_twice", F.lit(False))
         rows = rows.where(~twice).unionByName(_copies(rows.where(twice).drop("_copy")).select(rows.columns))
-    parts_of = F.split(F.col(f"`{text_col}`"), "\n", -1)
+    rows = rows.withColumn("_parts", F.split(F.col(f"`{text_col}`"), "\n", -1))  # a column: split once a text, not once a line
+    parts_of = F.col("_parts")
     places = F.sequence(F.lit(0), F.size(parts_of) - 1)
     less = F.array_except(places, F.col("_gone"))
     blank = F.filter(places, lambda i: F.trim(F.get(parts_of, i)) == "")
