@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasmill.llm.graph import components
-from atlasmill.llm.shared import discard, parallelism, stored
+from atlasmill.llm.shared import discard, drop_shuffles, parallelism, stored
 
 #: Runs of a line exploded at once, so that no row grows with a line, and runs hashed in one row.
 PIECE, STEP = 4096, 8
@@ -173,22 +173,29 @@ def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> DataFrame:
-    """(node, component) of each line h1 of lines (h1, line) that is near a lesser one; raises if MAX_ROUNDS leave pairs uncompared."""
+    """(node, component) of each line h1 that is near a lesser one; raises if MAX_ROUNDS leave pairs uncompared.
+
+    lines (h1, line, ...) is a table of stored(), deleted as soon as those of its lines that met another are copied.
+    """
     n = parallelism(lines.sparkSession)
+    drop_shuffles(lines.sparkSession)
+    texts_of, lines = lines, lines.select("h1", "line")
     keys = _banded(_signed(lines, WINDOW, bands), 0, bands, 1)
     short = _banded(_signed(lines.where(F.octet_length("line") <= SHORT), SHORT_WINDOW, SHORT_BANDS * SHORT_ROWS), 1, SHORT_BANDS, SHORT_ROWS)
     dealt = keys.unionByName(short).repartition(n, "key")
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = stored(dealt.join(sizes.hint("shuffle_hash"), "key"), "line-buckets")
     central = met.groupBy("h1").agg(F.sum("size").alias("met"), F.collect_list("key").alias("keys"))
+    drop_shuffles(lines.sparkSession)
     texts = stored(lines.join(central.select("h1", "keys"), "h1"), "line-candidates")
+    discard(texts_of)
     maps = stored(_bitmaps(texts.select("h1", "line"), shingle).join(texts.select("h1", "keys"), "h1"), "line-bitmaps")
     named = met.join(central.select("h1", "met"), "h1")
     pivots = named.groupBy("key").agg(F.max(F.struct("met", "h1")).alias("pivot")).select("key", F.col("pivot.h1").alias("pivot"))
     # a bucket's lines by a number of their own in [0, size), the most central one before them: about as many as wanted are below it
     rank = F.when(F.col("h1") == F.col("pivot"), -1.0).otherwise((F.pmod(F.xxhash64("key", "h1"), F.lit(1 << 40)) / float(1 << 40)) * F.col("size"))
     rest = stored(met.join(pivots, "key").select("key", "h1", rank.alias("rank"), F.col("h1").alias("part")), "line-rest")
-    discard(met)
+    discard(met)  # with the shuffles of the steps before
     parts, held = None, rest
     for k in range(MAX_ROUNDS):
         if k:
@@ -239,10 +246,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit(1), "line")
     whole = at.select("*", h1.alias("h1"), h2.alias("h2")).groupBy("h1").agg(F.max("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
     lines = stored(whole.where("lo = hi").drop("lo", "hi"), "lines")
-    parts = near_lines(lines.select("h1", "line"), shingle, jaccard, bands)
+    places = stored(lines.select("h1", "n", "first"), "line-places")
+    parts = near_lines(lines, shingle, jaccard, bands)
     members = parts.select(F.col("node").alias("h1"), F.col("component").alias("part"))
     members = members.unionByName(members.select(F.col("part").alias("h1"), "part").distinct())
-    again = lines.select("h1", "n", "first").join(members, "h1", "left").where("n > 1 or part is not null").withColumn("part", F.coalesce("part", "h1"))
+    again = places.join(members, "h1", "left").where("n > 1 or part is not null").withColumn("part", F.coalesce("part", "h1"))
     kept = again.groupBy("part").agg(F.min("first").alias("kept"))
     repeated = stored(again.join(kept, "part").select("h1", "kept"), "line-repeated")
     place = at.select("at", h1.alias("h1")).join(repeated, "h1")
@@ -260,9 +268,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.where(~twice).unionByName(_copies(rows.where(twice).drop("_copy")).select(rows.columns))
     rows = rows.withColumn("_parts", F.split(F.col(f"`{text_col}`"), "\n", -1))  # a column: split once a text, not once a line
     parts_of = F.col("_parts")
-    places = F.sequence(F.lit(0), F.size(parts_of) - 1)
-    less = F.array_except(places, F.col("_gone"))
-    blank = F.filter(places, lambda i: F.trim(F.get(parts_of, i)) == "")
+    numbers = F.sequence(F.lit(0), F.size(parts_of) - 1)
+    less = F.array_except(numbers, F.col("_gone"))
+    blank = F.filter(numbers, lambda i: F.trim(F.get(parts_of, i)) == "")
     left = F.when(F.col("_copy"), blank).otherwise(less)
     touched = F.col("_copy") | (F.size("_gone") > 0)
     text = F.when(touched, F.array_join(F.transform(left, lambda i: F.get(parts_of, i)), "\n")).otherwise(F.col(f"`{text_col}`"))

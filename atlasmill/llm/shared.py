@@ -40,7 +40,12 @@ def discard(*tables: DataFrame) -> None:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()  # Spark cleans up after plans that nothing refers to
+        drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs: it cleans up after plans that nothing refers to."""
+    spark._jvm.System.gc()
 
 
 def parallelism(spark: SparkSession) -> int:
