@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasmill.llm import ann, divergence, importance, lines, media, mixing, packing, sharding, simhash, toxicity, urls, warc
+from atlasmill.llm import ann, divergence, importance, lines, media, mixing, packing, pii, sharding, simhash, toxicity, urls, warc
 from atlasmill.llm.shared import stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,13 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), confidence=0.8, support=3)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
 
@@ -85,7 +92,7 @@ QUERIES = {
     for f in (
         op1_simhash_near_dedup, op2_line_dedup, op3_media_columns, op4_mix_to_targets, op5_shard_by_bytes,
         op6_url_reputation, op7_vector_best_fit, op8_toxicity, op9_inverted_multi_index, op10_warc_segments,
-        op12_importance_resampling, op13_source_divergence,
+        op11_personal_data, op12_importance_resampling, op13_source_divergence,
     )
 }
 
