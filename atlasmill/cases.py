@@ -15,8 +15,10 @@ from atlasmill.operators import enrich as N
 from atlasmill.plans import enrich as E
 from atlasmill.plans import sinks as K
 from atlasmill.plans.resolve import Settings, candidate_lines, chosen, empty_streaks, resolve, sub_queries
-from atlasmill.queries import ORACLE_SQL, part_addresses, part_responses, query, table, text
+from atlasmill.queries import ORACLE_SQL, event_responses, part_addresses, part_responses, query, response_fields, table, text
 from atlasmill.sources import address_rows
+from atlasmill.sources.folders import scratch
+from atlasmill.sources.store import ResponseStore
 
 # Addresses and the parts that they must be split into.
 SPLITS = [
@@ -173,3 +175,32 @@ def a13_aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table against its own rows dealt anew; the first difference would raise."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return N.aligned(orders, orders.repartition(7, "o_custkey"), "o_custkey", "o_orderkey")
+
+
+def stored(spark: SparkSession, *batches: DataFrame) -> ResponseStore:
+    """A new store with the batches appended one after the other."""
+    store = ResponseStore(spark, scratch(spark, "responses"), buckets=8)
+    for batch in batches:
+        store.append(batch)
+    return store
+
+
+@query(ORACLE_SQL["d01_response_fields"])
+def d01_stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fields, read from shredded objects; each response is stored under its event's number."""
+    store = stored(spark, event_responses(spark, sf_dir).select(F.col("event_id").cast("string").alias("query_md5"), "raw"))
+    return response_fields(store.lookup().select(F.col("query_md5").cast("long").alias("event_id"), F.col("outcome").alias("o")))
+
+
+@query(ORACLE_SQL["resolve_addresses"])
+def j01_answers_before_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors stored before answers, after them, and alone where no answer would pass the guards; then compacted."""
+    answers = part_responses(spark, sf_dir).withColumn("stored_at", F.lit(5).cast("long"))
+    alone = sub_queries(part_addresses(spark, sf_dir)).where("seq % 6 = 3").select("query_md5")
+    located = answers.join(alone, "query_md5", "left_anti")
+    error = lambda at, raw: answers.select("query_md5", F.lit(raw).alias("raw"), F.lit(at).cast("long").alias("stored_at"))
+    store = stored(spark, error(1, "{broken"), located, error(9, '{"result":{"error":9},"content":[{"name":"z"}]}'))
+    store.compact()
+    store.prune()
+    found = resolve(part_addresses(spark, sf_dir), store.lookup())
+    return found.select("seq", F.col("region_id").cast("long"), F.round("center_lon", 6).alias("lon"), F.round("center_lat", 6).alias("lat"), "status", "place_type", F.size("polygon").cast("long").alias("n_points"))

@@ -37,19 +37,44 @@ def center(doc: Column) -> Column:
     )
 
 
-def candidate(doc: Column, idx: Column) -> Column:
-    """A candidate of one element of the response; null for what isn't an object."""
+def is_object(doc: Column) -> Column:
+    return F.schema_of_variant(doc).startswith("OBJECT")
+
+
+def fields(doc: Column, idx: Column) -> Column:
+    """A candidate of one object of the response; reads no more of it than the paths named."""
     inner = text_field(doc, "$.tag_info")
     info = F.when(inner.startswith("{"), F.try_parse_json(inner))
     show = F.coalesce(text_field(info, "$.classification.show_tag"), text_field(doc, "$.show_tag[0]"))
-    made = F.struct(
+    return F.struct(
         idx.cast("int").alias("idx"), text_field(doc, "$.name").alias("name"),
         F.coalesce(text_field(doc, "$.addr"), text_field(doc, "$.poi_address")).alias("addr"),
         F.coalesce(text_field(doc, "$.std_tag"), text_field(info, "$.classification.std_tag")).alias("std_tag"), show.alias("show_tag"),
         text_field(doc, "$.city_name").alias("city_name"), center(doc).alias("center"),
         G.parsed_polygons(text_field(doc, "$.ext.detail_info.guoke_geo_bud.bud_geom")).alias("polygons"),
     )
-    return F.when(F.schema_of_variant(doc).startswith("OBJECT"), made)
+
+
+def candidate(doc: Column, idx: Column) -> Column:
+    """A candidate of one element of the response; null for what isn't an object."""
+    return F.when(is_object(doc), fields(doc, idx))
+
+
+def _head(raw: Column, doc: Column) -> tuple[Column, Column, Column]:
+    """Whether a response failed, its error code, and its elements."""
+    code = F.coalesce(field(doc, "$.result.error", "int"), F.lit(0))
+    challenged = F.coalesce(field(doc, "$.result.anti_session.need_recaptcha", "boolean"), F.lit(False))
+    blank = raw.isNotNull() & (F.length(raw) > 0) & raw.rlike(r"^\s*$")
+    return ~blank & (doc.isNull() | (code != 0) | challenged), code, F.coalesce(field(doc, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def head(raw: Column) -> Column:
+    """struct(auth_error, error_code, content) of a response's text, as envelope() has it, with its elements as they are."""
+    def read(doc: Column) -> Column:
+        failed, code, content = _head(raw, doc)
+        return F.struct(failed.alias("auth_error"), code.alias("error_code"), content.alias("content"))
+
+    return bind(F.try_parse_json(raw), read)
 
 
 def envelope(raw: Column) -> Column:
@@ -59,11 +84,7 @@ def envelope(raw: Column) -> Column:
     blanks alone has no candidates and is no error. Elements that aren't objects are left out but keep their number.
     """
     def read(doc: Column) -> Column:
-        code = F.coalesce(field(doc, "$.result.error", "int"), F.lit(0))
-        challenged = F.coalesce(field(doc, "$.result.anti_session.need_recaptcha", "boolean"), F.lit(False))
-        blank = raw.isNotNull() & (F.length(raw) > 0) & raw.rlike(r"^\s*$")
-        failed = ~blank & (doc.isNull() | (code != 0) | challenged)
-        content = F.coalesce(field(doc, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+        failed, code, content = _head(raw, doc)
         found = F.filter(F.transform(content, candidate), lambda c: c.isNotNull())
         return F.struct(failed.alias("auth_error"), code.alias("error_code"), F.when(failed, F.array().cast(f"array<{CANDIDATE}>")).otherwise(found).alias("candidates"))
 

@@ -75,19 +75,27 @@ def ranked(candidates: Column, address: Column, settings: Settings) -> Column:
 
 
 def latest_responses(responses: DataFrame) -> DataFrame:
-    """(query_md5, raw), one row for each query: the last by stored_at where there is such a column.
+    """(query_md5, raw), one row for each query: its last answer by stored_at, where there is such a column.
 
-    Of rows that don't differ in that, one with content and without an error code goes first, then the larger text.
+    A response that reports an error counts only where a query has no answer at all. Of rows that don't differ in
+    stored_at, one that names places goes before one that names none, then the larger text. Each text is parsed once.
     """
     at = F.col("stored_at").cast("long") if "stored_at" in responses.columns else F.lit(0).cast("long")
-    answers = F.col("raw").contains('"content"') & (F.coalesce(F.get_json_object("raw", "$.result.error"), F.lit("0")) == "0")
-    best = F.max(F.struct(at.alias("at"), F.coalesce(answers, F.lit(False)).alias("ok"), F.col("raw").alias("raw")))
-    return responses.groupBy("query_md5").agg(best.alias("best")).select("query_md5", "best.raw")
+    head = responses.select("query_md5", at.alias("at"), "raw", P.head(F.col("raw")).alias("head"))
+    key = F.struct((~F.col("head.auth_error")).alias("ok"), "at", (F.size("head.content") > 0).alias("some"), F.col("raw").alias("raw"))
+    return head.groupBy("query_md5").agg(F.max(key).alias("best")).select("query_md5", "best.raw")
+
+
+def outcomes_by_query(responses: DataFrame) -> DataFrame:
+    """(query_md5, outcome) of responses (query_md5, raw), or of a ResponseStore's lookup(), which has them already."""
+    if "outcome" in responses.columns:
+        return responses.select("query_md5", "outcome")
+    return latest_responses(responses).select("query_md5", F.when(F.col("raw").isNotNull(), P.envelope(F.col("raw"))).alias("outcome"))
 
 
 def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFrame:
     """subs with answered, n_candidates, best (a candidate or null), total, detail and note of their response."""
-    found = subs.join(latest_responses(responses), "query_md5", "left").withColumn("outcome", P.envelope(F.col("raw")))
+    found = subs.join(outcomes_by_query(responses), "query_md5", "left")
     found = found.withColumn("ranked", ranked(F.col("outcome.candidates"), F.col("sub"), settings))
     found = found.withColumn("skipped", F.get(F.filter(F.transform("ranked", lambda r, i: F.when(r["admissible"], i)), lambda i: i.isNotNull()), 0))
     found = found.withColumn("pick", F.get("ranked", F.col("skipped")))
@@ -95,14 +103,14 @@ def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFra
     low = F.col("pick.score.total") < settings.threshold
     note = F.when(low, F.format_string(f"「%s」最高分 %.0f 低于阈值 {settings.threshold}", "sub", "pick.score.total"))
     return found.select(
-        "seq", "address", "sub_pos", "n_sub", "sub", F.col("raw").isNotNull().alias("answered"), F.size("outcome.candidates").alias("n_candidates"),
+        "seq", "address", "sub_pos", "n_sub", "sub", F.col("outcome").isNotNull().alias("answered"), F.when(F.col("outcome").isNotNull(), F.size("outcome.candidates")).otherwise(0).alias("n_candidates"),
         F.col("pick.candidate").alias("best"), F.col("pick.score.total").alias("total"), detail.alias("detail"), F.coalesce(low, F.lit(False)).alias("low"), note.alias("note"), "skipped",
     )
 
 
 def candidate_lines(subs: DataFrame, responses: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(seq, sub_pos, rank, idx, name, total, detail): every scored candidate, best first, for review."""
-    found = subs.join(latest_responses(responses), "query_md5").withColumn("outcome", P.envelope(F.col("raw")))
+    found = subs.join(outcomes_by_query(responses), "query_md5")
     each = found.select("seq", "sub_pos", F.posexplode(ranked(F.col("outcome.candidates"), F.col("sub"), settings)).alias("rank", "r"))
     return each.select("seq", "sub_pos", "rank", "r.candidate.idx", "r.candidate.name", "r.score.total", "r.score.detail")
 

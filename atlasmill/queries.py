@@ -268,15 +268,8 @@ def g20_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", F.size("out").cast("long").alias("n_ring"), F.size("around").cast("long").alias("n_circle"), metres("out").alias("area"), metres("around").alias("circle_area"))
 
 
-@query("""
-SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 5) THEN true ELSE false END AS auth_error, CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 0 END::INT AS error_code,
-  CASE WHEN event_id % 7 IN (0, 1, 5, 6) THEN 0 ELSE 2 END::BIGINT AS n, CASE WHEN event_id % 7 IN (0, 1, 5, 6) THEN NULL ELSE 'e' || event_id END AS name,
-  CASE event_id % 7 WHEN 2 THEN '' WHEN 3 THEN 'a' WHEN 4 THEN 'p' END AS addr, CASE event_id % 7 WHEN 2 THEN 'in;ner' WHEN 3 THEN 's' WHEN 4 THEN NULL END AS std_tag,
-  CASE event_id % 7 WHEN 2 THEN 'shown' WHEN 4 THEN 'first' END AS show_tag, CASE event_id % 7 WHEN 2 THEN event_id + 0.5 WHEN 3 THEN event_id + 1.25 WHEN 4 THEN -1.5 END::DOUBLE AS x,
-  CASE WHEN event_id % 7 IN (2, 3, 4) THEN 2 ELSE -1 END::INT AS idx FROM events
-""")
-def d01_response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Malformed, reporting an error, three kinds of candidates behind an element that is none, challenged, blank."""
+def event_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, raw): malformed, reporting an error, three kinds of candidates behind an element that is none, challenged, blank."""
     k = F.col("event_id")
     a = text('{"name":"e', k, '","addr":"","poi_address":"p","tag_info":"{\\"classification\\":{\\"std_tag\\":\\"in;ner\\",\\"show_tag\\":\\"shown\\"}}","ext":{"detail_info":{"navi_xy":{"diPoint":{"x":"', k + 0.5, '","y":1}}}}}')
     b = text('{"name":"e', k, '","addr":"a","poi_address":"p","std_tag":"s","tag_info":"{broken","diPointX":', k * 100 + 125, ',"diPointY":200}')
@@ -284,10 +277,27 @@ def d01_response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = k % 7
     wrap = lambda c: text('{"result":{"error":0},"content":[{"name":"other"},5,', c, "]}")
     raw = F.when(r == 0, text("{", F.col("props"))).when(r == 1, F.lit('{"result":{"error":3,"msg":"x"},"content":[{"name":"n"}]}')).when(r == 2, wrap(a)).when(r == 3, wrap(b)).when(r == 4, wrap(c)).when(r == 5, F.lit('{"result":{"anti_session":{"need_recaptcha":true}},"content":[{"name":"n"}]}')).otherwise(F.lit("  "))
-    rows = table(spark, sf_dir, "events").select("event_id", P.envelope(raw).alias("o")).withColumn("c", F.get("o.candidates", 1))
+    return table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+
+
+def response_fields(rows: DataFrame) -> DataFrame:
+    """What rows (event_id, o) say of a response, and of its second candidate."""
+    rows = rows.withColumn("c", F.get("o.candidates", 1))
     return rows.select("event_id", "o.auth_error", "o.error_code", F.size("o.candidates").cast("long").alias("n"), "c.name", "c.addr", "c.std_tag", "c.show_tag", F.col("c.center.x").alias("x"), F.coalesce("c.idx", F.lit(-1)).alias("idx"))
 
 
+@query("""
+SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 5) THEN true ELSE false END AS auth_error, CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 0 END::INT AS error_code,
+  CASE WHEN event_id % 7 IN (0, 1, 5, 6) THEN 0 ELSE 2 END::BIGINT AS n, CASE WHEN event_id % 7 IN (0, 1, 5, 6) THEN NULL ELSE 'e' || event_id END AS name,
+  CASE event_id % 7 WHEN 2 THEN '' WHEN 3 THEN 'a' WHEN 4 THEN 'p' END AS addr, CASE event_id % 7 WHEN 2 THEN 'in;ner' WHEN 3 THEN 's' WHEN 4 THEN NULL END AS std_tag,
+  CASE event_id % 7 WHEN 2 THEN 'shown' WHEN 4 THEN 'first' END AS show_tag, CASE event_id % 7 WHEN 2 THEN event_id + 0.5 WHEN 3 THEN event_id + 1.25 WHEN 4 THEN -1.5 END::DOUBLE AS x,
+  CASE WHEN event_id % 7 IN (2, 3, 4) THEN 2 ELSE -1 END::INT AS idx FROM events
+""")
+def d01_response_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D01-D08."""
+    return response_fields(event_responses(spark, sf_dir).select("event_id", P.envelope(F.col("raw")).alias("o")))
+
+
 @query("""
 SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '住宅区' WHEN 1 THEN '房地产;' WHEN 2 THEN '公寓' WHEN 3 THEN '未知' ELSE p_type END AS place_type,
   CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand ELSE p_name END AS region_name, p_partkey % 4 < 2 AS city_ok, p_partkey % 10 <= 5 OR p_partkey % 7 = 0 AS bounds_ok,
