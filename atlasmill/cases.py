@@ -5,17 +5,22 @@ Each row of a given table picks a case by its key; the SQL states what the case
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasmill import operators as O
 from atlasmill.functions import geometry as G
+from atlasmill.functions import keywords as W
+from atlasmill.functions import rules as R
 from atlasmill.functions import text as T
 from atlasmill.operators import enrich as N
+from atlasmill.operators import hulls
 from atlasmill.plans import enrich as E
 from atlasmill.plans import sinks as K
 from atlasmill.plans.resolve import Settings, candidate_lines, chosen, empty_streaks, resolve, sub_queries
-from atlasmill.queries import ORACLE_SQL, event_responses, part_addresses, part_responses, query, response_fields, table, text
+from atlasmill.queries import ORACLE_SQL, event_responses, part_addresses, part_responses, query, response_fields, table, text, vector_rings
 from atlasmill.sources import address_rows
 from atlasmill.sources.folders import scratch
 from atlasmill.sources.store import ResponseStore
@@ -204,3 +209,45 @@ def j01_answers_before_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.prune()
     found = resolve(part_addresses(spark, sf_dir), store.lookup())
     return found.select("seq", F.col("region_id").cast("long"), F.round("center_lon", 6).alias("lon"), F.round("center_lat", 6).alias("lat"), "status", "place_type", F.size("polygon").cast("long").alias("n_points"))
+
+
+@query("""
+WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM benchmark),
+k AS (SELECT word, min(item_id * 100000 + pos) AS place, arg_min('b' || item_id, item_id * 100000 + pos) AS value FROM w WHERE word <> '' GROUP BY word)
+SELECT doc_id, (SELECT arg_min(value, place) FROM k WHERE contains(coalesce(d.text, ''), word)) AS value, (SELECT count(*) FROM k WHERE contains(coalesce(d.text, ''), word)) AS found FROM documents d
+""")
+def j08_keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all benchmark texts as a table of keywords, found in every document by an automaton."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "word")).where("word <> ''")
+    listed = W.of_table(words.select("word", text("b", F.col("item_id")).alias("value"), (F.col("item_id") * 100000 + F.col("pos")).alias("place")), "word", "value", "place")
+    body = T.or_empty("text")
+    return table(spark, sf_dir, "documents").select("doc_id", listed.first(body).alias("value"), F.size(listed.every(body)).cast("long").alias("found"))
+
+
+@query("""
+SELECT p_partkey AS seq, CASE WHEN p_partkey % 6 IN (2, 4) THEN '低置信度' ELSE '成功' END AS status, p_partkey % 6 <> 4 AS boundary FROM part WHERE p_partkey % 6 IN (2, 4) OR p_partkey % 6 < 2
+""")
+def p14_boundary_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by status and by whether they have a ring of three or more points; the views are disjoint and put together."""
+    results = resolve(part_addresses(spark, sf_dir), part_responses(spark, sf_dir))
+    views = [O.shown(results, status, has).select("seq", "status", F.lit(has).alias("boundary")) for status in (R.STATUS_SUCCESS, R.STATUS_LOW) for has in (True, False)]
+    return reduce(DataFrame.unionByName, views)
+
+
+@query(f"""
+WITH p AS (SELECT vec_id % 10 AS k, embedding[2 * i - 1]::DOUBLE AS x, embedding[2 * i]::DOUBLE AS y FROM embeddings, range(1, 33) t(i) WHERE i <= len(embedding) // 2),
+b AS (SELECT k, max(x) AS x1, min(x) AS x0, max(y) AS y1, min(y) AS y0, max(x + y) AS a1, min(x + y) AS a0, max(x - y) AS d1, min(x - y) AS d0 FROM p GROUP BY k)
+SELECT k, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(a0, 6) AS a0, round(a1, 6) AS a1, round(d0, 6) AS d0, round(d1, 6) AS d1, true AS holds_all FROM b
+""")
+def g10_merged_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hulls of all vectors' points by the last digit of their number. SQL states the extremes that a hull
+    must share with its points; holds_all says that no point is outside, by one join of points with their hull."""
+    points = vector_rings(spark, sf_dir).select((F.col("vec_id") % 10).alias("k"), F.explode("ring").alias("p")).select("k", "p.x", "p.y")
+    found = hulls.convex_hulls(points, "k")
+    edges = lambda: G.over_edges(F.col("hull"), lambda a, b: (b["x"] - a["x"]) * (F.col("y") - a["y"]) - (b["y"] - a["y"]) * (F.col("x") - a["x"]) >= -1e-9)
+    holds = points.join(found, "k").groupBy("k").agg(F.bool_and(F.forall(edges(), lambda e: e)).alias("holds_all"))
+    of = lambda agg, f: F.round(agg(F.transform("hull", f)), 6)
+    low, high = F.array_min, F.array_max
+    measures = {"x0": of(low, lambda p: p["x"]), "y0": of(low, lambda p: p["y"]), "x1": of(high, lambda p: p["x"]), "y1": of(high, lambda p: p["y"])}
+    measures |= {"a0": of(low, lambda p: p["x"] + p["y"]), "a1": of(high, lambda p: p["x"] + p["y"]), "d0": of(low, lambda p: p["x"] - p["y"]), "d1": of(high, lambda p: p["x"] - p["y"])}
+    return found.join(holds, "k").select("k", *[c.alias(n) for n, c in measures.items()], "holds_all")

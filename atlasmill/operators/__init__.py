@@ -29,6 +29,7 @@ def before(df: DataFrame, value: Column, order: str, name: str) -> DataFrame:
     starts = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     within = F.coalesce(F.sum("_v").over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = starts.withColumnRenamed("_b", "_at")
+    # a bucket's rows are of one task: numbers far apart, such as monotonically_increasing_id, make buckets of few rows
     return held.withColumn("_w", within).join(starts, F.col("_b").eqNullSafe(F.col("_at"))).withColumn(name, F.col("_s") + F.col("_w")).drop("_v", "_b", "_s", "_w", "_at")
 
 
@@ -37,19 +38,21 @@ def dense_ids(df: DataFrame, ok: Column, order: str, start: int, name: str = "re
     return before(df, F.when(ok, 1).otherwise(0), order, "_earlier").withColumn(name, F.col("_earlier") + start).drop("_earlier")
 
 
-def streaks(df: DataFrame, empty: Column, order: str, threshold: int) -> DataFrame:
+def streaks(df: DataFrame, empty: Column, order: str, threshold: int, carried: int = 0) -> DataFrame:
     """df with streak: empties in a row so far, 0 at others; it starts again after reaching the threshold.
 
+    carried: the streak of the row before the first, for rows that go on from others.
+
     A run's length is the distance to the last row that isn't empty. That is looked for in the row's own bucket, and the
     buckets' last ones are carried on in one small window, so a run of any length stays in its buckets.
     """
     held = before(df.withColumn("_e", empty), F.lit(1), order, "_pos").withColumn("_b", F.shiftright(F.col(order).cast("long"), BUCKET_BITS))
     full = F.when(~F.col("_e"), F.col("_pos"))
     lasts = held.groupBy("_b").agg(F.max(full).alias("_l"))
-    carried = lasts.select(F.col("_b").alias("_at"), F.max("_l").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
+    before_it = lasts.select(F.col("_b").alias("_at"), F.max("_l").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
     here = F.max(full).over(Window.partitionBy("_b").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
-    run = F.col("_pos") - F.coalesce("_h", "_c", F.lit(-1))
-    joined = held.withColumn("_h", here).join(carried, F.col("_b").eqNullSafe(F.col("_at")))
+    run = F.col("_pos") - F.coalesce("_h", "_c", F.lit(-1 - carried))
+    joined = held.withColumn("_h", here).join(before_it, F.col("_b").eqNullSafe(F.col("_at")))
     return joined.withColumn("streak", F.when(F.col("_e"), (run - 1) % threshold + 1).otherwise(0)).drop("_e", "_pos", "_b", "_h", "_at", "_c")
 
 
@@ -112,6 +115,18 @@ def keyword_filter(df: DataFrame, keyword: str, columns: list[str]) -> DataFrame
     return df.where(found)
 
 
+def has_boundary(ring: Column) -> Column:
+    """Whether a result has a ring of three or more points; a null ring is none."""
+    return F.coalesce(F.size(ring) >= 3, F.lit(False))
+
+
+def shown(df: DataFrame, status: str | None = None, boundary: bool | None = None) -> DataFrame:
+    """The rows (status, polygon, ...) of a view: of one status, with or without a boundary; None: all."""
+    if status is not None:
+        df = df.where(F.col("status") == status)
+    return df if boundary is None else df.where(has_boundary(F.col("polygon")) == F.lit(boundary))
+
+
 def numbered_view(df: DataFrame, condition: Column | None, order: str) -> DataFrame:
     """The rows that a view shows, numbered from 1 as they follow each other."""
     shown = df if condition is None else df.where(condition)

@@ -19,7 +19,7 @@ from atlasmill.functions import responses as P
 from atlasmill.functions import rules as R
 from atlasmill.functions import score as S
 from atlasmill.functions import text as T
-from atlasmill.operators import city_allowed, dense_ids, first_occurrence, place_type, region_name, status, streaks, within_bounds
+from atlasmill.operators import before, city_allowed, dense_ids, first_occurrence, place_type, region_name, status, streaks, within_bounds
 
 
 @dataclass(frozen=True)
@@ -115,13 +115,15 @@ def candidate_lines(subs: DataFrame, responses: DataFrame, settings: Settings =
     return each.select("seq", "sub_pos", "rank", "r.candidate.idx", "r.candidate.name", "r.score.total", "r.score.detail")
 
 
-def empty_streaks(outcomes: DataFrame, threshold: int) -> DataFrame:
+def empty_streaks(outcomes: DataFrame, threshold: int, carried: int = 0) -> DataFrame:
     """outcomes of chosen() with streak: queries in a row, by address and part, that were answered without any candidate.
 
-    A query without a response doesn't count and is left out; a streak that reaches the threshold starts again.
+    A query without a response doesn't count and is left out; a streak that reaches the threshold starts again, and the
+    first goes on from carried. Parts are numbered over the addresses' part counts, however many an address has.
     """
-    asked = outcomes.where("answered").withColumn("_order", F.col("seq") * 4096 + F.col("sub_pos"))
-    return streaks(asked, F.col("n_candidates") == 0, "_order", threshold).drop("_order")
+    starts = before(outcomes.groupBy("seq").agg(F.max("n_sub").alias("_parts")), F.col("_parts"), "seq", "_start").select("seq", "_start")
+    asked = outcomes.where("answered").join(starts, "seq").withColumn("_order", F.col("_start") + F.col("sub_pos"))
+    return streaks(asked, F.col("n_candidates") == 0, "_order", threshold, carried).drop("_order", "_start")
 
 
 def regrouped(outcomes: DataFrame, settings: Settings) -> DataFrame:

@@ -54,9 +54,23 @@ class Versions:
         """A number above that of every folder, complete or not."""
         return max((int(n) for n in re.findall(r"v-(\d+)", " ".join(self._names()))), default=0) + 1
 
-    def commit(self, version: int) -> None:
+    def commit(self, version: int, note: str = "") -> None:
+        """Marks a version complete. The mark holds the note, and is there with all of it or not at all."""
         fs, path = self._at(f"v-{version}.done")
-        fs.createNewFile(path)
+        fs, part = self._at(f"v-{version}.part")
+        out = fs.create(part, True)
+        out.write(bytearray(note.encode("utf-8")))
+        out.close()
+        fs.delete(path, False)
+        fs.rename(part, path)
+
+    def note(self, version: int) -> str:
+        fs, path = self._at(f"v-{version}.done")
+        given = fs.open(path)
+        try:
+            return bytes(given.readAllBytes()).decode("utf-8")
+        finally:
+            given.close()
 
     def delete(self, version: int) -> None:
         """The mark first, so that a version in part never counts."""
