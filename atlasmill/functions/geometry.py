@@ -128,7 +128,8 @@ def to_lonlat(x: Column, y: Column, official: bool = True) -> Column:
         lat = y / R.WORLD_HALF * 180
         return point(x / R.WORLD_HALF * 180, 180 / math.pi * (2 * F.atan(F.exp(lat * math.pi / 180)) - math.pi / 2))
     size = F.abs(y)
-    band = F.coalesce(*[F.when(size >= limit, F.array(*map(F.lit, c))) for limit, c in zip(R.BAND_LIMITS, R.BANDS)])
+    constants = [F.expr(f"array({', '.join(f'{float(v)!r}D' for v in c)})") for c in R.BANDS]  # one call each: numbers one by one cost seconds
+    band = F.coalesce(*[F.when(size >= limit, c) for limit, c in zip(R.BAND_LIMITS, constants)])
 
     def at(c: Column) -> Column:
         b = size / F.get(c, 9)

@@ -152,5 +152,6 @@ def has_bounded(hay: Column, tokens: Column) -> Column:
 
 def district_of(x: Column) -> Column:
     """The district of the first area keyword in x, else the first district named, else null."""
-    areas = [F.when(x.contains(a), F.lit(d)) for a, d in R.AREA_DISTRICTS]
-    return F.coalesce(*areas, *[F.when(x.contains(d[:-1]), F.lit(d)) for d in R.DISTRICTS])
+    rows = [*R.AREA_DISTRICTS, *((d[:-1], d) for d in R.DISTRICTS)]
+    listed = F.expr("array(" + ", ".join(f"struct('{k}' AS k, '{d}' AS d)" for k, d in rows) + ")")
+    return F.get(F.filter(listed, lambda row: x.contains(row["k"])), 0)["d"]

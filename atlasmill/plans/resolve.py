@@ -46,20 +46,25 @@ def sub_queries(inputs: DataFrame) -> DataFrame:
     return each.withColumn("query_md5", T.query_digest(F.col("sub")))
 
 
-def score_struct(c: Column, address: Column) -> Column:
+def score_struct(c: Column, address: Column | S.Terms) -> Column:
     """struct(total, detail and the five scores) of a candidate."""
     parts = S.scores(c["name"], c["addr"], c["std_tag"], c["show_tag"], F.size(c["polygons"]) > 0, address)
+    summed = lambda p: F.struct(S.total(p).alias("total"), S.detail(p).alias("detail"), *[p[k].alias(k) for k in S.PARTS])
+    return T.bind(F.struct(*[v.alias(k) for k, v in parts.items()]), summed)
 
-    def summed(p: Column) -> Column:
-        total = sum((p[k] for k in S.PARTS[1:]), p[S.PARTS[0]])
-        text = F.format_string("名称%.0f/地址%.0f/楼栋%.0f/类型%.0f/多边形%.0f=%.0f", *[p[k] for k in S.PARTS], total)
-        return F.struct(total.alias("total"), text.alias("detail"), *[p[k].alias(k) for k in S.PARTS])
 
-    return T.bind(F.struct(*[v.alias(k) for k, v in parts.items()]), summed)
+def with_terms(df: DataFrame, address: str) -> DataFrame:
+    """df with terms, what the scores need of an address, computed once for all its candidates."""
+    return df.withColumn("terms", F.struct(*[c.alias(k) for k, c in S.address_terms(F.col(address)).items()]))
+
+
+def terms_of(df: DataFrame) -> S.Terms:
+    """The terms of with_terms(), for ranked()."""
+    return {k: df["terms"][k] for k in S.TERMS}
 
 
-def ranked(candidates: Column, address: Column, settings: Settings) -> Column:
-    """Candidates with scores and admissible, best first: larger total, then one with polygons, then earlier in the response."""
+def ranked(candidates: Column, address: Column | S.Terms, settings: Settings) -> Column:
+    """Candidates of an address, or of its terms, with scores and admissible, best first: larger total, then one with polygons, then earlier in the response."""
 
     def one(c: Column) -> Column:
         located = c["center"].isNotNull()
@@ -95,8 +100,8 @@ def outcomes_by_query(responses: DataFrame) -> DataFrame:
 
 def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFrame:
     """subs with answered, n_candidates, best (a candidate or null), total, detail and note of their response."""
-    found = subs.join(outcomes_by_query(responses), "query_md5", "left")
-    found = found.withColumn("ranked", ranked(F.col("outcome.candidates"), F.col("sub"), settings))
+    found = with_terms(subs.join(outcomes_by_query(responses), "query_md5", "left"), "sub")
+    found = found.withColumn("ranked", ranked(F.col("outcome.candidates"), terms_of(found), settings))
     found = found.withColumn("skipped", F.get(F.filter(F.transform("ranked", lambda r, i: F.when(r["admissible"], i)), lambda i: i.isNotNull()), 0))
     found = found.withColumn("pick", F.get("ranked", F.col("skipped")))
     detail = F.concat("pick.score.detail", F.when(F.col("skipped") > 0, F.format_string("（已跳过%d个市外/越界候选）", "skipped")).otherwise(""))
@@ -110,8 +115,8 @@ def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFra
 
 def candidate_lines(subs: DataFrame, responses: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(seq, sub_pos, rank, idx, name, total, detail): every scored candidate, best first, for review."""
-    found = subs.join(outcomes_by_query(responses), "query_md5")
-    each = found.select("seq", "sub_pos", F.posexplode(ranked(F.col("outcome.candidates"), F.col("sub"), settings)).alias("rank", "r"))
+    found = with_terms(subs.join(outcomes_by_query(responses), "query_md5"), "sub")
+    each = found.select("seq", "sub_pos", F.posexplode(ranked(F.col("outcome.candidates"), terms_of(found), settings)).alias("rank", "r"))
     return each.select("seq", "sub_pos", "rank", "r.candidate.idx", "r.candidate.name", "r.score.total", "r.score.detail")
 
 

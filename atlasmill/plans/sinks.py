@@ -14,7 +14,7 @@ from atlasmill.functions import responses as P
 from atlasmill.functions import rules as R
 from atlasmill.functions import text as T
 from atlasmill.plans.resolve import latest_responses
-from atlasmill.sources import file_lines
+from atlasmill.sources import file_lines, rewritten
 
 
 def has_center() -> Column:
@@ -47,11 +47,28 @@ def write_lines(df: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
 
 
 def rewrite_lines(df: DataFrame, path: str) -> None:
-    """write_lines() to a path that df itself reads: by way of a second folder beside it."""
-    held = f"{path.rstrip('/')}.new"
-    write_lines(df.select("value"), held)
-    rows = file_lines(df.sparkSession, held, lineSep="\r\n")  # part files are named in the order of their rows
-    write_lines(rows.orderBy("seq").select("value"), path)
+    """write_lines() to a path that df itself reads, so that a failure at any step loses nothing.
+
+    The rows become a version beside the path and count from its mark on: readers of the path take them from there. Then
+    the path is replaced and the version goes. A rewrite that ended in between is ended by restore(), or by the next one.
+    """
+    spark = df.sparkSession
+    held = rewritten(spark, path)
+    n = held.following()
+    write_lines(df.select("value"), held.folder(n))
+    held.commit(n)
+    restore(spark, path)
+
+
+def restore(spark: SparkSession, path: str) -> bool:
+    """Ends a rewrite of a path that failed on its way: its complete rows take the path's place, partial ones go."""
+    held = rewritten(spark, path)
+    n = held.current()
+    if n is not None:
+        rows = file_lines(spark, held.folder(n), lineSep="\r\n")  # part files are named in the order of their rows
+        write_lines(rows.orderBy("seq").select("value"), path)
+    held.drop()
+    return n is not None
 
 
 def map_rows(results: DataFrame) -> DataFrame:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from atlasmill.functions import text as T
+from atlasmill.sources.folders import Versions
+
+
+def rewritten(spark: SparkSession, path: str) -> Versions:
+    """Versions of a path that a rewrite has made and not yet put in its place."""
+    return Versions(spark, f"{path.rstrip('/')}.versions")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +27,11 @@ def file_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
     Spark reads splits of files in an order of its own, by size. Rows are counted by split, a window over the splits
     (a row for each, whatever they hold) sums the counts by path and offset, and each line adds its place in the split.
+    Where a rewrite of the path is complete but not yet in its place, its lines are read.
     """
+    held = rewritten(spark, path)
+    if (n := held.current()) is not None:
+        path = held.folder(n)
     split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
     rows = spark.read.options(**options).text(path).select(*split, F.monotonically_increasing_id().alias("_at"), "value")
     counts = rows.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
@@ -58,12 +68,54 @@ def tab_rows(spark: SparkSession, path: str, names: list[str], header: bool = Fa
     seq is the line's place; further columns than named are left out, or raise too if exact. header: each file's first
     line goes. A line of tabs and spaces alone is blank.
     """
+    rows = _parted(spark, path, names, header, exact)
+    whole = F.when(F.col("bad"), F.raise_error(F.concat(F.lit("not the columns expected: " if exact else "too few columns: "), "value")).cast("array<string>")).otherwise(F.col("p"))
+    return rows.select("seq", whole.alias("p")).select("seq", *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+
+
+def _parted(spark: SparkSession, path: str, names: list[str], header: bool, exact: bool) -> DataFrame:
+    """(seq, line_no, value, p, bad) of lines that aren't blank."""
     lines = file_lines(spark, path).where(T.control_trim(F.col("value")) != "")
     if header:
         lines = lines.where(F.col("line_no") != 0)
-    parts = F.split("value", "\t", -1)
-    whole = F.when((F.size(parts) != len(names)) if exact else (F.size(parts) < len(names)), F.raise_error(F.concat(F.lit("not the columns expected: " if exact else "too few columns: "), "value")).cast("array<string>")).otherwise(parts)
-    return lines.select("seq", whole.alias("p")).select("seq", *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+    rows = lines.withColumn("p", F.split("value", "\t", -1))
+    return rows.withColumn("bad", (F.size("p") != len(names)) if exact else (F.size("p") < len(names)))
+
+
+class TooManyBadRows(ValueError):
+    """More rows were kept apart than the caller allows."""
+
+
+def tab_rows_apart(spark: SparkSession, path: str, names: list[str], apart: str, header: bool = False, exact: bool = False, most: int | None = None) -> DataFrame:
+    """tab_rows() that sets bad lines apart instead of ending the job: (seq, line_no, reason, value) at apart, as Parquet.
+
+    One pass over the files writes good and bad lines side by side, by kind, to a new version below apart, and counts
+    both as it goes. More than ``most`` bad lines raise TooManyBadRows once the pass is over, with all of them written; the
+    version before them then still counts. None: any number.
+    """
+    rows = _parted(spark, path, names, header, exact)
+    reason = F.format_string(f"%d columns, {len(names)} expected", F.size("p"))
+    row = F.when(~F.col("bad"), F.struct(*[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(names)]))
+    seen = Observation()
+    kept = rows.select("seq", "line_no", F.when(F.col("bad"), reason).alias("reason"), F.when(F.col("bad"), F.col("value")).alias("value"), row.alias("row"), F.when(F.col("bad"), "bad").otherwise("good").alias("kind"))
+    versions = Versions(spark, apart)
+    n = versions.following()
+    kept.observe(seen, F.count_if(F.col("kind") == "bad").alias("bad")).write.partitionBy("kind").parquet(versions.folder(n))
+    if most is not None and seen.get["bad"] > most:
+        raise TooManyBadRows(f"{seen.get['bad']} bad lines, {most} allowed: {versions.folder(n)}")
+    versions.commit(n)
+    return _of_kind(spark, versions.folder(n), kept, "good").select("seq", "row.*")
+
+
+def _of_kind(spark: SparkSession, folder: str, like: DataFrame, kind: str) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(folder).where(F.col("kind") == kind)
+
+
+def bad_rows(spark: SparkSession, apart: str) -> DataFrame:
+    """(seq, line_no, reason, value) of the lines that the last tab_rows_apart() set apart."""
+    versions = Versions(spark, apart)
+    schema = "seq long, line_no long, reason string, value string, kind string"
+    return spark.read.schema(schema).parquet(versions.folder(versions.current())).where("kind = 'bad'").drop("kind")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
