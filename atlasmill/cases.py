@@ -18,10 +18,12 @@ from atlasmill.functions import text as T
 from atlasmill.operators import enrich as N
 from atlasmill.operators import hulls
 from atlasmill.plans import enrich as E
+from atlasmill.plans import maps
 from atlasmill.plans import sinks as K
 from atlasmill.plans.resolve import Settings, candidate_lines, chosen, empty_streaks, resolve, sub_queries
 from atlasmill.queries import ORACLE_SQL, event_responses, part_addresses, part_responses, query, response_fields, table, text, vector_rings
 from atlasmill.sources import address_rows
+from atlasmill.sources.embedded import embedded_rows
 from atlasmill.sources.folders import scratch
 from atlasmill.sources.store import ResponseStore
 
@@ -251,3 +253,36 @@ def g10_merged_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = {"x0": of(low, lambda p: p["x"]), "y0": of(low, lambda p: p["y"]), "x1": of(high, lambda p: p["x"]), "y1": of(high, lambda p: p["y"])}
     measures |= {"a0": of(low, lambda p: p["x"] + p["y"]), "a1": of(high, lambda p: p["x"] + p["y"]), "d0": of(low, lambda p: p["x"] - p["y"]), "d1": of(high, lambda p: p["x"] - p["y"])}
     return found.join(holds, "k").select("k", *[c.alias(n) for n, c in measures.items()], "holds_all")
+
+
+@query("""
+WITH p AS (SELECT s_suppkey AS seq, 113.5 + (s_suppkey % 100) / 100.0 AS lon, 22.5 + (s_suppkey % 37) / 100.0 AS lat, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 0.004 END AS d FROM supplier),
+l AS (SELECT *, unnest([0, 9, 14]) AS level FROM p),
+b AS (SELECT *, (lon - d + 180) / 360 * pow(2, level) AS x0, (lon + d + 180) / 360 * pow(2, level) AS x1,
+  (1 - ln(tan(radians(lat + d)) + 1 / cos(radians(lat + d))) / pi()) / 2 * pow(2, level) AS y0, (1 - ln(tan(radians(lat - d)) + 1 / cos(radians(lat - d))) / pi()) / 2 * pow(2, level) AS y1 FROM l),
+t AS (SELECT *, unnest(range(floor(x0)::INT, floor(x1)::INT + 1)) AS x FROM b), u AS (SELECT *, unnest(range(floor(y0)::INT, floor(y1)::INT + 1)) AS y FROM t)
+SELECT level, array_to_string([((x >> (level - 1 - i)) & 1) + 2 * ((y >> (level - 1 - i)) & 1) FOR i IN range(level)], '') AS quadkey, seq, d > 0 AS boundary,
+  CASE WHEN d = 0 OR level = 0 THEN 0 ELSE 4 END::BIGINT AS corners FROM u
+""")
+def k04_map_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares and centres in the tiles of three levels; at the first a square is less than a step."""
+    lon, lat = F.lit(113.5) + (F.col("s_suppkey") % 100) / 100.0, F.lit(22.5) + (F.col("s_suppkey") % 37) / 100.0
+    ring = F.array(*[G.point(lon + dx, lat + dy) for dx, dy in ((-0.004, -0.004), (0.004, -0.004), (0.004, 0.004), (-0.004, 0.004))])
+    results = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("region_id"), text("r", F.col("s_suppkey")).alias("region_name"), F.lit(R.STATUS_SUCCESS).alias("status"),
+        lon.alias("center_lon"), lat.alias("center_lat"), F.when(F.col("s_suppkey") % 3 == 0, F.array().cast(G.RING)).otherwise(ring).alias("polygon"),
+    )
+    return maps.tiles(results, [0, 9, 14]).select("level", "quadkey", "seq", "boundary", F.size("polygon").cast("long").alias("corners"))
+
+
+@query("""SELECT doc_id, text, source FROM documents""")
+def s09_embedded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as objects of one array in a page, written and cut again by many tasks."""
+    folder = scratch(spark, "page")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", F.struct("source", F.array(F.struct("text")).alias("parts")).alias("inner"))).alias("value"))
+    listed = rows.select(F.col("doc_id").alias("o"), F.concat(F.lit(" , "), "value").alias("value"))
+    around = {-1: '<style>p{color:red}</style><script>var s="{[";var ROWS = [ {"doc_id":-1}', 1 << 62: ']; function f(){ return {"a":[{}]}; }</script>'}
+    page = listed.unionByName(spark.createDataFrame(list(around.items()), "o long, value string"))
+    page.orderBy("o").select("value").write.text(folder)  # part files follow each other by name
+    found = embedded_rows(spark, folder, "ROWS =", "doc_id long, inner struct<source: string, parts: array<struct<text: string>>>")
+    return found.where("doc_id >= 0").select("doc_id", F.get("inner.parts", 0)["text"].alias("text"), "inner.source")

@@ -33,8 +33,12 @@ def parsed_point(text: Column) -> Column:
     return G.point(F.coalesce(p["lon"], F.lit(0.0)), F.coalesce(p["lat"], F.lit(0.0)))
 
 
-def expanded_range(center: Column, ring: Column, metres: float) -> Column:
-    """Text of a ring moved outwards, or of a circle around the centre where it has under three vertices; closed."""
-    grown = G.buffered(parsed_ring(ring), metres)
+def range_text(grown: Column, center: Column, metres: float) -> Column:
+    """Text of a grown ring, closed; of a circle around the centre where it is empty."""
     around = lambda c: G.circle(c["x"], c["y"], metres)
     return ring_json(G.closed(bind(grown, lambda g: F.when(F.size(g) > 0, g).otherwise(bind(parsed_point(center), around)))))
+
+
+def expanded_range(center: Column, ring: Column, metres: float) -> Column:
+    """Text of a ring moved outwards, or of a circle around the centre where it has under three vertices; closed."""
+    return range_text(G.buffered(parsed_ring(ring), metres), center, metres)

@@ -12,6 +12,8 @@ from atlasmill.functions.text import bind
 
 POINT = "struct<x:double,y:double>"
 RING = f"array<{POINT}>"
+#: Points of which a hull is built without leaving out inner ones.
+PRUNED = 64
 
 
 def point(x, y) -> Column:
@@ -95,8 +97,25 @@ def chosen_footprint(rings: Column, x: Column, y: Column) -> Column:
     return F.coalesce(holding, F.array_max(sized)["r"])
 
 
+def outside(points: Column) -> Column:
+    """Points that are not strictly inside the octagon of the extreme ones: no other can be a vertex of the hull."""
+    directions = [lambda p: p["x"], lambda p: p["x"] - p["y"], lambda p: -p["y"], lambda p: -p["x"] - p["y"], lambda p: -p["x"], lambda p: p["y"] - p["x"], lambda p: p["y"], lambda p: p["x"] + p["y"]]
+    extreme = lambda f: F.array_max(F.transform(points, lambda p: F.struct(f(p).alias("v"), p.alias("p"))))["p"]
+
+    def cut(corners: Column) -> Column:
+        edges = bind(F.zip_with(corners, following(corners), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda e: F.filter(e, lambda s: s["a"] != s["b"]))
+        right_of = lambda e, p: (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"]) < 0
+        return bind(edges, lambda es: F.filter(points, lambda p: ~F.forall(es, lambda e: right_of(e, p)) | (F.size(es) == 0)))
+
+    return bind(F.array(*map(extreme, directions)), cut)
+
+
 def convex_hull(points: Column) -> Column:
-    """Counter-clockwise, without collinear vertices and not closed; null of under three distinct or of collinear points."""
+    """Counter-clockwise, without collinear vertices and not closed; null of under three distinct or of collinear points.
+
+    Of over PRUNED points those inside the octagon of the extreme ones are left out first. The work still grows with the
+    points times the vertices: for rings with very many vertices see operators.hulls.
+    """
 
     def turn(o: Column, a: Column, b: Column) -> Column:
         return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
@@ -113,7 +132,7 @@ def convex_hull(points: Column) -> Column:
         chain = F.aggregate(sorted_points, F.array().cast(RING), lambda h, p: F.concat(popped(h, p), F.array(p)))
         return bind(chain, lambda h: F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))))
 
-    distinct = F.array_sort(F.array_distinct(points))
+    distinct = F.array_sort(F.array_distinct(bind(points, lambda r: F.when(F.size(r) > PRUNED, outside(r)).otherwise(r))))
     hull = bind(distinct, lambda d: F.when(F.size(d) >= 3, F.concat(half(d), half(F.reverse(d)))))
     return bind(hull, lambda h: F.when(F.size(h) >= 3, h))
 
@@ -199,10 +218,18 @@ def offset(ring: Column, metres: float) -> Column:
     return bind(turned, corners)
 
 
+def moved(ring: Column, metres: float) -> Column:
+    """struct(origin, ring) of a ring of degrees moved outwards, in local metres; null if under three vertices are left of it."""
+    made = lambda r: bind(mean_point(r), lambda o: F.struct(o.alias("origin"), offset(to_local(r, o), metres).alias("ring")))
+    return bind(cleaned(ring), lambda r: F.when(F.size(r) >= 3, made(r)))
+
+
 def buffered(ring: Column, metres: float) -> Column:
-    """A ring of degrees moved outwards; empty if under three vertices are left of it."""
-    grown = lambda r: bind(mean_point(r), lambda o: from_local(offset(to_local(r, o), metres), o))
-    return bind(cleaned(ring), lambda r: F.when(F.size(r) >= 3, grown(r)).otherwise(F.array().cast(RING)))
+    """A ring of degrees moved outwards; empty if under three vertices are left of it.
+
+    The offset of a concave ring can cross itself, and stays so; see untangle.with_buffers().
+    """
+    return bind(moved(ring, metres), lambda m: F.when(m.isNotNull(), from_local(m["ring"], m["origin"])).otherwise(F.array().cast(RING)))
 
 
 def circle(x: Column, y: Column, metres: float, sides: int = R.CIRCLE_SIDES) -> Column:

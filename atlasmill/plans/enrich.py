@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +38,30 @@ def recoded(rows: DataFrame, labels: DataFrame, preferred: Column | None = None)
     return found.select("seq", F.col("_code").alias("code"), "name", "center", "ring", "address", F.col("_label").alias("label"))
 
 
-def additions(answers: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(seq, code, name, center, ring, address, label) of answers (seq, address, query, raw, code, label): each a stored response
-    to a query that stands for an address, of which a failed one raises."""
+def answered(answers: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The results of answers (seq, address, query, raw, code, label), with their code and label: each a stored response to a
+    query that stands for an address."""
     subs = answers.select("seq", "address", F.lit(0).alias("sub_pos"), F.lit(1).alias("n_sub"), F.col("query").alias("sub"), T.query_digest(F.col("query")).alias("query_md5"))
     responses = answers.select(T.query_digest(F.col("query")).alias("query_md5"), "raw").distinct()
-    found = regrouped(chosen(subs, responses, replace(settings)), settings).join(answers.select("seq", "code", "label"), "seq")
+    return regrouped(chosen(subs, responses, settings), settings).join(answers.select("seq", "code", "label"), "seq")
+
+
+def additions(answers: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(seq, code, name, center, ring, address, label) of answers, of which one without a result raises."""
+    found = answered(answers, settings)
     point = X.point_json(G.point(F.col("center_lon"), F.col("center_lat")))
     center = F.when(F.col("center_lon").isNotNull(), point).otherwise(F.raise_error(F.concat(F.lit("no result: "), "input_address")))
     return found.select("seq", "code", F.col("region_name").alias("name"), center.alias("center"), X.ring_json(F.col("polygon")).alias("ring"), F.col("input_address").alias("address"), "label")
 
 
+def reviewed(review: DataFrame, failed: DataFrame, results: DataFrame) -> DataFrame:
+    """The review list (seq, address, name, detail, message) with the results of addresses that the failure list had behind it, once."""
+    last = review.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    new = results.join(failed.select(F.col("address").alias("input_address")).distinct(), "input_address", "left_semi")
+    rows = new.select((F.col("seq") + last + 1).alias("seq"), F.col("input_address").alias("address"), F.col("selected_name").alias("name"), F.col("score_detail").alias("detail"), "message")
+    return N.appended(review, rows, "address")
+
+
 def merged(rows: DataFrame, extra: DataFrame) -> DataFrame:
     """rows with extra behind them, once, however often it is done: rows that extra's codes name are replaced."""
     last = rows.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]

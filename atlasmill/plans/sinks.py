@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import html
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,8 @@ from atlasmill.functions import geometry as G
 from atlasmill.functions import responses as P
 from atlasmill.functions import rules as R
 from atlasmill.functions import text as T
+from atlasmill.functions.untangle import with_buffers
+from atlasmill.plans import maps
 from atlasmill.plans.resolve import latest_responses
 from atlasmill.sources import file_lines, rewritten
 
@@ -74,24 +73,16 @@ def restore(spark: SparkSession, path: str) -> bool:
 def map_rows(results: DataFrame) -> DataFrame:
     """value: a JSON object for each result that has a centre, with what the map shows."""
     ring = F.transform("polygon", lambda p: F.array(p["x"], p["y"]))
-    fields = [F.col("region_id").alias("id"), F.col("region_name").alias("name"), F.col("input_address").alias("input"), F.col("center_lon").alias("lon"), F.col("center_lat").alias("lat"), ring.alias("polygon"), F.col("place_type").alias("type"), F.col("status"), F.col("score_detail").alias("detail"), F.col("message")]
+    fields = [F.col("region_id").alias("id"), F.col("region_name").alias("name"), F.col("input_address").alias("input"), F.col("center_lon").alias("lon"), F.col("center_lat").alias("lat"), ring.alias("polygon"), F.col("place_type").alias("type"), F.col("status"), F.col("score_detail").alias("detail"), F.col("message"), F.col("selected_name").alias("selected"), F.array_join("sub_queries", " | ").alias("subs")]
     return results.where(has_center()).orderBy("seq").select(F.to_json(F.struct(*fields)).alias("value"))
 
 
 def map_page(results: DataFrame, title: str, key: str, max_rows: int = 100_000) -> str:
-    """A page that embeds its rows; a page of over max_rows is refused, as a browser couldn't show it."""
+    """A page that embeds its rows and draws them; a page of over max_rows is refused, as a browser couldn't show it: see maps.write_tiles()."""
     rows = [r["value"] for r in map_rows(results).limit(max_rows + 1).collect()]
     if len(rows) > max_rows:
         raise ValueError(f"a map of over {max_rows} rows")
-    data = ("[" + ",".join(rows) + "]").replace("</", "<\\/")
-    return (
-        f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><input id="q"><ul id="list"></ul>'
-        f"<script>const KEY={json.dumps(key)};const DATA={data};"
-        "const list=document.getElementById('list');"
-        "function show(q){list.textContent='';DATA.filter(r=>!q||(r.name+' '+r.input).toLowerCase().includes(q.toLowerCase())).forEach(r=>{"
-        "const li=document.createElement('li');li.textContent=r.id+' '+r.name+' '+r.status;list.appendChild(li);});}"
-        "document.getElementById('q').oninput=e=>show(e.target.value);show('');</script></body></html>"
-    )
+    return maps.page(rows, title, key)
 
 
 def substituted(page: str, edits: list[tuple[str, str]]) -> str:
@@ -117,7 +108,14 @@ def stored_responses(spark: SparkSession, path: str) -> DataFrame:
     return latest_responses(spark.read.parquet(path))
 
 
-def buffered_lines(rows: DataFrame, metres: float) -> DataFrame:
-    """value of rows (seq, six columns) with the expanded range as the seventh, in place of any that was there."""
+def buffered_lines(rows: DataFrame, metres: float, simple: bool = False) -> DataFrame:
+    """value of rows (seq, six columns) with the expanded range as the seventh, in place of any that was there.
+
+    simple: of a range that crosses itself only its largest simple loop.
+    """
     names = [c for c in rows.columns if c != "seq"]
-    return lines(rows, [*map(F.col, names[:6]), X.expanded_range(F.col(names[2]), F.col(names[3]), metres)])
+    center, ring = F.col(names[2]), F.col(names[3])
+    if not simple:
+        return lines(rows, [*map(F.col, names[:6]), X.expanded_range(center, ring, metres)])
+    grown = with_buffers(rows, X.parsed_ring(ring), metres, "_grown")
+    return lines(grown, [*map(F.col, names[:6]), X.range_text(F.col("_grown"), center, metres)])
