@@ -130,7 +130,7 @@ def main(args: list[str] | None = None) -> None:
     for p in (two, three, five):
         p.add_argument("--write", action="store_true")
     a = parser.parse_args(args)
-    spark = SparkSession.builder.appName("atlasmill").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
+    spark = SparkSession.builder.appName("atlasmill").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k").getOrCreate()
     if a.kind == "resolve":
         run_resolve(spark, a.config)
     elif a.kind == "buffer":

@@ -15,6 +15,7 @@ from atlasmill.functions import geometry as G
 from atlasmill.functions import keywords as W
 from atlasmill.functions import rules as R
 from atlasmill.functions import text as T
+from atlasmill.functions.untangle import with_buffers
 from atlasmill.operators import enrich as N
 from atlasmill.operators import hulls
 from atlasmill.plans import enrich as E
@@ -286,3 +287,24 @@ def s09_embedded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     page.orderBy("o").select("value").write.text(folder)  # part files follow each other by name
     found = embedded_rows(spark, folder, "ROWS =", "doc_id long, inner struct<source: string, parts: array<struct<text: string>>>")
     return found.where("doc_id >= 0").select("doc_id", F.get("inner.parts", 0)["text"].alias("text"), "inner.source")
+
+
+@query("""
+WITH k AS (SELECT p_partkey AS seq, p_partkey % 6 AS r, '第' || p_partkey || '号花园' AS b, CASE WHEN p_size % 15 + 1 <= 12 THEN p_size % 15 + 2 ELSE 2 END AS n FROM part WHERE p_partkey % 6 <> 5),
+d AS (SELECT *, '] 名称40/地址0/楼栋20/类型10/多边形5=75' AS s FROM k)
+SELECT seq, CASE r WHEN 0 THEN '[' || b || '1栋' || s || ' || [' || b || '2栋' || s WHEN 1 THEN '[' || b || 'A座' || s || ' || [' || b || 'B座' || s WHEN 2 THEN '[' || b || '1栋' || s
+  WHEN 3 THEN '' ELSE '[甲] 名称0/地址0/楼栋10/类型0/多边形0=10' END AS score_detail,
+  CASE r WHEN 2 THEN '部分子地址失败（1/' || n || '）' WHEN 3 THEN '所有查询均无有效结果' WHEN 4 THEN '「' || b || '大门」最高分 10 低于阈值 40' END AS message FROM d
+""")
+def a04_joined_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole detail and message of every result, joined over its parts in their order."""
+    return resolve(part_addresses(spark, sf_dir), part_responses(spark, sf_dir)).select("seq", "score_detail", "message")
+
+
+@query("""SELECT p_partkey AS seq, CASE WHEN p_partkey % 6 = 3 THEN 0 WHEN p_partkey % 6 = 4 THEN 1 ELSE 5 END::BIGINT AS corners, p_partkey % 6 <> 3 AS located FROM part WHERE p_partkey % 6 <> 5""")
+def g21_simple_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G20-G23 with the option that repairs ranges: a result's square moved out keeps its corners, a centre has its circle."""
+    results = resolve(part_addresses(spark, sf_dir), part_responses(spark, sf_dir)).select("seq", "polygon", "center_lon")
+    grown = with_buffers(results, F.col("polygon"), 20.0, "grown").withColumn("n", F.size("grown"))
+    kinds = F.when(F.col("center_lon").isNull(), 0).when(F.col("n") == 0, 1).otherwise(F.col("n") + 1)
+    return grown.select("seq", kinds.cast("long").alias("corners"), F.col("center_lon").isNotNull().alias("located"))
