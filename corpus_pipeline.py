@@ -28,15 +28,25 @@ def drop_near_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word fingerprints are linked at 4 or fewer bits, that of the least id."""
+    """Of documents whose five-word fingerprints are linked at 4 or fewer bits, that of the least id.
+
+    A null text counts as empty, and texts without words are linked with each other; of equal ids and prints one row stays.
+    An empty table stays one.
+    """
     return simhash.keep_first(docs, shingle_words=5, radius=4)
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of the documents by source, language and topic.
+
+    Source and language that are null or not named share a value of their own; a null text has no tokens. The draw goes by
+    the id's hash, so repeated ids go or stay together. An empty table stays one.
+    """
     return mixing.mix(docs, MIX, MIX_KEEP, MIX_SWEEPS).where("mix_kept").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and places; a null text is empty, of one closing token. An empty table gives no rows."""
     return packing.pack(stored(packing.pieces(docs, tokenizer_path(), capacity=2048), "pieces"), capacity=2048)
 
 
