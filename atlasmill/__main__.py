@@ -13,7 +13,7 @@ from atlasmill.functions import text as T
 from atlasmill.operators import summary
 from atlasmill.plans import enrich as E
 from atlasmill.plans import sinks as K
-from atlasmill.plans.resolve import Settings, candidate_lines, resolve, sub_queries
+from atlasmill.plans.resolve import Settings, candidate_lines, release, resolve, sub_queries
 from atlasmill.sources.store import ResponseStore
 
 DEFAULTS = {
@@ -38,7 +38,7 @@ def run_resolve(spark: SparkSession, config: str | None) -> None:
     found = Z.properties(config, DEFAULTS)
     inputs = Z.addresses(spark, str(found["input.path"]), header=str(found["input.header"]))
     known = ResponseStore(spark, str(found["cache.store"])).lookup() if found["cache.store"] else Z.response_cache(spark, str(found["cache.dir"]))
-    results = resolve(inputs, known, settings(found)).cache()
+    results = resolve(inputs, known, settings(found))
     K.write_lines(K.result_lines(results), str(found["output.path"]))
     K.write_lines(K.failed_lines(results), str(found["failed.path"]))
     K.write_lines(K.review_lines(results), str(found["review.path"]))
@@ -48,7 +48,7 @@ def run_resolve(spark: SparkSession, config: str | None) -> None:
         at = F.struct("seq", "sub_pos", "rank").alias("at")
         K.write_lines(K.lines(listed.withColumn("at", at), [F.col(c).cast("string") for c in ("seq", "sub_pos", "rank", "name", "total", "detail")], "at"), str(found["candidates.path"]))
     summary(results).show()
-    results.unpersist()
+    release(results)
 
 
 def run_store(spark: SparkSession, cache: str, store: str, compact: bool) -> None:

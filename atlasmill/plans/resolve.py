@@ -176,8 +176,15 @@ def resolve(inputs: DataFrame, responses: DataFrame, settings: Settings = Settin
     by one with each result that has a centre, in input order.
 
     The results are persisted before they are numbered, since their count by bucket and their rows are both needed, and
-    sinks read them again; a lost executor's part is computed anew. ``spark.catalog.clearCache()`` lets them go.
+    sinks read them again; a lost executor's part is computed anew. release() lets them go.
     """
     results = regrouped(chosen(sub_queries(inputs), responses, settings), settings).persist(StorageLevel.MEMORY_AND_DISK)
     ok = F.col("center_lon").isNotNull() & F.col("center_lat").isNotNull()
-    return dense_ids(results, ok, "seq", settings.first_id)
+    numbered = dense_ids(results, ok, "seq", settings.first_id)
+    numbered.held = results
+    return numbered
+
+
+def release(resolved: DataFrame) -> None:
+    """Lets go what resolve() has persisted for its result; the result can still be read, and is then computed anew."""
+    resolved.held.unpersist()

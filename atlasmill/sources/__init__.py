@@ -62,6 +62,14 @@ def response_cache(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("query_md5"), F.col("value").alias("raw"))
 
 
+def golden_response(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
+    """(query_md5, raw) of one response's file, a known good one; of the fallback where the first is no file, else an error."""
+    found = next((p for p in (path, fallback) if p is not None and ("://" in p or Path(p).is_file())), None)
+    if found is None:
+        raise FileNotFoundError(f"neither {path} nor {fallback}")
+    return response_cache(spark, found)
+
+
 def tab_rows(spark: SparkSession, path: str, names: list[str], header: bool = False, exact: bool = False) -> DataFrame:
     """Columns by position of files of tabs without quoting, blank lines left out; a row with fewer columns raises.
 

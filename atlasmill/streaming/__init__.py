@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from atlasmill.functions import text as T
-from atlasmill.plans.resolve import Settings, chosen, empty_streaks, resolve, sub_queries
+from atlasmill.plans.resolve import Settings, chosen, empty_streaks, release, resolve, sub_queries
 from atlasmill.sources.folders import Versions
 
 #: What keeps a key's state between batches.
@@ -84,6 +84,7 @@ class Flow:
         batch = batch.persist()
         results = resolve(batch, responses, replace(self.settings, first_id=ended["next_id"]))
         results.write.mode("overwrite").parquet(f"{folder}/results")
+        release(results)
         streaks = empty_streaks(chosen(sub_queries(batch), responses, self.settings), self.threshold, ended["streak"])
         streaks.select("seq", "sub_pos", "sub", "n_candidates", "streak").write.mode("overwrite").parquet(f"{folder}/outcomes")
         batch.unpersist()
@@ -92,6 +93,8 @@ class Flow:
         self.batches.commit(batch_id, json.dumps({"next_id": ended["next_id"] + kept, "streak": last["streak"] if last else ended["streak"]}))
 
     def _read(self, kind: str) -> DataFrame:
+        if self.batches.current() is None:
+            raise ValueError("no batch is complete yet")
         return self.spark.read.parquet(*[f"{self.batches.folder(n)}/{kind}" for n in self.batches.complete()])
 
     def results(self) -> DataFrame:
