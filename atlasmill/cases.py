@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasmill import operators as O
+from atlasmill import streaming
 from atlasmill.functions import geometry as G
 from atlasmill.functions import keywords as W
 from atlasmill.functions import rules as R
@@ -23,7 +24,7 @@ from atlasmill.plans import maps
 from atlasmill.plans import sinks as K
 from atlasmill.plans.resolve import Settings, candidate_lines, chosen, empty_streaks, resolve, sub_queries
 from atlasmill.queries import ORACLE_SQL, event_responses, part_addresses, part_responses, query, response_fields, table, text, vector_rings
-from atlasmill.sources import address_rows
+from atlasmill.sources import address_rows, bad_rows, tab_rows_apart
 from atlasmill.sources.embedded import embedded_rows
 from atlasmill.sources.folders import scratch
 from atlasmill.sources.store import ResponseStore
@@ -308,3 +309,39 @@ def g21_simple_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     grown = with_buffers(results, F.col("polygon"), 20.0, "grown").withColumn("n", F.size("grown"))
     kinds = F.when(F.col("center_lon").isNull(), 0).when(F.col("n") == 0, 1).otherwise(F.col("n") + 1)
     return grown.select("seq", kinds.cast("long").alias("corners"), F.col("center_lon").isNotNull().alias("located"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN '2 columns, 3 expected' END AS reason, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE o_orderstatus END AS status FROM orders
+""")
+def s06_rows_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as lines of tabs, of which some are short; those are set apart with their reason."""
+    folder, apart = scratch(spark, "lines"), scratch(spark, "apart")
+    short = F.col("o_orderkey") % 7 == 3
+    lines = table(spark, sf_dir, "orders").select(F.concat_ws("\t", F.col("o_orderkey").cast("string"), F.lit("x"), F.when(~short, F.col("o_orderstatus"))).alias("value"))
+    lines.write.text(folder)
+    good = tab_rows_apart(spark, folder, ["key", "x", "status"], apart).select(F.col("key").cast("long").alias("o_orderkey"), F.lit(None).cast("string").alias("reason"), "status")
+    bad = bad_rows(spark, apart).select(F.substring_index("value", "\t", 1).cast("long").alias("o_orderkey"), "reason", F.lit(None).cast("string").alias("status"))
+    return good.unionByName(bad)
+
+
+@query("""
+SELECT p_partkey AS seq, (10123 + sum(CASE WHEN p_partkey % 6 = 3 THEN 0 ELSE 1 END) OVER (ORDER BY p_partkey) + CASE WHEN p_partkey % 6 = 3 THEN 1 ELSE 0 END)::BIGINT AS region_id,
+  CASE p_partkey % 6 WHEN 0 THEN '成功' WHEN 1 THEN '成功' WHEN 3 THEN '失败' ELSE '低置信度' END AS status FROM part WHERE p_partkey % 6 <> 5
+""")
+def w02_streamed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W01, W02 over a stream: every address twice, in two runs with a restart between them; ids go on."""
+    path = scratch(spark, "stream")
+    inputs, raws = part_addresses(spark, sf_dir).select("seq", "address"), f"{path}/raws"
+    part_responses(spark, sf_dir).write.parquet(raws)
+    half = inputs.agg((F.max("seq") / 2).cast("long")).first()[0]
+    flow = streaming.Flow(spark, f"{path}/flow", lambda: spark.read.parquet(raws))
+    before = spark.conf.get(streaming.STATE_STORE[0])
+    spark.conf.set(*streaming.STATE_STORE)
+    try:
+        for some in (inputs.where(F.col("seq") <= half), inputs.withColumn("seq", F.when(F.col("seq") > half, F.col("seq")).otherwise(F.col("seq") + (1 << 40)))):
+            some.coalesce(1).write.mode("append").parquet(f"{path}/in")
+            streaming.start(streaming.numbered_stream(spark, f"{path}/in"), flow, f"{path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(streaming.STATE_STORE[0], before)
+    return flow.results().select("seq", F.col("region_id").cast("long"), "status")
