@@ -113,4 +113,4 @@ def test_packed_tokens_are_those_of_the_sample(stages):
 
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, str(DATA)).count() > 0
-    assert sorted(int(n.split("_")[0][2:]) for n in entry.queries() if n.startswith("op")) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n.split("_")[0][2:]) for n in entry.queries() if n.startswith("op")) == list(range(1, 14)) and "pipeline" in entry.queries()
