@@ -282,10 +282,10 @@ def s09_embedded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as objects of one array in a page, written and cut again by many tasks."""
     folder = scratch(spark, "page")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", F.struct("source", F.array(F.struct("text")).alias("parts")).alias("inner"))).alias("value"))
-    listed = rows.select(F.col("doc_id").alias("o"), F.concat(F.lit(" , "), "value").alias("value"))
-    around = {-1: '<style>p{color:red}</style><script>var s="{[";var ROWS = [ {"doc_id":-1}', 1 << 62: ']; function f(){ return {"a":[{}]}; }</script>'}
+    listed = rows.select(F.col("doc_id").alias("o"), F.concat(F.lit(" , "), F.expr("left(value, char_length(value) - 1)")).alias("value"))
+    around = {-1: '<style>p{color:red}</style><script>var s="{[";var ROWS = [ {"doc_id":-1', 1 << 62: ']; function f(){ return {"a":[{}]}; '}
     page = listed.unionByName(spark.createDataFrame(list(around.items()), "o long, value string"))
-    page.orderBy("o").select("value").write.text(folder)  # part files follow each other by name
+    page.repartitionByRange(5, "o").sortWithinPartitions("o").select("value").write.option("lineSep", "}").text(folder)  # part files follow each other by name, and end with a brace
     found = embedded_rows(spark, folder, "ROWS =", "doc_id long, inner struct<source: string, parts: array<struct<text: string>>>")
     return found.where("doc_id >= 0").select("doc_id", F.get("inner.parts", 0)["text"].alias("text"), "inner.source")
 

@@ -30,7 +30,8 @@ def _kept(df: DataFrame) -> DataFrame:
 def object_texts(spark: SparkSession, path: str, anchor: str) -> DataFrame:
     """(pos, value): the text of each object of the array that follows the first place of anchor in a file.
 
-    The array's elements must be objects; space is allowed everywhere. Raises where the anchor isn't found or the array
+    A folder is read as one text, file after file; all of its files but the last must end with a closing brace. The
+    array's elements must be objects; space is allowed everywhere. Raises where the anchor isn't found or the array
     doesn't end. An empty array gives no rows. The anchor must not hold a closing brace.
     """
     if "}" in anchor:
