@@ -11,7 +11,7 @@ from atlasmill.llm.shared import stored
 TOKENIZER = "word_bpe_49k.json"
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 MIX = {"source": ([f"src{i}" for i in range(20)], 0.7), "lang": (["en", "de", "fr", "es"], 0.8), "topic": (list(mixing.TOPICS), 0.9)}
-MIX_KEEP, MIX_SWEEPS = 0.8, 12
+MIX_KEEP, MIX_SWEEPS = 0.8, 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +99,7 @@ QUERIES = {
 
 
 def _mix_sql() -> str:
-    """Truncated raking written out, a table of cells for each step, and the same draw by the id's md5."""
+    """Goals and raking as windows over cells, a recursion with a step for each dimension, and the same draw by the id's md5."""
     def share(chars: str) -> str:
         rest = "coalesce(text, '')"
         for c in chars:
@@ -113,15 +113,26 @@ def _mix_sql() -> str:
         "CASE WHEN n = 0 THEN 0 ELSE n - length(replace(text, ' ', '')) + 1 END::BIGINT AS mix_tokens FROM (SELECT *, length(coalesce(text, '')) AS n FROM documents))",
         f"c0 AS MATERIALIZED (SELECT k0, k1, k2, sum(mix_tokens)::DOUBLE AS n, {MIX_KEEP}::DOUBLE AS p FROM d GROUP BY ALL)",
     ]
+    factor = lambda total, of: f"max(CASE WHEN rest > 0 THEN ({total} - coalesce(full_, 0)) / rest END) OVER ({of})"
+    sums = lambda of: (
+        f"sum(n) OVER ({of} ORDER BY p DESC, k0, k1, k2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS full_, "
+        f"sum(n * p) OVER ({of} ORDER BY p DESC, k0, k1, k2 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest"
+    )
     for i, (_, power) in enumerate(MIX.values()):
-        tables.append(f"t{i} AS MATERIALIZED (SELECT k{i}, pow(n / sum(n) OVER (), {power}) / sum(pow(n / total, {power})) OVER () AS share FROM (SELECT k{i}, sum(n) AS n, (SELECT sum(n) FROM c0) AS total FROM c0 GROUP BY k{i}))")
-    at = 0
-    for _ in range(MIX_SWEEPS):
-        for i in range(len(MIX)):
-            tables.append(f"c{at + 1} AS MATERIALIZED (SELECT c.* EXCLUDE (p, m), CASE WHEN m > 0 THEN least(1.0, p * {MIX_KEEP} * (SELECT sum(n) FROM c0) * share / m) ELSE p END AS p FROM (SELECT *, sum(n * p) OVER (PARTITION BY k{i}) AS m FROM c{at}) c JOIN t{i} USING (k{i}))")
-            at += 1
-    return "WITH " + ",\n".join(tables) + f"""
-SELECT doc_id, source, lang, mix_tokens, round(p, 6) AS mix_probability, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT / 4294967296.0 < p AS mix_kept FROM d JOIN c{at} USING (k0, k1, k2)"""
+        tables += [
+            f"t{i} AS MATERIALIZED (SELECT k{i}, n, {MIX_KEEP} * total AS want, {MIX_KEEP} * total * pow(n / total, {power}) / sum(pow(n / total, {power})) OVER () / n AS p FROM (SELECT k{i}, sum(n) AS n, (SELECT sum(n) FROM c0) AS total FROM c0 GROUP BY k{i}) WHERE n > 0)",
+            f"g{i} AS MATERIALIZED (SELECT k{i}, n * least(1.0, p * {factor('want', '')}) AS goal{i} FROM (SELECT *, {sums('').replace(', k0, k1, k2', f', k{i}')} FROM t{i}))",
+        ]
+    goals = " ".join(f"LEFT JOIN g{i} USING (k{i})" for i in range(len(MIX)))
+    at = lambda name: "CASE step % 3 " + " ".join(f"WHEN {i} THEN {name}{i}" for i in range(len(MIX))) + " END"
+    tables += [
+        f"b AS MATERIALIZED (SELECT * FROM c0 {goals})",
+        f"""r AS (SELECT k0, k1, k2, n, p, goal0, goal1, goal2, 0 AS step FROM b UNION ALL
+SELECT k0, k1, k2, n, CASE WHEN goal IS NULL THEN p ELSE least(1.0, p * {factor('goal', 'PARTITION BY k')}) END AS p, goal0, goal1, goal2, step + 1 AS step
+FROM (SELECT *, {sums('PARTITION BY k')} FROM (SELECT *, {at('k')} AS k, {at('goal')} AS goal FROM r WHERE step < {len(MIX) * MIX_SWEEPS})))""",
+    ]
+    return "WITH RECURSIVE " + ",\n".join(tables) + f"""
+SELECT doc_id, source, lang, mix_tokens, round(p, 6) AS mix_probability, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT / 4294967296.0 < p AS mix_kept FROM d JOIN r USING (k0, k1, k2) WHERE step = {len(MIX) * MIX_SWEEPS}"""
 
 
 def _url_sql() -> str:

@@ -1,4 +1,5 @@
 import random
+import warnings
 import zlib
 from collections import defaultdict
 
@@ -194,7 +195,56 @@ def test_raking_meets_targets():
     for d, shares in enumerate(targets):
         for v, share in shares.items():
             assert sum(n * p[c] for c, n in cells.items() if c[d] == v) == pytest.approx(0.3 * total * share, rel=1e-6)
-    assert all(0 <= x <= 1 for x in mixing.rake(cells, targets, 0.95, 30).values())
+
+
+def plain_goals(cells, shares, d, want):
+    """Goals of a dimension, its scale found by halving an interval."""
+    has = {v: sum(n for c, n in cells.items() if c[d] == v) for v in shares}
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(has[v], mid * want * s) for v, s in shares.items()) < want else (low, mid)
+    return {v: min(has[v], high * want * s) for v, s in shares.items()}
+
+
+def plain_rake(cells, targets, keep):
+    """Each step's factors by halving an interval, many sweeps."""
+    p = dict.fromkeys(cells, keep)
+    for _ in range(150):
+        for d, shares in enumerate(targets):
+            goal = plain_goals(cells, shares, d, keep * sum(cells.values()))
+            for v in shares:
+                of, low, high = [c for c in cells if c[d] == v], 0.0, 1e6
+                for _ in range(90):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if sum(cells[c] * min(1.0, mid * p[c]) for c in of) < goal[v] else (low, mid)
+                p.update({c: min(1.0, high * p[c]) for c in of})
+    return p
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_raking_with_shares_out_of_reach(seed):
+    """Values without enough tokens give all they have, the others of the dimension take what they lack, and the kept share is met."""
+    rng = random.Random(seed)
+    cells = {(a, b): float(rng.randint(50, 500)) for a in "xyz" for b in "pq"}
+    cells["x", "p"] = 0.0
+    targets = [{"x": 0.6, "y": 0.2, "z": 0.2}, {"p": 0.45, "q": 0.55}]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        p = mixing.rake(cells, targets, 0.7)
+    want = plain_rake(cells, targets, 0.7)
+    assert all(p[c] == pytest.approx(want[c], abs=1e-6) for c, n in cells.items() if n) and all(0 <= x <= 1 for x in p.values())
+    assert sum(n * p[c] for c, n in cells.items()) == pytest.approx(0.7 * sum(cells.values()))
+    assert sum(n * p[c] for c, n in cells.items() if c[0] == "x") == pytest.approx(min(0.42 * sum(cells.values()), cells["x", "q"]))
+
+
+def test_raking_of_goals_that_exclude_each_other_and_of_none():
+    cells = {("x", "p"): 100.0, ("y", "q"): 100.0}
+    with pytest.warns(UserWarning, match="x 0.111, y 9"):
+        mixing.rake(cells, [{"x": 0.9, "y": 0.1}, {"p": 0.1, "q": 0.9}], 0.5)
+    assert mixing.rake(cells, [{"x": 0.0, "y": 1.0}], 0.5) == {("x", "p"): 0.0, ("y", "q"): 1.0}
+    assert mixing.rake(cells, [{"x": 0.0, "y": 0.0}], 0.5) == {("x", "p"): 0.0, ("y", "q"): 0.0}
+    assert mixing.rake({}, [{}, {}], 0.5) == {} and mixing.raised([], 1.0) == 0.0
 
 
 def test_mix_samples_to_the_targets(spark):
