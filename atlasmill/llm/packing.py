@@ -3,7 +3,8 @@
 Documents are tokenised where they lie, cut into pieces only where they are longer than a sequence, and the pieces
 (a few numbers each) are dealt by hash into groups of about ``group_rows``, each packed by one task: longest first,
 into the open sequence that fits under every constraint (tokens, documents, attention cost) and is best by the chosen
-measure. So a group leaves a handful of sequences unfilled, whatever the table's size.
+measure. The pieces of sequences that a group leaves with room are packed again, in fewer groups, as long as that is less
+than half of the round before; so what stays unfilled is a handful of sequences of the last groups.
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ import array
 import json
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasmill.llm.shared import stored
+
 GROUP_ROWS = 20_000
+#: Share of every capacity that a sequence must have left to be packed again.
+ROOM = 1 / 32
 #: Characters of a text encoded at once.
 PIECE = 1 << 20
 #: White space for Python that the tokenizer takes for ordinary characters; the mark that ends a piece; a letter whose
@@ -87,7 +93,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """(id_col, piece, start, length, ids_crc32 and, with keep_ids, ids) of each piece of a document's ids, which end_id ends.
 
     ids: little-endian unsigned 32-bit numbers. A null text is empty and has one piece, end_id alone. Null and repeated ids
-    are rows like others. An empty table gives an empty result. Other columns are not read, so names may clash.
+    are rows like others. A very long text is encoded in parts, and its ids are held at once. An empty table gives an empty
+    result. Other columns are not read, so names may clash.
     """
 
     names = ["piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
@@ -154,36 +161,68 @@ def vector_best_fit(sizes: np.ndarray, capacities: np.ndarray, measure: str = "n
     return bins, places
 
 
-def pack(parts: DataFrame, id_col: str = "doc_id", capacity: int = 2048, max_docs: int | None = None, max_attention: float | None = None, measure: str = "norm", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """parts (id_col, piece, start, length, ids_crc32) with sequence_id and offset, the place in it, gapless from 0.
+def _laid(bins: np.ndarray, places: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The offset of each piece in its bin."""
+    order = np.lexsort((places, bins))
+    ends = np.cumsum(length[order])
+    starts = ends - length[order]
+    first = np.flatnonzero(np.r_[True, np.diff(bins[order]) != 0])
+    offset = np.empty(len(order), np.int64)
+    offset[order] = starts - np.repeat(starts[first], np.diff(np.r_[first, len(order)]))
+    return offset
 
-    A sequence holds at most capacity tokens, max_docs pieces and max_attention, the sum of the pieces' squared
-    lengths; None sets no limit beyond what capacity implies. A piece that is over a capacity by itself raises.
-    Equal pieces and pieces of null ids are packed like any other; ties go by the ids' checksum and the piece's number.
-    An empty table gives an empty result. Further columns are left out.
+
+def _packed(dealt: DataFrame, capacities: np.ndarray, measure: str, turn: int) -> DataFrame:
+    """dealt (pieces with _group; after the first turn with sequence_id and offset too) packed group by group, with _open.
+
+    A group that doesn't come out in fewer sequences than it came in keeps those. Turns have sequence_ids apart.
     """
-    capacities = np.array([capacity, max_docs or capacity, max_attention or float(capacity) ** 2], float)
-    groups = max(1, round(parts.count() / group_rows))
+    kept = [c for c in dealt.columns if c not in ("_group", "sequence_id", "offset", "_open")]
 
     def one(table: pa.Table) -> pa.Table:
         length = table.column("length").to_numpy()
         table = table.take(pa.array(np.lexsort((table.column("piece").to_numpy(), table.column("ids_crc32").to_numpy(), -length))))
-        length = table.column("length").to_numpy().astype(float)
-        sizes = np.stack([length, np.ones(len(length)), length**2], axis=1)
+        length = table.column("length").to_numpy()
+        size = length.astype(float)
+        sizes = np.stack([size, np.ones(len(size)), size**2], axis=1)
         if (sizes > capacities).any():
             raise ValueError("a piece is larger than a sequence")
         bins, places = vector_best_fit(sizes, capacities, measure)
-        order = np.lexsort((places, bins))
-        ends = np.cumsum(length[order])
-        starts = ends - length[order]
-        first = np.flatnonzero(np.r_[True, np.diff(bins[order]) != 0])
-        base = np.repeat(starts[first], np.diff(np.r_[first, len(order)]))
-        offset = np.empty(len(order), np.int64)
-        offset[order] = (starts - base).astype(np.int64)
-        group = table.column("_group")[0].as_py()
-        return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(bins + (group << 32))).append_column("offset", pa.array(offset))
-
-    kept = parts.select(id_col, "piece", "start", "length", "ids_crc32")
-    dealt = kept.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return dealt.groupBy("_group").applyInArrow(one, f"{fields}, sequence_id long, offset long")
+        sequence, offset = bins + (turn << 58) + (table.column("_group")[0].as_py() << 32), _laid(bins, places, length)
+        if turn:
+            before, of = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
+            if len(before) <= bins.max() + 1:
+                bins, sequence, offset = of, before[of], table.column("offset").to_numpy()
+        held = np.stack([np.bincount(bins, weights=x) for x in sizes.T], axis=1)
+        open_ = (capacities - held >= ROOM * capacities).all(axis=1)[bins]
+        columns = {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64()), "_open": pa.array(open_)}
+        return pa.table({c: table.column(c) for c in kept} | columns)
+
+    fields = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in kept)
+    return dealt.groupBy("_group").applyInArrow(one, f"{fields}, sequence_id long, offset long, _open boolean")
+
+
+def pack(parts: DataFrame, id_col: str = "doc_id", capacity: int = 2048, max_docs: int | None = None, max_attention: float | None = None, measure: str = "norm", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """parts (id_col, piece, start, length, ids_crc32) with sequence_id and offset, the place in it, gapless from 0.
+
+    A sequence holds at most capacity tokens, max_docs pieces and max_attention, the sum of the pieces' squared
+    lengths; None sets no limit beyond what capacity implies. A piece that is over a capacity by itself raises.
+    Equal pieces and pieces of null ids are packed like any other; ties go by the ids' checksum and the piece's number.
+    A very long text is many pieces, dealt like those of other texts. An empty table gives an empty result. Further
+    columns are left out.
+    """
+    capacities = np.array([capacity, max_docs or capacity, max_attention or float(capacity) ** 2], float)
+    rest = parts.select(id_col, "piece", "start", "length", "ids_crc32")
+    names, key, done, rows = [*rest.columns, "sequence_id", "offset"], [id_col, "piece", "ids_crc32"], [], rest.count()
+    for turn in range(32):  # rows are halved each time
+        groups = max(1, round(rows / group_rows))
+        packed = _packed(rest.withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(groups))), capacities, measure, turn)
+        if groups > 1:
+            packed = stored(packed, "packed")
+            left = packed.where("_open").count()
+        if groups == 1 or not 0 < left <= rows / 2:
+            done.append(packed)
+            break
+        done.append(packed.where("not _open"))
+        rest, key, rows = packed.where("_open"), ["sequence_id"], left
+    return reduce(DataFrame.unionByName, [d.select(*[f"`{c}`" for c in names]) for d in done])

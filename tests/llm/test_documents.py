@@ -126,6 +126,29 @@ def test_pieces_and_packing_of_odd_texts(spark, tokenizer):
     assert packing.pack(parts.limit(0), capacity=64).count() == 0 and packing.pieces(docs(spark, ODD).limit(0), tokenizer_path()).count() == 0
 
 
+def plain_best_fit(lengths, capacity):
+    """Longest first, each into the open bin that it leaves the fullest, or a new one."""
+    rest = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rest) if r >= n]
+        if fits:
+            rest[min(fits, key=lambda i: rest[i])] -= n
+        else:
+            rest.append(capacity - n)
+    return len(rest)
+
+
+@pytest.mark.parametrize("low, high", [(1, 400), (200, 700), (513, 1024)])
+def test_groups_take_hardly_more_sequences_than_one(spark, low, high):
+    """Sequences that small groups leave with room are packed again across groups."""
+    rng = random.Random(low)
+    rows = [(None if i % 50 == 0 else i, 0, 0, rng.randint(low, high), i % 700) for i in range(3000)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(parts, capacity=1024, group_rows=100).collect()
+    assert sorted((r.doc_id or -1, r.length, r.ids_crc32) for r in got) == sorted((d or -1, n, c) for d, _, _, n, c in rows)
+    assert check_packing(got, 1024) <= plain_best_fit([r[3] for r in rows], 1024) * 1.01 + 1
+
+
 @pytest.mark.parametrize("measure", ["norm", "dot"])
 def test_every_constraint_holds(spark, measure):
     rng = random.Random(4)
