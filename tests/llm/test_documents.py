@@ -1,3 +1,4 @@
+import itertools
 import random
 import warnings
 import zlib
@@ -173,7 +174,9 @@ def test_few_bins_for_vectors():
 # --- sharding -----------------------------------------------------------------------------------------------------
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("run_rows", [sharding.RUN_ROWS, 20])
+def test_shards(spark, monkeypatch, run_rows):
+    monkeypatch.setattr(sharding, "RUN_ROWS", run_rows)
     rng = random.Random(1)
     rows = [(i, rng.choice("abc") * rng.randint(0, 3000)) for i in range(2000)] + ODD
     got = sharding.shard(docs(spark, rows), shards=7).collect()
@@ -198,6 +201,25 @@ def test_a_heavy_group_stays_whole(spark):
     assert sizes[-1] == 300 * 166 and sizes[-2] - sizes[0] <= 0.002 * sizes[0]
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_differencing_against_every_partition(seed):
+    """The spread is close to the least of all partitions, and never that of a cruder one: largest first to the lightest."""
+    rng = random.Random(seed)
+    weights = {i: rng.randint(1, 1000) for i in range(9)}
+
+    def spread(parts):
+        sums = [sum(w for i, w in weights.items() if parts[i] == p) for p in range(3)]
+        return max(sums) - min(sums)
+
+    best = min(spread(dict(enumerate(choice))) for choice in itertools.product(range(3), repeat=9))
+    got = sharding.karmarkar_karp(weights, 3)
+    sums, greedy = [0, 0, 0], {}
+    for i, w in sorted(weights.items(), key=lambda x: -x[1]):
+        greedy[i] = sums.index(min(sums))
+        sums[greedy[i]] += w
+    assert set(got) == set(weights) and best <= spread(got) <= max(spread(greedy), best + 60)
+
+
 def test_differencing():
     weights = {i: w for i, w in enumerate([8, 7, 6, 5, 4])}
     parts = sharding.karmarkar_karp(weights, 2)
