@@ -2,6 +2,8 @@
 
 import hashlib
 import importlib.util
+import struct
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -15,6 +17,14 @@ DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
 
 
+def beside(name):
+    """A test file of this folder as a module, for its plain versions."""
+    spec = importlib.util.spec_from_file_location(f"plain_{name}", Path(__file__).parent / f"{name}.py")
+    plain = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(plain)
+    return plain
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     top, docs, out = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{DATA}/documents.parquet"), []
@@ -39,10 +49,7 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
 
 
 def test_lines_are_those_that_brute_force_keeps(stages):
-    at = Path(__file__).parent / "test_near_duplicates.py"
-    spec = importlib.util.spec_from_file_location("plain_near", at)
-    plain = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(plain)
+    plain = beside("test_near_duplicates")
     _, before, after = stages[1]
     rows = [(r.doc_id, r.text) for r in before.collect()]
     want = plain.plain_lines(rows)
@@ -54,7 +61,7 @@ def test_lines_are_those_that_brute_force_keeps(stages):
 def test_the_mix_is_raking_and_a_draw(stages):
     """Tokens, topics, cells, probabilities and the draw, all in plain Python."""
     from atlasmill.llm import mixing
-    from atlasmill.llm.queries import MIX, MIX_KEEP, MIX_SWEEPS
+    from atlasmill.llm.queries import MIX, MIX_KEEP
 
     def topic(t):
         n, share = len(t), lambda chars: sum(t.count(c) for c in chars)
@@ -74,7 +81,7 @@ def test_the_mix_is_raking_and_a_draw(stages):
         for c, n in cells.items():
             found[c[i]] += n
         targets.append(mixing.tempered(found, power))
-    p = mixing.rake(cells, targets, MIX_KEEP, MIX_SWEEPS)
+    p = beside("test_documents").plain_rake(cells, targets, MIX_KEEP)
     want = {d for d, c in rows.items() if int(hashlib.md5(str(d).encode()).hexdigest()[:8], 16) / 2**32 < p[c]}
     assert {r.doc_id for r in after.collect()} == want and 0 < len(want) < len(rows)
 
@@ -100,17 +107,28 @@ def test_one_of_each_fingerprint_stays(stages):
             assert d in kept
 
 
-def test_packed_tokens_are_those_of_the_sample(stages):
-    from atlasmill.llm import packing
+def test_packed_pieces_are_those_of_the_tokenizer_in_few_sequences(stages):
+    from tokenizers import Tokenizer
+
     from atlasmill.llm.queries import tokenizer_path
 
+    plain, tokenizer = beside("test_documents"), Tokenizer.from_file(tokenizer_path())
     _, before, after = stages[4]
-    encoder = packing.PieceEncoder(tokenizer_path())
-    want = sum(len(encoder.encode(r.text or "")) // 4 + 1 for r in before.collect())
-    assert after.agg(F.sum("length")).first()[0] == want
-    assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+    want = []
+    for r in before.collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+        parts = [ids[at : at + 2048] for at in range(0, len(ids), 2048)]
+        want += [(r.doc_id, i, 2048 * i, len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))) for i, x in enumerate(parts)]
+    got = after.collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    assert plain.check_packing(got, 2048) <= plain.plain_best_fit([w[3] for w in want], 2048)
+
+
+def test_run_gives_what_its_stages_give(spark, stages):
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    got = sorted(map(tuple, corpus_pipeline.run(spark, str(DATA)).select(*columns).collect()))
+    assert got and got == sorted(map(tuple, stages[4][2].select(*columns).collect()))
 
 
-def test_run_and_registry(spark):
-    assert corpus_pipeline.run(spark, str(DATA)).count() > 0
+def test_registry():
     assert sorted(int(n.split("_")[0][2:]) for n in entry.queries() if n.startswith("op")) == list(range(1, 14)) and "pipeline" in entry.queries()
