@@ -61,7 +61,7 @@ def picked_sql(key: str, values: list[str]) -> str:
 @query(f"""SELECT p_partkey AS seq, 'x' || {picked_sql('p_partkey', [p.replace('|', '|x') for _, p in SPLITS])} AS parts FROM part""")
 def t11_documented_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each documented address, made the row's own by a letter in front of it once it is split."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), T.expanded(picked("p_partkey", [a for a, _ in SPLITS])).alias("subs"))
+    rows = O.spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("seq"), T.expanded(picked("p_partkey", [a for a, _ in SPLITS])).alias("subs"))
     return rows.select("seq", F.array_join(F.transform("subs", lambda s: F.concat(F.lit("x"), s)), "|").alias("parts"))
 
 
@@ -72,7 +72,7 @@ def ranked_responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         return f'{{"name":"{c[0]}","addr":"{c[1]}","std_tag":"{c[2]}"{ring}}}'
 
     raws = ['{"content":[' + ",".join(map(candidate, cs)) + "]}" for _, cs, _ in RANKED]
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.lit(0).alias("sub_pos"), picked("p_partkey", [a for a, _, _ in RANKED]).alias("sub"), F.col("p_partkey").cast("string").alias("query_md5"), picked("p_partkey", raws).alias("raw"))
+    rows = O.spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("seq"), F.lit(0).alias("sub_pos"), picked("p_partkey", [a for a, _, _ in RANKED]).alias("sub"), F.col("p_partkey").cast("string").alias("query_md5"), picked("p_partkey", raws).alias("raw"))
     return rows.drop("raw"), rows.select("query_md5", "raw")
 
 

@@ -70,28 +70,27 @@ def parts_of(x: Column) -> Column:
 
 def by_separator(x: Column) -> Column:
     """Sub-addresses of a list of units, else null: every part after the first is a unit, bare tokens take the first suffix found."""
-    parts = parts_of(x)
-    first = F.get(parts, 0)
-    prefix = stripped_prefix(first)
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    suffixes = F.filter(F.transform(parts, lambda p: F.regexp_extract(F.right(p, F.lit(6)), f"^(?:{R.UNIT_FRAGMENT})$", 1)), lambda s: s != "")
-    suffix = F.coalesce(F.get(suffixes, 0), F.lit(""))
-    tokens = F.concat(F.array(F.substr(first, F.length(prefix) + 1)), rest)
-    out = F.transform(tokens, lambda t: F.concat(prefix, t, F.when(t.rlike(f"^(?:{R.PURE_TOKEN})$"), suffix).otherwise("")))
-    fits = x.rlike(R.SEPARATORS) & (F.size(parts) >= 2) & (F.length(prefix) >= 2) & F.forall(rest, is_unit_fragment)
-    return F.when(fits, out)
 
+    def listed(parts: Column, first: Column, prefix: Column) -> Column:
+        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        suffixes = F.filter(F.transform(parts, lambda p: F.regexp_extract(F.right(p, F.lit(6)), f"^(?:{R.UNIT_FRAGMENT})$", 1)), lambda s: s != "")
+        tokens = F.concat(F.array(F.substr(first, F.length(prefix) + 1)), rest)
+        out = bind(F.coalesce(F.get(suffixes, 0), F.lit("")), lambda suffix: F.transform(tokens, lambda t: F.concat(prefix, t, F.when(t.rlike(f"^(?:{R.PURE_TOKEN})$"), suffix).otherwise(""))))
+        return F.when((F.size(parts) >= 2) & (F.length(prefix) >= 2) & F.forall(rest, is_unit_fragment), out)
 
-def _found(x: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """What stands before the first match, and the match's two groups; the groups are empty without a match."""
-    return F.regexp_extract(x, f"(?s)^(.*?)(?:{pattern})", 1), F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)
+    split = lambda parts: bind(F.get(parts, 0), lambda first: bind(stripped_prefix(first), lambda prefix: listed(parts, first, prefix)))
+    return F.when(x.rlike(R.SEPARATORS), bind(parts_of(x), split))
+
+
+def _found(x: Column, pattern: str, use) -> Column:
+    """use(what stands before the first match, and the match's two groups) where there is one with two characters before it."""
+    groups = F.struct(F.regexp_extract(x, f"(?s)^(.*?)(?:{pattern})", 1).alias("prefix"), F.regexp_extract(x, pattern, 1).alias("first"), F.regexp_extract(x, pattern, 2).alias("second"))
+    return F.when(x.rlike(pattern), bind(groups, lambda g: F.when(F.length(g["prefix"]) >= 2, use(g["prefix"], g["first"], g["second"]))))
 
 
 def by_letters(x: Column) -> Column:
     """One sub-address for each of two to four letters before a suffix; what follows the suffix goes."""
-    prefix, letters, suffix = _found(x, R.LETTER_GROUP)
-    each = F.transform(F.split(letters, ""), lambda c: F.concat(prefix, c, suffix))
-    return F.when((letters != "") & (F.length(prefix) >= 2), each)
+    return _found(x, R.LETTER_GROUP, lambda prefix, letters, suffix: F.transform(F.split(letters, ""), lambda c: F.concat(prefix, c, suffix)))
 
 
 def group_tokens(group: Column) -> Column:
@@ -103,9 +102,7 @@ def group_tokens(group: Column) -> Column:
 
 
 def by_numbers(x: Column) -> Column:
-    prefix, group, suffix = _found(x, R.NUMBER_GROUP)
-    each = F.transform(group_tokens(group), lambda t: F.concat(prefix, t, suffix))
-    return F.when((group != "") & (F.length(prefix) >= 2), each)
+    return _found(x, R.NUMBER_GROUP, lambda prefix, group, suffix: F.transform(group_tokens(group), lambda t: F.concat(prefix, t, suffix)))
 
 
 def expanded(address) -> Column:

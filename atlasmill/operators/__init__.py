@@ -19,6 +19,15 @@ def first_occurrence(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys over several tasks for each core, which adaptive execution doesn't pack together again.
+
+    For rows that are small and whose work is not: Spark sizes tasks by bytes and would put a million addresses into one.
+    """
+    spark = df.sparkSession
+    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(64, 4 * spark.sparkContext.defaultParallelism)), *keys)
+
+
 def before(df: DataFrame, value: Column, order: str, name: str) -> DataFrame:
     """df with the sum of value over all rows before each, by a whole-number order, bucket by bucket.
 

@@ -19,7 +19,7 @@ from atlasmill.functions import responses as P
 from atlasmill.functions import rules as R
 from atlasmill.functions import score as S
 from atlasmill.functions import text as T
-from atlasmill.operators import before, city_allowed, dense_ids, first_occurrence, place_type, region_name, status, streaks, within_bounds
+from atlasmill.operators import before, city_allowed, dense_ids, place_type, region_name, spread, status, streaks, within_bounds
 
 
 @dataclass(frozen=True)
@@ -40,8 +40,9 @@ class Settings:
 
 def sub_queries(inputs: DataFrame) -> DataFrame:
     """(seq, address, sub_pos, n_sub, sub, query_md5) of inputs (seq, address), each address once, at its first place."""
-    first = first_occurrence(inputs.withColumn("address", T.control_trim(F.col("address"))).where("address <> ''"), ["address"], "seq")
-    parts = first.withColumn("subs", T.expanded(F.col("address")))
+    least = F.when(F.count_if(F.col("seq").isNull()) == 0, F.min("seq")).alias("seq")  # a row without a number comes first
+    first = inputs.select("seq", T.control_trim(F.col("address")).alias("address")).where("address <> ''").groupBy("address").agg(least)
+    parts = spread(first, "seq").withColumn("subs", T.expanded(F.col("address")))
     each = parts.select("seq", "address", F.size("subs").alias("n_sub"), F.posexplode("subs").alias("sub_pos", "sub"))
     return each.withColumn("query_md5", T.query_digest(F.col("sub")))
 
@@ -86,16 +87,19 @@ def latest_responses(responses: DataFrame) -> DataFrame:
     stored_at, one that names places goes before one that names none, then the larger text. Each text is parsed once.
     """
     at = F.col("stored_at").cast("long") if "stored_at" in responses.columns else F.lit(0).cast("long")
-    head = responses.select("query_md5", at.alias("at"), "raw", P.head(F.col("raw")).alias("head"))
-    key = F.struct((~F.col("head.auth_error")).alias("ok"), "at", (F.size("head.content") > 0).alias("some"), F.col("raw").alias("raw"))
-    return head.groupBy("query_md5").agg(F.max(key).alias("best")).select("query_md5", "best.raw")
+    key = T.bind(P.head(F.col("raw")), lambda h: F.struct((~h["auth_error"]).alias("ok"), at.alias("at"), (F.size(h["content"]) > 0).alias("some"), F.col("raw").alias("raw")))
+    # the key is made before rows are sorted for their groups, so that they hold a text once and nothing parsed
+    return responses.select("query_md5", key.alias("key")).groupBy("query_md5").agg(F.max("key").alias("best")).select("query_md5", "best.raw")
 
 
 def outcomes_by_query(responses: DataFrame) -> DataFrame:
-    """(query_md5, outcome) of responses (query_md5, raw), or of a ResponseStore's lookup(), which has them already."""
+    """(query_md5, outcome) of responses (query_md5, raw), or of a ResponseStore's lookup(), which has them already.
+
+    Never broadcast, however small Spark takes it for: by the bytes of compressed files it misjudges what parsing makes of them.
+    """
     if "outcome" in responses.columns:
-        return responses.select("query_md5", "outcome")
-    return latest_responses(responses).select("query_md5", F.when(F.col("raw").isNotNull(), P.envelope(F.col("raw"))).alias("outcome"))
+        return responses.select("query_md5", "outcome").hint("merge")
+    return latest_responses(responses).select("query_md5", F.when(F.col("raw").isNotNull(), P.envelope(F.col("raw"))).alias("outcome")).hint("merge")
 
 
 def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFrame:
@@ -178,11 +182,16 @@ def resolve(inputs: DataFrame, responses: DataFrame, settings: Settings = Settin
     The results are persisted before they are numbered, since their count by bucket and their rows are both needed, and
     sinks read them again; a lost executor's part is computed anew. release() lets them go.
     """
-    results = regrouped(chosen(sub_queries(inputs), responses, settings), settings).persist(StorageLevel.MEMORY_AND_DISK)
+    return numbered(chosen(sub_queries(inputs), responses, settings), settings)
+
+
+def numbered(outcomes: DataFrame, settings: Settings) -> DataFrame:
+    """resolve() of outcomes that chosen() has found."""
+    results = regrouped(outcomes, settings).persist(StorageLevel.MEMORY_AND_DISK)
     ok = F.col("center_lon").isNotNull() & F.col("center_lat").isNotNull()
-    numbered = dense_ids(results, ok, "seq", settings.first_id)
-    numbered.held = results
-    return numbered
+    found = dense_ids(results, ok, "seq", settings.first_id)
+    found.held = results
+    return found
 
 
 def release(resolved: DataFrame) -> None:

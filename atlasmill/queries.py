@@ -64,7 +64,7 @@ def part_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(r == 0, text(base, "1、2栋 ")).when(r == 1, text(base, "AB座")).when(r == 2, text(base, "1-", F.col("p_size") % 15 + 2, "栋"))
         .when(r == 3, text(base, "C座（连体）")).when(r == 4, text(base, "大门")).otherwise(text("# ", base))
     )
-    return address_rows(table(spark, sf_dir, "part").select(k.alias("seq"), address.alias("address")))
+    return address_rows(O.spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(k.alias("seq"), address.alias("address")))
 
 
 def part_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
