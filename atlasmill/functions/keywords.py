@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +21,19 @@ from atlasmill.functions import rules as R
 #: Keywords of one automaton; one of 100,000 keywords of ten characters takes some 60 MB.
 LIMIT = 200_000
 FOUND = "array<struct<place:bigint,value:string>>"
+#: Bytes of texts, and keywords found, after which a task hands on what it has; a batch of long texts finds millions.
+TEXT_BYTES, HITS = 1 << 20, 1 << 18
 
 
 def _automaton(rows: list[tuple[str, int, str]]):
-    """An automaton of (keyword, place, value), of which the first of equal keywords counts."""
-    built = ahocorasick.Automaton()
-    for keyword, place, value in rows:
+    """An automaton of (keyword, place, value) in order of place, of which the first of equal keywords counts; and the
+    places and values by row, of which the automaton keeps the row's number only."""
+    built = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, (keyword, _, _) in enumerate(rows):
         if keyword not in built:
-            built.add_word(keyword, (place, value))
+            built.add_word(keyword, i)
     built.make_automaton()
-    return built
+    return built, pa.array([p for _, p, _ in rows], pa.int64()), pa.array([v for _, _, v in rows], pa.string())
 
 
 class Keywords:
@@ -66,18 +70,29 @@ class Keywords:
 
 
 def _lookup(shared: Broadcast, first: bool):
-    @F.pandas_udf(FOUND)
-    def lookup(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = shared.value
+    @F.arrow_udf(FOUND)
+    def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton, places, values = shared.value
+
+        def made(found: list[np.ndarray | None]) -> pa.Array:
+            """The rows found in each text, as an array without an object for each."""
+            ends = np.cumsum([0 if f is None else len(f) for f in found])
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.array([f is None for f in found] + [False]))
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *[f for f in found if f is not None]]))
+            return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([places.take(at), values.take(at)], ["place", "value"]))
+
         for texts in batches:
-            out = []
+            found, size, hits = [], 0, 0
             for text in texts:
-                if text is None:
-                    out.append(None)
-                    continue
-                found = {f for _, f in automaton.iter(text)}
-                out.append([min(found)] if found and first else sorted(found))
-            yield pd.Series([None if f is None else [{"place": p, "value": v} for p, v in f] for f in out], dtype=object)
+                text = text.as_py()
+                at = None if text is None else {i for _, i in automaton.iter(text)}
+                found.append(None if at is None else np.array([min(at)] if at and first else sorted(at), np.int64))
+                size, hits = size + len(text or ""), hits + len(at or ())
+                if size >= TEXT_BYTES or hits >= HITS:
+                    yield made(found)
+                    found, size, hits = [], 0, 0
+            if found or not len(texts):
+                yield made(found)
 
     return lookup
 

@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,14 @@ def test_points_without_a_place_and_null_keys(spark):
     df = spark.createDataFrame(rows, "k string, x double, y double")
     assert [(r.k, len(r.hull)) for r in hulls.convex_hulls(df, "k").collect()] == [(None, 3)]
     assert hulls.convex_hulls(df.limit(0), "k").count() == 0
+
+
+def test_what_a_batch_finds_is_handed_on_in_parts(spark, monkeypatch):
+    """Texts that find many keywords each: a task holds the finds of some, not of a whole batch of ten thousand."""
+    found = W.Keywords(spark, [(f"k{i:03d};", i, f"v{i}") for i in range(1000)])
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: f)
+    lookup = W._lookup(found.shared[0], False)
+    text = "".join(f"k{i:03d};" for i in range(1000))
+    parts = list(lookup(iter([pa.array([text] * 1000 + [None, "", "k005;k003;"])])))
+    assert len(parts) > 3 and max(len(p.flatten()) for p in parts) < W.HITS + 1000 and sum(map(len, parts)) == 1003
+    assert parts[-1].to_pylist()[-3:] == [None, [], [{"place": 3, "value": "v3"}, {"place": 5, "value": "v5"}]]
