@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from atlasmill.functions import text as T
-from atlasmill.plans.resolve import Settings, chosen, empty_streaks, release, resolve, sub_queries
+from atlasmill.plans.resolve import Settings, chosen, empty_streaks, numbered, release, sub_queries
 from atlasmill.sources.folders import Versions
 
 #: What keeps a key's state between batches.
@@ -38,28 +38,16 @@ def outcomes(stream: DataFrame, responses: DataFrame, settings: Settings = Setti
     return chosen(parts.withColumn("query_md5", F.md5(F.encode("sub", "UTF-8"))), responses, settings).drop("seq")
 
 
-class FirstOccurrence(StatefulProcessor):
-    """Passes on the row of least seq of the first batch that has a key; the key's state is the number of that row."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seq long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        least = min(r["seq"] for r in rows)
-        if not self.seen.exists():
-            self.seen.update((least,))
-            yield Row(seq=least, address=key[0])
-
-    def close(self) -> None:
-        pass
-
-
 def first_occurrences(stream: DataFrame) -> DataFrame:
-    """(seq, address) of a stream (seq, address), each address once; the session needs STATE_STORE set.
+    """(seq, address) of a stream (seq, address), each address once; the session needs STATE_STORE set, the query the update mode.
 
-    What was seen is kept by address, so state and work are dealt out by it, and a row goes on in the batch it came in.
+    What was seen is kept by address, so state and work are dealt out by it, and a row goes on in the batch it came in: that
+    of least seq of the first batch that has an address. All rows of a batch have its time, also when it is run again; a key
+    of two times was there before.
     """
-    return stream.groupBy("address").transformWithState(statefulProcessor=FirstOccurrence(), outputStructType="seq long, address string", outputMode="Append", timeMode="None")
+    at = stream.select("seq", "address", F.current_timestamp().alias("at"))
+    seen = at.groupBy("address").agg(F.min("seq").alias("seq"), F.min("at").alias("first"), F.max("at").alias("last"))
+    return seen.where("first = last").select("seq", "address")
 
 
 class Flow:
@@ -81,13 +69,14 @@ class Flow:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         ended, folder, responses = self._ended(batch_id), self.batches.folder(batch_id), self.responses()
-        batch = batch.persist()
-        results = resolve(batch, responses, replace(self.settings, first_id=ended["next_id"]))
+        batch.write.mode("overwrite").parquet(f"{folder}/inputs")  # read by the flow's own session, whose execution is adaptive
+        found = chosen(sub_queries(self.spark.read.parquet(f"{folder}/inputs")), responses, self.settings).persist(StorageLevel.MEMORY_AND_DISK)
+        results = numbered(found, replace(self.settings, first_id=ended["next_id"]))
         results.write.mode("overwrite").parquet(f"{folder}/results")
         release(results)
-        streaks = empty_streaks(chosen(sub_queries(batch), responses, self.settings), self.threshold, ended["streak"])
+        streaks = empty_streaks(found, self.threshold, ended["streak"])
         streaks.select("seq", "sub_pos", "sub", "n_candidates", "streak").write.mode("overwrite").parquet(f"{folder}/outcomes")
-        batch.unpersist()
+        found.unpersist()
         kept = self.spark.read.parquet(f"{folder}/results").agg(F.count_if(F.col("center_lon").isNotNull() & F.col("center_lat").isNotNull()).alias("n")).first()["n"]
         last = self.spark.read.parquet(f"{folder}/outcomes").agg(F.max(F.struct("seq", "sub_pos", "streak")).alias("last")).first()["last"]
         self.batches.commit(batch_id, json.dumps({"next_id": ended["next_id"] + kept, "streak": last["streak"] if last else ended["streak"]}))
@@ -108,4 +97,4 @@ class Flow:
 
 def start(stream: DataFrame, flow: Flow, checkpoint: str):
     """Runs a stream (seq, address) into a flow until it is stopped or, with what is there, at an end."""
-    return first_occurrences(stream).writeStream.foreachBatch(flow).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return first_occurrences(stream).writeStream.outputMode("update").foreachBatch(flow).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
