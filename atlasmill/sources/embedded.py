@@ -2,8 +2,9 @@
 
 Spark cuts the file at closing braces, wherever its splits lie. Of each piece two numbers are enough: its quotes, whose
 sum over the pieces before tells whether it begins inside a string, and then the braces that it opens outside strings,
-whose sum tells how deep it lies. Where the depth comes back to nothing an object ends. The sums are made bucket by bucket,
-so no task reads the whole file, and a row holds one object at most.
+whose sum tells how deep it lies. Where the depth comes back to nothing an object ends. The sums are made bucket by bucket
+over the numbers alone, so no task reads the whole file and texts are shuffled only to meet their object's number and its
+other pieces; a row holds one object at most.
 """
 
 from __future__ import annotations
@@ -42,22 +43,27 @@ def object_texts(spark: SparkSession, path: str, anchor: str) -> DataFrame:
         raise ValueError(f"no {anchor!r} in {path}")
     begins = F.regexp_replace(F.substr("value", F.instr("value", anchor) + len(anchor)), r"^\s*\[", "")
     rows = pieces.where(F.col("seq") >= start).select("seq", F.when(F.col("seq") == start, begins).otherwise(F.col("value")).alias("t"))
-    rows = rows.withColumn("bare", F.regexp_replace("t", r"(?s)\\.", ""))  # without escaped characters
-    rows = _kept(before(rows.withColumn("quotes", _count(F.col("bare"), '"')), F.col("quotes"), "seq", "earlier"))
+    rows = _kept(rows)
+    bare = F.regexp_replace("t", r"(?s)\\.", "")  # without escaped characters
+    opened = lambda body: _count(F.regexp_replace(body, r'(?s)"[^"]*(?:"|$)', ""), "{")
+    inside = F.when(F.col("quotes") > 0, F.regexp_replace("bare", r'(?s)^[^"]*"', "")).otherwise("")
+    # what a piece opens is found for both cases, so that sums and their shuffles take numbers and no texts
+    marks = rows.withColumn("bare", bare).withColumn("quotes", _count(F.col("bare"), '"'))
+    marks = marks.select("seq", "quotes", opened(F.col("bare")).alias("outer"), opened(inside).alias("inner"), F.ltrim(F.regexp_replace("t", r"^\s+", "")).startswith("]").alias("closes"))
+    marks = before(marks, F.col("quotes"), "seq", "earlier")
     within, at_end = F.col("earlier") % 2 == 1, (F.col("earlier") + F.col("quotes")) % 2 == 1
-    body = F.when(~within, F.col("bare")).when(F.col("quotes") > 0, F.regexp_replace("bare", r'(?s)^[^"]*"', "")).otherwise("")
-    plain = F.regexp_replace(body, r'(?s)"[^"]*(?:"|$)', "")
-    change = _count(plain, "{") - F.when(at_end, 0).otherwise(1)
-    rows = rows.select("seq", "t", within.alias("within"), at_end.alias("at_end"), change.alias("change"))
-    rows = _kept(before(rows, F.col("change"), "seq", "depth"))
-    closing = ~F.col("within") & (F.col("depth") == 0) & F.ltrim(F.regexp_replace("t", r"^\s+", "")).startswith("]")
-    end = rows.where(closing).agg(F.min("seq").alias("n")).first()["n"]
+    change = F.when(within, F.col("inner")).otherwise(F.col("outer")) - F.when(at_end, 0).otherwise(1)
+    marks = marks.select("seq", "closes", within.alias("within"), at_end.alias("at_end"), change.alias("change"))
+    marks = _kept(before(_kept(marks), F.col("change"), "seq", "depth"))
+    closing = ~F.col("within") & (F.col("depth") == 0) & F.col("closes")
+    end = marks.where(closing).agg(F.min("seq").alias("n")).first()["n"]
     if end is None:
         raise ValueError(f"the array behind {anchor!r} in {path} does not end")
     ends = ~F.col("at_end") & (F.col("depth") + F.col("change") == 0)
-    numbered = before(rows.where(F.col("seq") < end), F.when(ends, 1).otherwise(0), "seq", "pos")
+    places = before(marks.where(F.col("seq") < end), F.when(ends, 1).otherwise(0), "seq", "pos").select("seq", "pos")
+    numbered = rows.join(places, "seq")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "t"))), lambda p: p["t"])
-    joined = numbered.groupBy("pos").agg(F.concat(F.array_join(parts, "}"), F.lit("}")).alias("value"))
+    joined = numbered.select("pos", "seq", "t").groupBy("pos").agg(F.concat(F.array_join(parts, "}"), F.lit("}")).alias("value"))
     return joined.select("pos", F.regexp_replace("value", r"^[^{]*", "").alias("value"))
 
 

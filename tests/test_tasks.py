@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from atlasmill.plans.resolve import Settings, chosen, numbered, sub_queries
+from atlasmill.sources import embedded
 
 
 def plan_of(df):
@@ -27,3 +28,12 @@ def test_responses_are_not_broadcast(spark):
     outcomes = chosen(sub_queries(inputs), responses, Settings())
     assert "SortMergeJoin" in plan_of(outcomes) and "BroadcastHashJoin" not in plan_of(outcomes)
     assert numbered(outcomes, Settings()).count() == 2
+
+
+def test_sums_over_embedded_pieces_keep_no_second_copy_of_the_text(spark, tmp_path, monkeypatch):
+    kept, keep = [], embedded._kept
+    monkeypatch.setattr(embedded, "_kept", lambda df: kept.append(df.columns) or keep(df))
+    (tmp_path / "page").write_text('var A = [ {"a":"x}\\"{"} , {"b":{"c":"]"}} ]; f({})', encoding="utf-8")
+    got = [r.value for r in embedded.object_texts(spark, f"file://{tmp_path}/page", "A =").orderBy("pos").collect()]
+    assert got == ['{"a":"x}\\"{"}', '{"b":{"c":"]"}}']
+    assert [c for columns in kept for c in columns if c in ("t", "bare", "value")] == ["t"]
