@@ -43,7 +43,8 @@ def sub_queries(inputs: DataFrame) -> DataFrame:
     least = F.when(F.count_if(F.col("seq").isNull()) == 0, F.min("seq")).alias("seq")  # a row without a number comes first
     first = inputs.select("seq", T.control_trim(F.col("address")).alias("address")).where("address <> ''").groupBy("address").agg(least)
     parts = spread(first, "seq").withColumn("subs", T.expanded(F.col("address")))
-    each = parts.select("seq", "address", F.size("subs").alias("n_sub"), F.posexplode("subs").alias("sub_pos", "sub"))
+    # outer, though no address is without a part: else Spark filters by the whole expansion, below the deal and once more
+    each = parts.select("seq", "address", F.size("subs").alias("n_sub"), F.posexplode_outer("subs").alias("sub_pos", "sub"))
     return each.withColumn("query_md5", T.query_digest(F.col("sub")))
 
 
@@ -102,9 +103,19 @@ def outcomes_by_query(responses: DataFrame) -> DataFrame:
     return latest_responses(responses).select("query_md5", F.when(F.col("raw").isNotNull(), P.envelope(F.col("raw"))).alias("outcome")).hint("merge")
 
 
+def looked_up(subs: DataFrame, responses: DataFrame, how: str) -> DataFrame:
+    """subs with the outcome of their query, in as many tasks as the session shuffles to.
+
+    Parsing and scoring happen in the tasks of this join, and their work is not in proportion to its bytes: dealt out by
+    number, its two sides are not packed together by adaptive execution.
+    """
+    dealt = subs.repartition(int(subs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_md5")
+    return dealt.join(outcomes_by_query(responses), "query_md5", how)
+
+
 def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFrame:
     """subs with answered, n_candidates, best (a candidate or null), total, detail and note of their response."""
-    found = with_terms(subs.join(outcomes_by_query(responses), "query_md5", "left"), "sub")
+    found = with_terms(looked_up(subs, responses, "left"), "sub")
     found = found.withColumn("ranked", ranked(F.col("outcome.candidates"), terms_of(found), settings))
     found = found.withColumn("skipped", F.get(F.filter(F.transform("ranked", lambda r, i: F.when(r["admissible"], i)), lambda i: i.isNotNull()), 0))
     found = found.withColumn("pick", F.get("ranked", F.col("skipped")))
@@ -119,7 +130,7 @@ def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFra
 
 def candidate_lines(subs: DataFrame, responses: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(seq, sub_pos, rank, idx, name, total, detail): every scored candidate, best first, for review."""
-    found = with_terms(subs.join(outcomes_by_query(responses), "query_md5"), "sub")
+    found = with_terms(looked_up(subs, responses, "inner"), "sub")
     each = found.select("seq", "sub_pos", F.posexplode(ranked(F.col("outcome.candidates"), terms_of(found), settings)).alias("rank", "r"))
     return each.select("seq", "sub_pos", "rank", "r.candidate.idx", "r.candidate.name", "r.score.total", "r.score.detail")
 

@@ -37,3 +37,12 @@ def test_sums_over_embedded_pieces_keep_no_second_copy_of_the_text(spark, tmp_pa
     got = [r.value for r in embedded.object_texts(spark, f"file://{tmp_path}/page", "A =").orderBy("pos").collect()]
     assert got == ['{"a":"x}\\"{"}', '{"b":{"c":"]"}}']
     assert [c for columns in kept for c in columns if c in ("t", "bare", "value")] == ["t"]
+
+
+def test_scoring_keeps_its_tasks(spark):
+    """A few bytes of looked-up responses are parsed and scored in as many tasks as the session shuffles to."""
+    inputs = spark.range(200, numPartitions=1).select(F.col("id").alias("seq"), F.format_string("第%d号花园", "id").alias("address"))
+    subs = sub_queries(inputs)
+    outcomes = chosen(subs, subs.select("query_md5", F.lit('{"content":[{"name":"甲"}]}').alias("raw")), Settings())
+    tasks = outcomes.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
