@@ -131,8 +131,9 @@ def chosen(subs: DataFrame, responses: DataFrame, settings: Settings) -> DataFra
 def candidate_lines(subs: DataFrame, responses: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(seq, sub_pos, rank, idx, name, total, detail): every scored candidate, best first, for review."""
     found = with_terms(looked_up(subs, responses, "inner"), "sub")
-    each = found.select("seq", "sub_pos", F.posexplode(ranked(F.col("outcome.candidates"), terms_of(found), settings)).alias("rank", "r"))
-    return each.select("seq", "sub_pos", "rank", "r.candidate.idx", "r.candidate.name", "r.score.total", "r.score.detail")
+    # outer, or Spark would rank once more to filter by what is ranked
+    each = found.select("seq", "sub_pos", F.posexplode_outer(ranked(F.col("outcome.candidates"), terms_of(found), settings)).alias("rank", "r"))
+    return each.where("rank is not null").select("seq", "sub_pos", "rank", "r.candidate.idx", "r.candidate.name", "r.score.total", "r.score.detail")
 
 
 def empty_streaks(outcomes: DataFrame, threshold: int, carried: int = 0) -> DataFrame:

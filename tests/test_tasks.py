@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from atlasmill.plans.resolve import Settings, chosen, numbered, sub_queries
+from atlasmill.plans.resolve import Settings, candidate_lines, chosen, numbered, sub_queries
 from atlasmill.sources import embedded
 
 
@@ -46,3 +46,14 @@ def test_scoring_keeps_its_tasks(spark):
     outcomes = chosen(subs, subs.select("query_md5", F.lit('{"content":[{"name":"甲"}]}').alias("raw")), Settings())
     tasks = outcomes.select(F.spark_partition_id().alias("t")).distinct().count()
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_no_filter_holds_what_is_exploded(spark):
+    """Spark infers a filter from explode(), whose input it then computes again, below the deal too; not from explode_outer()."""
+    inputs = spark.createDataFrame([(1, "甲1、2栋"), (2, "乙")], "seq long, address string")
+    subs = sub_queries(inputs)
+    lines = candidate_lines(subs, subs.select("query_md5", F.when(F.col("sub_pos") == 0, '{"content":[{"name":"甲"},5]}').otherwise('{"content":[]}').alias("raw")))
+    for df in (subs, lines):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Filter " in line and "transform(" in line]
+    assert [(r.seq, r.sub_pos, r["rank"], r.idx) for r in lines.orderBy("seq").collect()] == [(1, 0, 0, 0), (2, 0, 0, 0)]
