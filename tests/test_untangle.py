@@ -81,3 +81,22 @@ def test_merge_and_store_on_the_command_line(spark, tmp_path, capsys):
         assert [(r[0], r[4], r[5]) for r in rows] == [("c2", "甲", "B"), ("c3", "乙", "C"), ("c9", "华润大厦", "商业")]
         assert texts(tmp_path / "failed") == ["丙\tm"]
         assert [line.split("\t")[0] for line in texts(tmp_path / "review")] == ["丁", "华润大厦"]
+
+
+def test_plainly_convex_rings_skip_python(spark):
+    """Convex rings need no loops; a star that turns left twice around, a clockwise and a concave ring, and near-flat corners are looked at."""
+    star = [(math.cos(4 * math.pi * i / 5), math.sin(4 * math.pi * i / 5)) for i in range(5)]
+    shapes = [
+        ([(0, 0), (4, 0), (4, 4), (0, 4)], True), ([(0, 0), (4, 0), (2, 3)], True), ([(math.cos(i), math.sin(i)) for i in range(6)], True), (star, False), ([(0, 0), (0, 4), (4, 4), (4, 0)], False),
+        ([(0, 0), (4, 0), (1, 1), (0, 4)], False), ([(0, 0), (2, -1e-4), (4, 0), (2, 3)], False), ([(0, 0), (4, 0)], False), ([], False), (None, False), ([(0, 0), (float("nan"), 0), (2, 3)], False),
+    ]
+    rows = spark.createDataFrame([(i, None if r is None else [{"x": float(x), "y": float(y)} for x, y in r]) for i, (r, _) in enumerate(shapes)], f"i int, r {G.RING}")
+    got = {r.i: r.c for r in rows.select("i", U.is_convex(F.col("r")).alias("c")).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(shapes)}
+    assert all(U.is_simple(np.array(r, float)) and U.signed_area(np.array(r, float)) > 0 for r, c in shapes if c)
+
+
+def test_few_rings_are_dealt_out(spark):
+    """Rings that adaptive execution would put into one task by their bytes are repaired in several."""
+    df = spark.range(64, numPartitions=1).select(F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((113.9, 22.5), (113.91, 22.5), (113.91, 22.51))]).alias("r"))
+    assert U.with_buffers(df, F.col("r"), 5.0, "o").select(F.spark_partition_id().alias("t")).distinct().count() > 1
