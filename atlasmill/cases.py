@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def a13_aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(spark: SparkSession, *batches: DataFrame) -> ResponseStore:
     """A new store with the batches appended one after the other."""
-    store = ResponseStore(spark, scratch(spark, "responses"), buckets=8)
+    store = ResponseStore(spark, scratch(spark, "responses"))
     for batch in batches:
         store.append(batch)
     return store
@@ -204,11 +205,12 @@ def d01_stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["resolve_addresses"])
 def j01_answers_before_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors stored before answers, after them, and alone where no answer would pass the guards; then compacted."""
-    answers = part_responses(spark, sf_dir).withColumn("stored_at", F.lit(5).cast("long"))
+    answers = part_responses(spark, sf_dir).withColumn("stored_at", F.lit(5).cast("long")).persist(StorageLevel.MEMORY_AND_DISK)  # derived once, stored three times
     alone = sub_queries(part_addresses(spark, sf_dir)).where("seq % 6 = 3").select("query_md5")
     located = answers.join(alone, "query_md5", "left_anti")
     error = lambda at, raw: answers.select("query_md5", F.lit(raw).alias("raw"), F.lit(at).cast("long").alias("stored_at"))
     store = stored(spark, error(1, "{broken"), located, error(9, '{"result":{"error":9},"content":[{"name":"z"}]}'))
+    answers.unpersist()
     store.compact()
     store.prune()
     found = resolve(part_addresses(spark, sf_dir), store.lookup())

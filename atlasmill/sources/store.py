@@ -66,7 +66,8 @@ class ResponseStore:
         none = F.lit(None)
         own = F.array(F.struct(F.lit(-1).alias("idx"), none.cast("variant").alias("doc"), F.col("raw")))
         places = F.filter(F.transform("head.content", lambda v, i: F.struct(i.alias("idx"), v.alias("doc"), none.cast("string").alias("raw"))), lambda s: P.is_object(s["doc"]))
-        each = head.select("query_md5", "rid", "ok", "stored_at", F.col("head.error_code").alias("error_code"), F.explode(F.concat(own, F.when(F.col("ok"), places).otherwise(F.slice(places, 1, 0)))).alias("row"))
+        # outer, though there is always a row: else Spark parses all texts once more to filter by their places
+        each = head.select("query_md5", "rid", "ok", "stored_at", F.col("head.error_code").alias("error_code"), F.explode_outer(F.concat(own, F.when(F.col("ok"), places).otherwise(F.slice(places, 1, 0)))).alias("row"))
         flat = each.select("query_md5", "rid", "ok", "error_code", "stored_at", "row.*").repartition(self.buckets, "query_md5")  # a file a bucket
         self._write(flat, self.versions.current())
 
