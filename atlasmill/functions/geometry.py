@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from atlasmill.functions import rules as R
-from atlasmill.functions.text import bind
+from atlasmill.functions.text import bind, control_trim
 
 POINT = "struct<x:double,y:double>"
 RING = f"array<{POINT}>"
@@ -43,7 +43,7 @@ def parsed_polygons(text: Column) -> Column:
     bodies = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"POLYGON\s*\(\(([^)]*)\)\)"), F.lit(1))
 
     def ring(body: Column) -> Column:
-        pairs = F.transform(F.split(body, ","), lambda p: F.split(F.regexp_replace(p, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"\s+"))
+        pairs = F.transform(F.split(body, ","), lambda p: F.split(control_trim(p), r"\s+"))
         points = F.transform(pairs, lambda p: point(F.get(p, 0).try_cast("double"), F.get(p, 1).try_cast("double")))
         return F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
@@ -92,7 +92,7 @@ def mean_point(points: Column) -> Column:
 
 def chosen_footprint(rings: Column, x: Column, y: Column) -> Column:
     """The first ring that holds the point, else the first of the largest, else null."""
-    holding = F.get(F.filter(rings, lambda r: in_bbox(x, y, bbox(r)) & contains(r, x, y)), 0)
+    holding = F.get(F.filter(rings, lambda r: bind(bbox(r), lambda b: in_bbox(x, y, b)) & contains(r, x, y)), 0)
     sized = F.transform(rings, lambda r, i: F.struct(area(r).alias("a"), (-i).alias("i"), r.alias("r")))
     return F.coalesce(holding, F.array_max(sized)["r"])
 

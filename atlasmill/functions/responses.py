@@ -18,33 +18,35 @@ def field(doc: Column, path: str, kind: str) -> Column:
 
 def text_field(doc: Column, path: str) -> Column:
     """A scalar as text; a container counts as an empty text, a missing or null field as null."""
-    value = F.try_variant_get(doc, path, "variant")
-    return F.when(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.lit("")).otherwise(field(doc, path, "string"))
+    return bind(field(doc, path, "variant"), lambda v: F.when(F.left(F.schema_of_variant(v), F.lit(5)).isin("OBJEC", "ARRAY"), F.lit("")).otherwise(field(v, "$", "string")))
 
 
 def center(doc: Column) -> Column:
     """Nested point; else hundredths, if both are whole numbers and x isn't 0; else the first pair in the text field."""
-    x, y = (field(doc, f"$.ext.detail_info.navi_xy.diPoint.{k}", "double") for k in "xy")
-    hundredths = [field(doc, f"$.diPoint{k}", "variant") for k in "XY"]
-    whole = [F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), v.cast("double")) for v in hundredths]
-    geo = F.try_variant_get(doc, "$.geo", "variant")
-    pair = F.when(F.schema_of_variant(geo) == "STRING", geo.cast("string"))
-    first, second = (F.regexp_extract(pair, GEO_PAIR, i).try_cast("double") for i in (1, 2))
+    number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), v.cast("double"))
+    nested = G.point(*(field(doc, f"$.ext.detail_info.navi_xy.diPoint.{k}", "double") for k in "xy"))
+    whole = G.point(*(bind(field(doc, f"$.diPoint{k}", "variant"), number) for k in "XY"))
+    pair = bind(field(doc, "$.geo", "variant"), lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string")))
+    found = lambda s: G.point(*(F.regexp_extract(s, GEO_PAIR, i).try_cast("double") for i in (1, 2)))
+    known = lambda p: p["x"].isNotNull() & p["y"].isNotNull()
     return F.coalesce(
-        F.when(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y), G.point(x, y)),
-        F.when(whole[0].isNotNull() & whole[1].isNotNull() & (F.abs(whole[0]) >= 1), G.point(whole[0] / 100, whole[1] / 100)),
-        F.when(first.isNotNull() & second.isNotNull(), G.point(first, second)),
+        bind(nested, lambda p: F.when(known(p) & ~F.isnan(p["x"]) & ~F.isnan(p["y"]), p)),
+        bind(whole, lambda p: F.when(known(p) & (F.abs(p["x"]) >= 1), G.point(p["x"] / 100, p["y"] / 100))),
+        bind(bind(pair, found), lambda p: F.when(known(p), p)),
     )
 
 
 def is_object(doc: Column) -> Column:
-    return F.schema_of_variant(doc).startswith("OBJECT")
+    return field(doc, "$", "struct<>").isNotNull()  # a schema would be made of all that is in it
 
 
 def fields(doc: Column, idx: Column) -> Column:
     """A candidate of one object of the response; reads no more of it than the paths named."""
-    inner = text_field(doc, "$.tag_info")
-    info = F.when(inner.startswith("{"), F.try_parse_json(inner))
+    info = bind(text_field(doc, "$.tag_info"), lambda inner: F.when(inner.startswith("{"), F.try_parse_json(inner)))
+    return bind(info, lambda parsed: _fields(doc, parsed, idx))
+
+
+def _fields(doc: Column, info: Column, idx: Column) -> Column:
     show = F.coalesce(text_field(info, "$.classification.show_tag"), text_field(doc, "$.show_tag[0]"))
     return F.struct(
         idx.cast("int").alias("idx"), text_field(doc, "$.name").alias("name"),
@@ -65,7 +67,7 @@ def _head(raw: Column, doc: Column) -> tuple[Column, Column, Column]:
     code = F.coalesce(field(doc, "$.result.error", "int"), F.lit(0))
     challenged = F.coalesce(field(doc, "$.result.anti_session.need_recaptcha", "boolean"), F.lit(False))
     blank = raw.isNotNull() & (F.length(raw) > 0) & raw.rlike(r"^\s*$")
-    return ~blank & (doc.isNull() | (code != 0) | challenged), code, F.coalesce(field(doc, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+    return (doc.isNull() & ~blank) | (code != 0) | challenged, code, F.coalesce(field(doc, "$.content", "array<variant>"), F.array().cast("array<variant>"))
 
 
 def head(raw: Column) -> Column:

@@ -34,7 +34,10 @@ def _shared(hay: Column, runs: Column, most: float) -> Column:
 
 def name_score(name: Column, address: Column | Terms) -> Column:
     """Up to 40: equal; contained; containing; in order within; else by the share of keywords, halved where no unit of the address is named."""
-    t, n = _terms(address), F.replace(name, F.lit(" "), F.lit(""))
+    return T.bind(F.replace(name, F.lit(" "), F.lit("")), lambda n: _name_score(name, n, _terms(address)))
+
+
+def _name_score(name: Column, n: Column, t: Terms) -> Column:
     a, units = t["bare"], t["units"]
     halved = F.when((F.size(units) > 0) & ~T.has_any(n, units), 0.5).otherwise(1.0)
     plain = ~T.is_generic(n)

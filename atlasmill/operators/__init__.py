@@ -20,7 +20,7 @@ def first_occurrence(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt out by keys over several tasks for each core, which adaptive execution doesn't pack together again.
+    """df dealt out by keys, or evenly without any, over several tasks for each core, which adaptive execution doesn't pack together again.
 
     For rows that are small and whose work is not: Spark sizes tasks by bytes and would put a million addresses into one.
     """
