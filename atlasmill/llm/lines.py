@@ -9,20 +9,24 @@ three of single shingles and a band needs only one. Generated code computes the
 different exclusive-ors from exploded rows. Lines of at most SHORT bytes have few such runs: they get SHORT_BANDS bands of
 SHORT_ROWS minima over runs of SHORT_WINDOW bytes as well. Lines that share a band meet in a bucket.
 
-Comparison. Each line that met another gets a bitmap of its shingles' hashes, of 3 or more bits for each shingle. Bits in
-which two bitmaps differ come of shingles that only one of the lines has, so a pair with more of them than near lines can
-have is out without a look at the lines, and no near pair is lost. The same holds for bitmaps folded to FOLD words, which
-are looked at first, and for a line with more bits than the other's shingles allow. A pair is compared in one bucket only,
-that of the least key that both lines have. What is left is verified by exact Jaccard similarity: first a bucket's most
-central line (the one that meets most others, over all bands) with all others; then, in rounds of 8, 128, 2,048 and so on
-lines of a bucket against the rest, all pairs across components, until no bucket has lines of two components left to
-compare. Union-find over the verified pairs gives the components of all near pairs that share a bucket.
+Comparison. Texts are never shuffled but once by document, to fetch one copy of each line that met another; all else goes by
+hashes. The numbers of distinct shingles are counted once a line, so that pairs whose numbers can't be near go without a
+look at the lines. What is left is verified by exact Jaccard similarity: first a bucket's most central line (the one that
+meets most others, over all bands) with all others, as pairs of hashes; then, in rounds of 8, 128, 2,048 and so on lines of
+a bucket against the rest, all pairs across components, until no bucket has lines of two components left to compare.
+Union-find over the verified pairs gives the components of all near pairs that share a bucket.
+
+Lines of those rounds get a bitmap of their shingles' hashes, of 3 or more bits for each shingle. Bits in which two bitmaps
+differ come of shingles that only one of the lines has, so a pair with more of them than near lines can have is out, and no
+near pair is lost. The same holds for bitmaps folded to FOLD words, which are looked at first. There, a pair is compared in
+one bucket only, that of the least key that both lines have.
 
 Lines are told apart by 64 bits of hash; two lines that clash there (a second hash shows it) both stay as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,8 +39,8 @@ from atlasmill.llm.shared import discard, drop_shuffles, parallelism, stored
 PIECE, STEP = 4096, 8
 #: Bytes of a run for signatures; the same, the number of bands and the minima in each for lines of at most SHORT bytes.
 WINDOW, SHORT, SHORT_WINDOW, SHORT_BANDS, SHORT_ROWS = 20, 48, 8, 6, 2
-#: Words of 64 bits in a folded bitmap; shingles for each word of a whole one, at most; bitmaps of a fixed number of words.
-FOLD, LOAD, WORDS = 8, 20, (8, 32)
+#: Words of 64 bits in a folded bitmap; shingles for each word of a whole one, at most.
+FOLD, LOAD = 8, 20
 #: Rounds of comparisons in buckets; the k-th compares about 8 * 16^(k-1) lines of each with all others, so these reach any size.
 MAX_ROUNDS = 12
 
@@ -48,25 +52,36 @@ def _constant(k: int) -> int:
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(at: id, hash of the text and number of the line; line) of every line that isn't blank."""
+    """(at: id, hash of the text and number of the line; line; h1) of every line that isn't blank."""
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.split(text_col, "\n", -1).alias("parts"))
     split = whole.select("id", "th", F.posexplode("parts").alias("no", "line"))  # the hash once a text, which no line's row carries
-    return split.withColumn("line", F.trim("line")).where("line <> ''").select(F.struct("id", "th", "no").alias("at"), "line")
+    return split.withColumn("line", F.trim("line")).where("line <> ''").select(F.struct("id", "th", "no").alias("at"), "line", F.xxhash64("line").alias("h1"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(h1, line), each once, of wanted (h1, first, where it stands). Documents are shuffled whole, once, and split where they arrive."""
+    of = wanted.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.no", "h1")).alias("wanted"))
+    whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    met = whole.join(of.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")))
+    each = met.select(F.split("_text", "\n", -1).alias("parts"), "wanted").select("parts", F.explode("wanted").alias("w"))
+    found = each.select(F.col("w.h1").alias("h1"), F.trim(F.get("parts", F.col("w.no"))).alias("line"))
+    return found.where(F.xxhash64("line") == F.col("h1")).dropDuplicates(["h1"])  # rows may repeat id and text
 
 
 def _hashed(data: DataFrame, unit: int, width: int) -> DataFrame:
-    """(h1, x0 .. x(STEP-1)) of data (h1, b, last): hashes of the runs of width units of b that start at units 0 to last.
+    """x0 .. x(STEP-1) beside the other columns of data (..., b, last): hashes of the runs of width units of b that start at units 0 to last.
 
     A row has STEP runs (beyond the end the last again), so that an aggregate is updated once for them all.
     """
-    pieces = data.select("h1", "b", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PIECE))).alias("c"))
-    starts = pieces.select("h1", "b", "last", F.explode(F.sequence("c", F.least(F.col("c") + (PIECE - STEP), "last"), F.lit(STEP))).alias("i"))
-    return starts.select("h1", *[F.xxhash64(F.substring("b", unit * F.least(F.col("i") + j, "last") + 1, F.lit(unit * width))).alias(f"x{j}") for j in range(STEP)])
+    kept = [c for c in data.columns if c not in ("b", "last")]
+    pieces = data.select("*", F.explode(F.sequence(F.lit(0), "last", F.lit(PIECE))).alias("c"))
+    starts = pieces.select(*data.columns, F.explode(F.sequence("c", F.least(F.col("c") + (PIECE - STEP), "last"), F.lit(STEP))).alias("i"))
+    return starts.select(*kept, *[F.xxhash64(F.substring("b", unit * F.least(F.col("i") + j, "last") + 1, F.lit(unit * width))).alias(f"x{j}") for j in range(STEP)])
 
 
 def _signed(lines: DataFrame, width: int, n: int) -> DataFrame:
-    """(h1, s0 .. s(n-1)): minima of lines (h1, line) over runs of width bytes."""
-    runs = _hashed(lines.select("h1", F.encode("line", "UTF-8").alias("b"), F.greatest(F.octet_length("line") - width, F.lit(0)).alias("last")), 1, width)
+    """(h1, s0 .. s(n-1)): minima of lines (h1, line), repeats included, over runs of width bytes."""
+    runs = _hashed(lines.select("h1", F.col("line").cast("binary").alias("b"), F.greatest(F.octet_length("line") - width, F.lit(0)).alias("last")), 1, width)
     least = lambda k: F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(_constant(k))) for j in range(STEP)])
     return runs.groupBy("h1").agg(*[F.min(least(k)).alias(f"s{k}") for k in range(n)])
 
@@ -83,58 +98,34 @@ def _positions(line: Column, shingle: int) -> Column:
 
 
 def _bitmaps(lines: DataFrame, shingle: int) -> DataFrame:
-    """(h1, n, c, w0 .. w(FOLD-1), bits) of lines (h1, line).
+    """(h1, w0 .. w(FOLD-1), bits) of lines (h1, line).
 
-    bits is a bitmap of the hashes of the shingles as an array of words, their number a power of two; c the number of its
-    bits that are set, w0 and so on the same bitmap folded, n at least the number of distinct shingles. Up to the last of
-    WORDS words have a column each; bits is empty where the folded bitmap is the whole one.
+    bits is a bitmap of the hashes of the shingles as an array of words, FOLD at least and half as many as LOAD asks for or
+    more, always a power of two; w0 and so on the same bitmap folded. Words are rows until they are complete.
     """
     n = _positions(F.col("line"), shingle) + 1
-    sized = lines.select("h1", n.alias("n"), F.encode("line", "UTF-32").alias("b"))
-    of_words, least = [], 0
-    for words in WORDS:
-        of_words.append(_few_words(sized.where((F.col("n") > least) & (F.col("n") <= LOAD * words)), shingle, words))
-        least = LOAD * words
-    return reduce(DataFrame.unionByName, of_words, _many_words(sized.where(F.col("n") > least), shingle))
-
-
-def _few_words(sized: DataFrame, shingle: int, words: int) -> DataFrame:
-    """Bitmaps of a fixed number of words, a multiple of FOLD: an aggregate column for each."""
-    runs = _hashed(sized.select(F.struct("h1", "n").alias("h1"), "b", (F.col("n") - 1).alias("last")), 4, shingle)
-    at = [F.expr(f"cast(shiftright(x{j}, 6) & {words - 1} as int)").alias(f"at{j}") for j in range(STEP)]
-    bit = [F.expr(f"shiftleft(1L, cast(x{j} & 63 as int))").alias(f"bit{j}") for j in range(STEP)]
-    placed = runs.select("h1.h1", "h1.n", *at, *bit)
-    none = F.lit(0).cast("long")
-    word = lambda k: reduce(Column.bitwiseOR, [F.when(F.col(f"at{j}") == k, F.col(f"bit{j}")).otherwise(none) for j in range(STEP)])
-    maps = placed.groupBy("h1", "n").agg(*[F.bit_or(word(k)).alias(f"v{k}") for k in range(words)])
-    every = [F.col(f"v{k}") for k in range(words)]
-    folded = [reduce(Column.bitwiseOR, every[k::FOLD]).alias(f"w{k}") for k in range(FOLD)]
-    bits = F.array(*every) if words > FOLD else F.array().cast("array<bigint>")
-    return maps.select("h1", "n", sum(F.bit_count(v) for v in every).cast("long").alias("c"), *folded, bits.alias("bits"))
-
-
-def _many_words(sized: DataFrame, shingle: int) -> DataFrame:
-    """Bitmaps whose words, half as many as LOAD asks for or more, are rows until they are complete."""
-    placed = sized.repartition(parallelism(sized.sparkSession), "h1")  # both groupings below keep to it
-    words = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / LOAD))).cast("int")
-    pieces = placed.select("*", words.alias("words"), F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))).alias("p"))
-    starts = pieces.select("*", F.explode(F.sequence("p", F.least(F.col("p") + (PIECE - STEP), F.col("n") - 1), F.lit(STEP))).alias("i"))
-    hashes = [F.xxhash64(F.substring("b", 4 * F.least(F.col("i") + j, F.col("n") - 1) + 1, F.lit(4 * shingle))) for j in range(STEP)]
-    runs = starts.select("h1", "n", "words", *[x.alias(f"x{j}") for j, x in enumerate(hashes)])
-    each = runs.select("h1", "n", "words", F.explode(F.array(*[f"x{j}" for j in range(STEP)])).alias("x"))
-    placed = each.select("h1", "n", "words", F.expr("cast(shiftright(x, 6) & (words - 1) as int)").alias("word"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bits"))
-    set_ = placed.groupBy("h1", "n", "words", "word").agg(F.bit_or("bits").alias("bits"))
+    placed = lines.repartition(parallelism(lines.sparkSession), "h1")  # both groupings below keep to it
+    words = F.greatest(F.lit(FOLD), F.pow(F.lit(2), F.ceil(F.log2(n / LOAD)))).cast("int")
+    sized = placed.select("h1", words.alias("words"), F.encode("line", "UTF-32").alias("b"), (n - 1).alias("last"))
+    each = _hashed(sized, 4, shingle).select("h1", "words", F.explode(F.array(*[f"x{j}" for j in range(STEP)])).alias("x"))
+    bits = each.select("h1", "words", F.expr("cast(shiftright(x, 6) & (words - 1) as int)").alias("word"), F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bits"))
+    set_ = bits.groupBy("h1", "words", "word").agg(F.bit_or("bits").alias("bits"))
     folded = [F.coalesce(F.bit_or(F.when(F.col("word") % FOLD == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(FOLD)]
-    maps = set_.groupBy("h1", "n", "words").agg(F.sum(F.bit_count("bits")).alias("c"), *folded, F.collect_list(F.struct("word", "bits")).alias("set"))
+    maps = set_.groupBy("h1", "words").agg(*folded, F.collect_list(F.struct("word", "bits")).alias("set"))
     blank = F.transform(F.array_except(F.sequence(F.lit(0), F.col("words") - 1), F.col("set.word")), lambda k: F.struct(k.alias("word"), F.lit(0).cast("long").alias("bits")))
     whole = F.array_sort(F.when(F.size("set") < F.col("words"), F.concat("set", blank)).otherwise(F.col("set")))
-    return maps.select("h1", "n", "c", *[f"w{k}" for k in range(FOLD)], whole["bits"].alias("bits"))
+    return maps.select("h1", *[f"w{k}" for k in range(FOLD)], whole["bits"].alias("bits"))
+
+
+def _alike(a: Column, b: Column, jaccard: float) -> Column:
+    """Whether lines of a and b distinct shingles can be near."""
+    return (a + 1e-6 >= b * jaccard) & (b + 1e-6 >= a * jaccard)
 
 
 def _possible(a: str, b: str, jaccard: float) -> Column:
     """Whether bitmaps leave it open that two lines are near; looks at the cheapest signs first."""
-    most = (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((1 - jaccard) / (1 + jaccard)) + 1e-6
-    sizes = (F.col(f"{a}.n") + 1e-6 >= F.col(f"{b}.c") * jaccard) & (F.col(f"{b}.n") + 1e-6 >= F.col(f"{a}.c") * jaccard)
+    most = (F.col(f"{a}.d") + F.col(f"{b}.d")) * ((1 - jaccard) / (1 + jaccard)) + 1e-6
+    sizes = _alike(F.col(f"{a}.d"), F.col(f"{b}.d"), jaccard)
     folded = sum((F.bit_count(F.col(f"{a}.w{k}").bitwiseXOR(F.col(f"{b}.w{k}"))) for k in range(1, FOLD)), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
     x, y = F.col(f"{a}.bits"), F.col(f"{b}.bits")
     differ = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
@@ -145,24 +136,28 @@ def _possible(a: str, b: str, jaccard: float) -> Column:
 
 def _shingles(line: str, shingle: int) -> Column:
     """The hashes of a line's shingles, repeats included. The outer lambda's variable holds the encoded line, encoded once."""
-    runs = lambda b: F.transform(F.sequence(F.lit(0), _positions(F.col(line), shingle)), lambda i: F.xxhash64(F.substring(b, 4 * i + 1, F.lit(4 * shingle))))
+    runs = lambda b: F.transform(F.sequence(F.lit(1), 4 * _positions(F.col(line), shingle) + 1, F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * shingle))))
     return F.get(F.transform(F.array(F.encode(line, "UTF-32")), runs), 0)
 
 
+def _counts(lines: DataFrame, shingle: int) -> DataFrame:
+    """(h1, d) of lines (h1, line): the number of distinct shingles, by hash. More tasks than the lines' bytes ask for."""
+    placed = lines.repartition(4 * parallelism(lines.sparkSession), "h1")
+    return placed.select("h1", F.size(F.array_distinct(_shingles("line", shingle))).cast("long").alias("d"))
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """pairs (a, b, n, c) of lines (h1, line) with near, whether their Jaccard similarity is at least jaccard.
+    """pairs (a, b, n) of lines (h1, line) with near, whether their Jaccard similarity is at least jaccard.
 
-    n is at least and c at most the sum of both lines' numbers of distinct shingles, which are only counted where these
-    leave it open. Not filtered here: a filter would be pushed below the columns that it needs, and build them again.
+    n is the sum of both lines' numbers of distinct shingles. Not filtered here: a filter would be pushed below the columns
+    that it needs, and build them again.
     """
     tasks = 4 * parallelism(pairs.sparkSession)  # more tasks than their bytes ask for: the work is in the sets
     left = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").repartition(tasks, "b")
     both = left.join(lines.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    runs = both.select("a", "b", "n", "c", _shingles("x", shingle).alias("x"), _shingles("y", shingle).alias("y"))
-    counted = runs.select("*", F.size(F.array_intersect("x", "y")).alias("both"))
-    of = lambda all_: F.col("both") >= jaccard * (all_ - F.col("both"))
-    exact = of(F.size(F.array_distinct("x")) + F.size(F.array_distinct("y")))
-    return counted.select("a", "b", F.when(of(F.col("n")), True).when(~of(F.col("c")), False).otherwise(exact).alias("near"))
+    runs = both.select("a", "b", "n", _shingles("x", shingle).alias("x"), _shingles("y", shingle).alias("y"))
+    counted = runs.select("a", "b", "n", F.size(F.array_intersect("x", "y")).alias("both"))
+    return counted.select("a", "b", (F.col("both") >= jaccard * (F.col("n") - F.col("both"))).alias("near"))
 
 
 def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -172,46 +167,40 @@ def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(split, "key")
 
 
-def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> DataFrame:
+def _left_maps(rest: DataFrame, texts: DataFrame, counts: DataFrame, shingle: int) -> DataFrame:
+    """(h1, d, keys, bitmap) of the lines that rest (key, h1, ...) leaves in buckets, with those of their keys."""
+    left = rest.groupBy("h1").agg(F.collect_list("key").alias("keys"))
+    lines = texts.select("h1", "line").join(left.select("h1"), "h1")
+    return _bitmaps(lines, shingle).join(left.join(counts, "h1"), "h1")
+
+
+def near_lines(lines: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingle: int, jaccard: float, bands: int) -> DataFrame:
     """(node, component) of each line h1 that is near a lesser one; raises if MAX_ROUNDS leave pairs uncompared.
 
-    lines (h1, line, ...) is a table of stored(), deleted as soon as those of its lines that met another are copied.
+    lines (h1, line) may repeat lines; fetch gives (h1, line), each once, of those of a table's h1 that are not to be left out.
     """
     n = parallelism(lines.sparkSession)
-    drop_shuffles(lines.sparkSession)
-    texts_of, lines = lines, lines.select("h1", "line")
     keys = _banded(_signed(lines, WINDOW, bands), 0, bands, 1)
     short = _banded(_signed(lines.where(F.octet_length("line") <= SHORT), SHORT_WINDOW, SHORT_BANDS * SHORT_ROWS), 1, SHORT_BANDS, SHORT_ROWS)
     dealt = keys.unionByName(short).repartition(n, "key")
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = stored(dealt.join(sizes.hint("shuffle_hash"), "key"), "line-buckets")
-    central = met.groupBy("h1").agg(F.sum("size").alias("met"), F.collect_list("key").alias("keys"))
     drop_shuffles(lines.sparkSession)
-    texts = stored(lines.join(central.select("h1", "keys"), "h1"), "line-candidates")
-    discard(texts_of)
-    maps = stored(_bitmaps(texts.select("h1", "line"), shingle).join(texts.select("h1", "keys"), "h1"), "line-bitmaps")
-    named = met.join(central.select("h1", "met"), "h1")
+    central = met.groupBy("h1").agg(F.sum("size").alias("met"))
+    texts = stored(fetch(central.select("h1")), "line-candidates")
+    drop_shuffles(lines.sparkSession)
+    counts = stored(_counts(texts, shingle), "line-counts")
+    named = met.join(central, "h1")
     pivots = named.groupBy("key").agg(F.max(F.struct("met", "h1")).alias("pivot")).select("key", F.col("pivot.h1").alias("pivot"))
-    # a bucket's lines by a number of their own in [0, size), the most central one before them: about as many as wanted are below it
-    rank = F.when(F.col("h1") == F.col("pivot"), -1.0).otherwise((F.pmod(F.xxhash64("key", "h1"), F.lit(1 << 40)) / float(1 << 40)) * F.col("size"))
-    rest = stored(met.join(pivots, "key").select("key", "h1", rank.alias("rank"), F.col("h1").alias("part")), "line-rest")
+    # a bucket's lines but the most central one by a number of their own in [0, size): about as many as wanted are below it
+    rank = (F.pmod(F.xxhash64("key", "h1"), F.lit(1 << 40)) / float(1 << 40)) * F.col("size")
+    rest = stored(met.join(pivots, "key").where("h1 <> pivot").select("key", "h1", rank.alias("rank"), F.col("h1").alias("part"), "pivot"), "line-rest")
     discard(met)  # with the shuffles of the steps before
-    parts, held = None, rest
+    ends = [F.least("h1", "pivot").alias("a"), F.greatest("h1", "pivot").alias("b")]
+    around = rest.select(*ends).distinct().join(counts.select(F.col("h1").alias("a"), F.col("d").alias("da")), "a").join(counts.select(F.col("h1").alias("b"), F.col("d").alias("db")), "b")
+    pairs = stored(around.where(_alike(F.col("da"), F.col("db"), jaccard)).select("a", "b", (F.col("da") + F.col("db")).alias("n")), "line-pairs")
+    parts, held, maps = None, rest, None
     for k in range(MAX_ROUNDS):
-        if k:
-            rest = stored(_apart(rest, parts), "line-rest")
-            discard(held)
-            held = rest
-            if rest.isEmpty():
-                discard(rest, texts, maps)
-                return parts
-        limit = 8 * 16 ** (k - 1) if k else 0
-        wide = rest.join(maps, "h1")
-        in_order = F.expr("a.key = b.key and a.part <> b.part and (a.rank < b.rank or a.rank = b.rank and a.h1 < b.h1)")
-        once = F.expr("array_min(array_intersect(a.keys, b.keys)) = a.key")
-        open_ = wide.where(F.col("rank") < limit).alias("a").join(wide.alias("b"), in_order & _possible("a", "b", jaccard) & once)
-        sums = [F.expr(f"a.{x} + b.{x}").alias(x) for x in ("n", "c")]
-        pairs = stored(open_.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b"), *sums), "line-pairs")
         checked = stored(_verified(pairs, texts.select("h1", "line"), shingle, jaccard), "line-links")
         links = checked.where("near").select("a", "b")
         discard(pairs)
@@ -222,6 +211,20 @@ def near_lines(lines: DataFrame, shingle: int, jaccard: float, bands: int) -> Da
             if last is not None:
                 discard(last)
         discard(checked)
+        rest = stored(_apart(rest.drop("pivot"), parts), "line-rest")
+        discard(held)
+        held = rest
+        if rest.isEmpty():
+            discard(rest, texts, counts, *([maps] if maps is not None else []))
+            return parts
+        if maps is None:
+            maps = stored(_left_maps(rest, texts, counts, shingle), "line-bitmaps")
+        limit = 8 * 16**k
+        wide = rest.join(maps, "h1")
+        in_order = F.expr("a.key = b.key and a.part <> b.part and (a.rank < b.rank or a.rank = b.rank and a.h1 < b.h1)")
+        once = F.expr("array_min(array_intersect(a.keys, b.keys)) = a.key")
+        open_ = wide.where(F.col("rank") < limit).alias("a").join(wide.alias("b"), in_order & _possible("a", "b", jaccard) & once)
+        pairs = stored(open_.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b"), F.expr("a.d + b.d").alias("n")), "line-pairs")
         rest = rest.where(F.col("rank") >= limit)
     raise RuntimeError(f"lines of a bucket are left to compare after {MAX_ROUNDS} rounds")
 
@@ -243,23 +246,25 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others kept. A line's shingles are held at once while it is compared, a line of n characters takes some 20 n bytes.
     """
     at = _occurrences(docs, id_col, text_col)
-    h1, h2 = F.xxhash64("line"), F.xxhash64(F.lit(1), "line")
-    whole = at.select("*", h1.alias("h1"), h2.alias("h2")).groupBy("h1").agg(F.max("line").alias("line"), F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
-    lines = stored(whole.where("lo = hi").drop("lo", "hi"), "lines")
-    places = stored(lines.select("h1", "n", "first"), "line-places")
-    parts = near_lines(lines, shingle, jaccard, bands)
+    drop_shuffles(docs.sparkSession)
+    hashed = stored(at.select("at", "h1", F.xxhash64(F.lit(1), "line").alias("h2")), "line-hashes")
+    whole = hashed.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
+    places = stored(whole.where("lo = hi").drop("lo", "hi"), "line-places")
+    parts = near_lines(at.select("h1", "line"), lambda met: _texts(docs, id_col, text_col, places.join(met, "h1").select("h1", "first")), shingle, jaccard, bands)
     members = parts.select(F.col("node").alias("h1"), F.col("component").alias("part"))
     members = members.unionByName(members.select(F.col("part").alias("h1"), "part").distinct())
     again = places.join(members, "h1", "left").where("n > 1 or part is not null").withColumn("part", F.coalesce("part", "h1"))
     kept = again.groupBy("part").agg(F.min("first").alias("kept"))
     repeated = stored(again.join(kept, "part").select("h1", "kept"), "line-repeated")
-    place = at.select("at", h1.alias("h1")).join(repeated, "h1")
+    discard(parts, places)
+    place = hashed.select("at", "h1").join(repeated, "h1")
     stays = F.col("at") == F.col("kept")
     by_row = place.groupBy(F.col("at.id").alias("_gone_id"), F.col("at.th").alias("_gone_th")).agg(
         F.collect_set(F.when(~stays, F.col("at.no"))).alias("_gone"), F.count_if(stays).alias("_n"), F.size(F.collect_set(F.when(stays, F.col("at.no")))).alias("_n_once")
     )
     # rows that repeat id and text show in a kept line that comes more than once
     gone = stored(by_row.select("_gone_id", "_gone_th", "_gone", (F.col("_n") > F.col("_n_once")).alias("_twice")).where(F.col("_twice") | (F.size("_gone") > 0)), "line-gone")
+    discard(hashed, repeated)
     named = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*[F.col(f"`{c}`") for c in named], F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"))
     rows = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th")), "left").withColumn("_copy", F.lit(False))

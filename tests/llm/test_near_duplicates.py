@@ -212,3 +212,35 @@ def test_line_dedup_of_many_unlike_groups_in_each_bucket(spark):
     assert sum(t != "" for t in want.values()) == 60
     got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], LINES)).collect()}
     assert got == want
+
+
+def test_line_dedup_stores_no_text_of_lines_that_meet_no_other(spark, monkeypatch):
+    """All but one copy of each line that met another goes by hashes, so that disk doesn't hold the texts again."""
+    rng = random.Random(4)
+    random_text = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120))
+    alike = random_text()
+    store, texts = lines.stored, {}
+
+    def kept(df, name):
+        table = store(df, name)
+        if "line" in table.columns:
+            texts[name] = sorted(r.line for r in table.select("line").collect())
+        return table
+
+    monkeypatch.setattr(lines, "stored", kept)
+    rows = [(i, f"{random_text()}\n{alike}{'x' * (i % 2)}", "", "", 0) for i in range(20)]
+    got = lines.deduplicate(spark.createDataFrame(rows, LINES))
+    assert got.where("n_removed = 1").count() == 19
+    assert texts == {"line-candidates": [alike, alike + "x"]}
+
+
+def test_line_dedup_with_several_rounds_of_comparisons(spark):
+    """Many unlike pairs in one bucket, whose lines get bitmaps of different lengths, and lines whose shingles repeat."""
+    rng = random.Random(8)
+    random_text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    prefix, rows = random_text(70), [(0, "the " * 300), (1, "the " * 200), (2, "the " * 300 + random_text(40))]
+    for i in range(40):
+        line = prefix + random_text((75, 145, 245)[i % 3])
+        rows += [(2 * i + 3, line), (2 * i + 4, line[:-30] + random_text(12) + line[-18:])]
+    got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], LINES)).collect()}
+    assert got == plain_lines(rows)
