@@ -4,14 +4,13 @@ A line counts without surrounding spaces. Lines are near where the sets of their
 line is one run) have a Jaccard similarity of ``jaccard``.
 
 Signatures. The minima are taken over runs of WINDOW bytes, longer than a shingle: scattered edits that leave 0.8 of the
-shingles leave over half of these, and lines that aren't near share hardly any, so one minimum is about as selective as
-three of single shingles and a band needs only one. Generated code computes the ``bands`` minima of one hash under
-different exclusive-ors from exploded rows. Lines of at most SHORT bytes have few such runs: they get SHORT_BANDS bands of
-SHORT_ROWS minima over runs of SHORT_WINDOW bytes as well. Lines that share a band meet in a bucket.
+shingles leave 0.71 of these, and lines that aren't near share fewer, so ROWS minima of them make a band. Generated code
+computes the minima of one hash under different exclusive-ors from exploded rows. Lines of at most SHORT bytes have few such
+runs: they get SHORT_BANDS bands of SHORT_ROWS minima over runs of SHORT_WINDOW bytes as well. Lines that share a band, and
+whose numbers of distinct shingles fall in the same or neighbouring classes, meet in a bucket. The classes lose no near pair.
 
 Comparison. Texts are never shuffled but once by document, to fetch one copy of each line that met another; all else goes by
-hashes. The numbers of distinct shingles are counted once a line, so that pairs whose numbers can't be near go without a
-look at the lines. What is left is verified by exact Jaccard similarity: first a bucket's most central line (the one that
+hashes. The numbers of distinct shingles are counted once a line. Pairs are verified by exact Jaccard similarity: first a bucket's most central line (the one that
 meets most others, over all bands) with all others, as pairs of hashes; then, in rounds of 8, 128, 2,048 and so on lines of
 a bucket against the rest, all pairs across components, until no bucket has lines of two components left to compare.
 Union-find over the verified pairs gives the components of all near pairs that share a bucket.
@@ -36,9 +35,9 @@ from atlasmill.llm.graph import components
 from atlasmill.llm.shared import discard, drop_shuffles, parallelism, stored
 
 #: Runs of a line exploded at once, so that no row grows with a line, and runs hashed in one row.
-PIECE, STEP = 4096, 8
-#: Bytes of a run for signatures; the same, the number of bands and the minima in each for lines of at most SHORT bytes.
-WINDOW, SHORT, SHORT_WINDOW, SHORT_BANDS, SHORT_ROWS = 20, 48, 8, 6, 2
+PIECE, STEP = 4096, 16
+#: Bytes of a run for signatures and minima in a band; the same and the number of bands for lines of at most SHORT bytes.
+WINDOW, ROWS, SHORT, SHORT_WINDOW, SHORT_BANDS, SHORT_ROWS = 12, 2, 100, 8, 6, 2
 #: Words of 64 bits in a folded bitmap; shingles for each word of a whole one, at most.
 FOLD, LOAD = 8, 20
 #: Rounds of comparisons in buckets; the k-th compares about 8 * 16^(k-1) lines of each with all others, so these reach any size.
@@ -79,16 +78,12 @@ def _hashed(data: DataFrame, unit: int, width: int) -> DataFrame:
     return starts.select(*kept, *[F.xxhash64(F.substring("b", unit * F.least(F.col("i") + j, "last") + 1, F.lit(unit * width))).alias(f"x{j}") for j in range(STEP)])
 
 
-def _signed(lines: DataFrame, width: int, n: int) -> DataFrame:
-    """(h1, s0 .. s(n-1)): minima of lines (h1, line), repeats included, over runs of width bytes."""
+def _keys(lines: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """(h1, key) of lines (h1, line), repeats included: a row for each band, of ``rows`` minima over runs of width bytes."""
     runs = _hashed(lines.select("h1", F.col("line").cast("binary").alias("b"), F.greatest(F.octet_length("line") - width, F.lit(0)).alias("last")), 1, width)
     least = lambda k: F.least(*[F.col(f"x{j}").bitwiseXOR(F.lit(_constant(k))) for j in range(STEP)])
-    return runs.groupBy("h1").agg(*[F.min(least(k)).alias(f"s{k}") for k in range(n)])
-
-
-def _banded(signed: DataFrame, kind: int, bands: int, rows: int) -> DataFrame:
-    """(h1, key): a row for each band."""
-    keys = [F.xxhash64(F.lit(kind), F.lit(band), *[f"s{k}" for k in range(band * rows, (band + 1) * rows)]) for band in range(bands)]
+    signed = runs.groupBy("h1").agg(*[F.min(least(k)).alias(f"s{k}") for k in range(bands * rows)])
+    keys = [F.xxhash64(F.lit(width), F.lit(at), *[f"s{k}" for k in range(at, at + rows)]) for at in range(0, bands * rows, rows)]
     return signed.select("h1", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -141,23 +136,22 @@ def _shingles(line: str, shingle: int) -> Column:
 
 
 def _counts(lines: DataFrame, shingle: int) -> DataFrame:
-    """(h1, d) of lines (h1, line): the number of distinct shingles, by hash. More tasks than the lines' bytes ask for."""
-    placed = lines.repartition(4 * parallelism(lines.sparkSession), "h1")
+    """(h1, d) of lines (h1, line): the number of distinct shingles, by hash."""
+    placed = lines.repartition(parallelism(lines.sparkSession), "h1")  # not fewer tasks, as their bytes would ask for
     return placed.select("h1", F.size(F.array_distinct(_shingles("line", shingle))).cast("long").alias("d"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, jaccard: float) -> DataFrame:
-    """pairs (a, b, n) of lines (h1, line) with near, whether their Jaccard similarity is at least jaccard.
+    """pairs (a, b) of lines (h1, line) with near, whether their Jaccard similarity is at least jaccard.
 
-    n is the sum of both lines' numbers of distinct shingles. Not filtered here: a filter would be pushed below the columns
-    that it needs, and build them again.
+    Not filtered here: a filter would be pushed below the columns that it needs, and build them again.
     """
-    tasks = 4 * parallelism(pairs.sparkSession)  # more tasks than their bytes ask for: the work is in the sets
+    tasks = parallelism(pairs.sparkSession)  # not fewer, as their bytes would ask for: the work is in the sets
     left = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").repartition(tasks, "b")
     both = left.join(lines.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    runs = both.select("a", "b", "n", _shingles("x", shingle).alias("x"), _shingles("y", shingle).alias("y"))
-    counted = runs.select("a", "b", "n", F.size(F.array_intersect("x", "y")).alias("both"))
-    return counted.select("a", "b", (F.col("both") >= jaccard * (F.col("n") - F.col("both"))).alias("near"))
+    runs = both.select("a", "b", _shingles("x", shingle).alias("x"), _shingles("y", shingle).alias("y"))
+    counted = runs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_union("x", "y")).alias("all"))
+    return counted.select("a", "b", (F.col("both") >= jaccard * F.col("all")).alias("near"))
 
 
 def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -179,26 +173,27 @@ def near_lines(lines: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingl
 
     lines (h1, line) may repeat lines; fetch gives (h1, line), each once, of those of a table's h1 that are not to be left out.
     """
-    n = parallelism(lines.sparkSession)
-    keys = _banded(_signed(lines, WINDOW, bands), 0, bands, 1)
-    short = _banded(_signed(lines.where(F.octet_length("line") <= SHORT), SHORT_WINDOW, SHORT_BANDS * SHORT_ROWS), 1, SHORT_BANDS, SHORT_ROWS)
-    dealt = keys.unionByName(short).repartition(n, "key")
-    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stored(dealt.join(sizes.hint("shuffle_hash"), "key"), "line-buckets")
+    short = _keys(lines.where(F.octet_length("line") <= SHORT), SHORT_WINDOW, SHORT_BANDS, SHORT_ROWS)
+    dealt = _keys(lines, WINDOW, bands, ROWS).unionByName(short).repartition(parallelism(lines.sparkSession), "key")
+    # least keeps h1 in the shuffle, which the join then takes as well
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("h1").alias("least")).where("size > 1 and least is not null")
+    met = stored(dealt.join(sizes.hint("shuffle_hash"), "key").select("key", "h1", "size"), "line-buckets")
     drop_shuffles(lines.sparkSession)
     central = met.groupBy("h1").agg(F.sum("size").alias("met"))
     texts = stored(fetch(central.select("h1")), "line-candidates")
     drop_shuffles(lines.sparkSession)
     counts = stored(_counts(texts, shingle), "line-counts")
-    named = met.join(central, "h1")
-    pivots = named.groupBy("key").agg(F.max(F.struct("met", "h1")).alias("pivot")).select("key", F.col("pivot.h1").alias("pivot"))
+    # near lines' numbers differ by a factor of at most 1 / jaccard, so that they share one of two neighbouring classes
+    step = F.floor(F.log("d") / F.log(F.lit(1.001 / jaccard)))
+    classed = met.join(central, "h1").join(counts, "h1").select("h1", "met", "key", F.explode(F.array(step, step + 1)).alias("class"))
+    classed = classed.select("h1", "met", F.xxhash64("key", "class").alias("key")).repartition(parallelism(lines.sparkSession), "key")
+    pivots = classed.groupBy("key").agg(F.max(F.struct("met", "h1")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # a bucket's lines but the most central one by a number of their own in [0, size): about as many as wanted are below it
     rank = (F.pmod(F.xxhash64("key", "h1"), F.lit(1 << 40)) / float(1 << 40)) * F.col("size")
-    rest = stored(met.join(pivots, "key").where("h1 <> pivot").select("key", "h1", rank.alias("rank"), F.col("h1").alias("part"), "pivot"), "line-rest")
+    rest = classed.join(pivots.select("key", "size", F.col("pivot.h1").alias("pivot")), "key").where("h1 <> pivot")
+    rest = stored(rest.select("key", "h1", rank.alias("rank"), F.col("h1").alias("part"), "pivot"), "line-rest")
     discard(met)  # with the shuffles of the steps before
-    ends = [F.least("h1", "pivot").alias("a"), F.greatest("h1", "pivot").alias("b")]
-    around = rest.select(*ends).distinct().join(counts.select(F.col("h1").alias("a"), F.col("d").alias("da")), "a").join(counts.select(F.col("h1").alias("b"), F.col("d").alias("db")), "b")
-    pairs = stored(around.where(_alike(F.col("da"), F.col("db"), jaccard)).select("a", "b", (F.col("da") + F.col("db")).alias("n")), "line-pairs")
+    pairs = stored(rest.select(F.least("h1", "pivot").alias("a"), F.greatest("h1", "pivot").alias("b")).distinct(), "line-pairs")
     parts, held, maps = None, rest, None
     for k in range(MAX_ROUNDS):
         checked = stored(_verified(pairs, texts.select("h1", "line"), shingle, jaccard), "line-links")
@@ -224,7 +219,7 @@ def near_lines(lines: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingl
         in_order = F.expr("a.key = b.key and a.part <> b.part and (a.rank < b.rank or a.rank = b.rank and a.h1 < b.h1)")
         once = F.expr("array_min(array_intersect(a.keys, b.keys)) = a.key")
         open_ = wide.where(F.col("rank") < limit).alias("a").join(wide.alias("b"), in_order & _possible("a", "b", jaccard) & once)
-        pairs = stored(open_.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b"), F.expr("a.d + b.d").alias("n")), "line-pairs")
+        pairs = stored(open_.select(F.col("a.h1").alias("a"), F.col("b.h1").alias("b")), "line-pairs")
         rest = rest.where(F.col("rank") >= limit)
     raise RuntimeError(f"lines of a bucket are left to compare after {MAX_ROUNDS} rounds")
 
@@ -237,7 +232,7 @@ def _copies(rows: DataFrame) -> DataFrame:
     return numbered.join(first, at).withColumn("_copy", F.col("_row") > F.col("_first")).drop("_row", "_first", "_first_id", "_first_th")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 8, jaccard: float = 0.8, bands: int = 8) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 8, jaccard: float = 0.8, bands: int = 10) -> DataFrame:
     """docs with text_col less every line that is near an earlier one, and columns n_lines and n_removed.
 
     Of each component of near or equal lines one stays: that of the least (id, hash of the text, position), nulls first; of

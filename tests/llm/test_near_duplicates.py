@@ -244,3 +244,28 @@ def test_line_dedup_with_several_rounds_of_comparisons(spark):
         rows += [(2 * i + 3, line), (2 * i + 4, line[:-30] + random_text(12) + line[-18:])]
     got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], LINES)).collect()}
     assert got == plain_lines(rows)
+
+
+def test_line_dedup_of_short_and_longer_periodic_lines(spark):
+    """Lines of equal sets of shingles are near whatever their lengths."""
+    rows = [(0, "ab" * 10, "", "", 0), (1, "ab" * 45, "", "", 0), (2, "xyz" * 6, "", "", 0)]
+    assert {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(rows, LINES)).collect()} == plain_lines([(r[0], r[1]) for r in rows]) == {0: "ab" * 10, 1: "", 2: "xyz" * 6}
+
+
+def test_lines_of_one_bucket_but_unlike_lengths_are_not_compared(spark, monkeypatch):
+    """Lines that share long runs but whose numbers of shingles rule them out leave the buckets before pairs are made."""
+    rng = random.Random(6)
+    random_text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    store, rows = lines.stored, {}
+
+    def kept(df, name):
+        table = store(df, name)
+        rows.setdefault(name, table.count())
+        return table
+
+    monkeypatch.setattr(lines, "stored", kept)
+    base = random_text(300)
+    texts = [base, base + random_text(400), base + random_text(1200)]
+    got = lines.deduplicate(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], LINES))
+    assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(texts))
+    assert rows["line-buckets"] > 0 and rows["line-rest"] == rows["line-pairs"] == 0
